@@ -78,7 +78,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     grams = bench.select("item", F.posexplode("hashes").alias("item_at", "hash"))
     grams, _ = small(grams, BROADCAST_WINDOWS)
     own = with_windows(_keyed(docs).withColumn("words", marked(F.col("text"))).select("id_key", "text_key", "words"))
-    rows = own.select("id_key", "text_key", F.posexplode("hashes").alias("doc_at", "hash")).join(grams, "hash")
+    rows = own.select("id_key", "text_key", F.posexplode_outer("hashes").alias("doc_at", "hash")).join(grams, "hash")
     by_line = rows.groupBy("id_key", "text_key", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("at"), F.count("*").alias("n"))
     pairs = by_line.groupBy("id_key", "text_key", "item").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.max_by("shift", F.struct(F.size("at"), -F.col("shift"))).alias("shift")
