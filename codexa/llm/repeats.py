@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, park
+from .store import cut, park, shuffles_freed, small
 from .textcore import arrow_text, chunks
 
 ROW = ["id", "text_key"]
 BLOCK_SCHEMA = "id long, text_key long, at int, n int, key long, block long"
 WINDOW_SCHEMA = "key long, window long, id long, text_key long, at int"
+#: Documents whose lists of blocks may be broadcast: some hundred bytes each as a rule.
+BROADCAST_DOCS = 20_000
 #: Stands for a null doc_id.
 NO_ID = (1 << 63) - 1
 
@@ -102,44 +104,53 @@ def _spans(asked: DataFrame) -> DataFrame:
     return asked.groupBy(*ROW).agg(F.collect_set(F.struct("at", "n", "key")).alias("spans"))
 
 
-def _by_window(texts: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
-    hashed = cut(texts.join(_spans(asked), ROW).mapInArrow(window_rows(kind.windows), WINDOW_SCHEMA))
+def _by_window(docs: DataFrame, spans: DataFrame, kind: Kind) -> DataFrame:
+    hashed = cut(docs.join(spans, ROW).mapInArrow(window_rows(kind.windows), WINDOW_SCHEMA))
     again = hashed.groupBy("key", "window").agg(F.min("id").alias("low"), F.count("*").alias("c")).filter("c > 1").select("key", "window", "low")
+    again = cut(again)
     found = hashed.join(again, ["key", "window"])
     found = found.filter(F.col("id") > F.col("low")) if kind.earlier else found
     return found.select(*ROW, "at", F.lit(kind.width).alias("n"))
 
 
 def remove_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
+    with shuffles_freed(docs.sparkSession):
+        return _remove_repeats(docs, kind)
+
+
+def _remove_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     """doc_id and the kind's columns, a row for each document.
 
     A row is known by its doc_id and its text's hash, so rows that share a
     doc_id don't mix; equal rows have equal results.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("text_key"))
-    long_enough = docs.filter(F.octet_length("text") >= kind.width).drop("doc_id")
+    long_enough = docs.filter(F.octet_length("text") >= kind.width)
     blocks, drop_blocks = park(long_enough.mapInArrow(block_rows(kind.blocks), BLOCK_SCHEMA))
     last = kind.width - 1
     seen = blocks.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("c"), F.min("block").alias("b0"), F.max("block").alias("b1"))
     seen = seen.filter(F.col("low") != F.col("high") if kind.earlier else F.col("c") > 1)
-    hits = cut(blocks.join(seen.select("key", "low", (F.col("b0") == F.col("b1")).alias("pure")), "key"))
+    # Sums are cut before they are joined: then both sides are plain exchanges, and a hot key's rows can be split.
+    seen = cut(seen.select("key", *["low"] * kind.earlier, (F.col("b0") == F.col("b1")).alias("pure")))
+    hits = cut(blocks.join(seen, "key"))
     drop_blocks()
     span = (*ROW, "at", (F.col("n") + last).alias("n"))
     sure = hits.filter(F.col("pure") & (F.col("id") > F.col("low") if kind.earlier else F.lit(True))).select(*span)
     mixed = hits.filter("NOT pure")
-    same = mixed.groupBy("key", "block").agg(F.min(F.struct(*ROW, "at")).alias("first"), F.count("*").alias("c"))
-    mixed = mixed.drop("low", "pure").join(same, ["key", "block"])
+    same = cut(mixed.groupBy("key", "block").agg(F.min(F.struct(*ROW, "at")).alias("first"), F.count("*").alias("c")))
+    mixed = mixed.select(*ROW, "at", "n", "key", "block").join(same, ["key", "block"])
     sure = sure.unionByName(mixed.filter(F.col("id") > F.col("first.id") if kind.earlier else F.col("c") > 1).select(*span))
     asked = mixed.filter(F.struct(*ROW, "at") == F.col("first")).select(*ROW, "at", "n", "key")
-    texts = docs.drop("doc_id")
+    # Both reads of the texts join the same columns on the same keys, so that they share one exchange.
     if kind.resolve is None:
-        spans = sure.unionByName(_by_window(texts, asked, kind))
+        spans = sure.unionByName(_by_window(docs, _spans(asked), kind))
     else:
         sizes = same.groupBy("key").count().filter(F.col("count") > kind.resolve_rows).select("key")
         large = cut(sizes)
         few = asked.join(large, "key", "left_anti")
-        spans = sure.unionByName(kind.resolve(texts, _spans(few)))
+        spans = sure.unionByName(kind.resolve(docs, _spans(few)))
         if not large.isEmpty():
-            spans = spans.unionByName(_by_window(texts, asked.join(large, "key", "left_semi"), kind))
+            rest, _ = small(cut(_spans(asked.join(large, "key", "left_semi"))), BROADCAST_DOCS)
+            spans = spans.unionByName(_by_window(docs, rest, kind))
     spans = spans.groupBy(*ROW).agg(F.collect_set(F.struct("at", "n")).alias("spans"))
     return docs.join(spans, ROW, "left").mapInArrow(final_rows(kind.finish, kind.columns), f"doc_id long, {kind.columns}")

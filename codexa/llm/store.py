@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -53,3 +54,19 @@ def park(df: DataFrame):
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     return spark.read.schema(df.schema).parquet(path), drop
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Frames made within free their exchanges' files as soon as they have run.
+
+    Else those of each job lie on disk until the driver happens to collect its
+    garbage, beside those of the next.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
