@@ -52,7 +52,7 @@ class Letters:
             end[:-1] &= ~is_letter[1:] | edge[1:-1]
         self.ws, self.we = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.word_at = np.searchsorted(self.ws, self.doc_at)
-        self.script = script[low]
+        self.script = script[low[self.ws]]
 
     def prefix(self):
         return Prefix(mix(self.lower.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))

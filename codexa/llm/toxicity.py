@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import held_out
-from .letters import Letters
-from .store import documents
-from .textcore import arrow_text, chunks
+from .letters import LAST, Letters
+from .store import cut, documents
+from .textcore import Prefix, arrow_text, chunks, word_hashes, word_spans
 
 SAMPLE = 5000
 MAX_UNITS = 4096
 PREFIXES = (4, 5, 6, 7)
+#: A unit's share of toxic documents among those with it, and its odds against clean ones.
+PURE, LEAST_ODDS = 0.5, 8.0
+SHINGLE = 4
 THRESHOLD = 0.3
 CLAUSE_ENDS = frozenset(map(ord, ".!?;:,\n"))
 QUOTES = frozenset(map(ord, "\"“”«»„"))
@@ -100,6 +103,22 @@ def unit_hashes(x: Letters):
     return rows
 
 
+def mark_near(batches):
+    """Adds the least hash of a document's word windows: near copies share it."""
+    for b in batches:
+        buf, offs = arrow_text(b.column("text"))
+        near = np.zeros(len(offs) - 1, np.uint64)
+        for lo, hi, part, at in chunks(buf, offs):
+            ws, we, word_at = word_spans(part, at)
+            p = Prefix(word_hashes(part, ws, we))
+            doc = np.repeat(np.arange(hi - lo), np.diff(word_at))
+            ends = np.minimum(np.arange(len(ws)) + SHINGLE, word_at[1:][doc])
+            full = np.flatnonzero(word_at[1:] > word_at[:-1])
+            if len(full):
+                near[lo + full] = np.minimum.reduceat(p.of(np.arange(len(ws)), ends), word_at[:-1][full])
+        yield pa.RecordBatch.from_arrays([b.column("text"), b.column("toxic"), pa.array(near.view(np.int64))], names=["text", "toxic", "near"])
+
+
 def count_units(batches):
     """(unit, label, documents with it) over a batch; unit 0 counts documents."""
     for b in batches:
@@ -122,6 +141,7 @@ def learn_units(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Units that mark toxic documents beyond chance, and their weights."""
     counts = rows.mapInArrow(count_units, "unit long, toxic long, n long")
     per = counts.groupBy("unit").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
+    per = cut(per.filter("unit = 0 OR a + b >= 3"))
     sums = per.filter("unit = 0").collect()
     n_toxic, n_clean = (sums[0]["a"], sums[0]["b"]) if sums else (0, 0)
     if not n_toxic or not n_clean:
@@ -133,7 +153,7 @@ def learn_units(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     g = 2 * (a * F.log(a / n / r) + F.when(b > 0, b * F.log(b / n / (1 - r))).otherwise(0.0))
     tried = per.filter((F.col("unit") != 0) & (n >= 3)).withColumn("g", F.when((a > 0) & (a / n > r), g).otherwise(0.0))
     m = max(2, tried.count())
-    top = tried.filter((F.col("g") > 2 * float(np.log(m))) & (a / n > 0.5)).orderBy(F.desc("g"), "unit").limit(MAX_UNITS).collect()
+    top = tried.filter((F.col("g") > 2 * float(np.log(m))) & (a / n >= PURE) & (a / n_toxic >= LEAST_ODDS * b / n_clean)).orderBy(F.desc("g"), "unit").limit(MAX_UNITS).collect()
     units = np.array([t["unit"] for t in top], dtype=np.int64).view(np.uint64)
     w = np.array([np.log((t["a"] + 0.5) / (n_toxic + 1)) - np.log((t["b"] + 0.5) / (n_clean + 1)) for t in top])
     order = np.argsort(units)
@@ -146,19 +166,29 @@ def features(units, weights, x: Letters):
     out = np.zeros((n_docs, 3))
     if not len(x.ws):
         return out
+    rows = unit_hashes(x)
     w = np.zeros(len(x.ws))
     if len(units):
-        for h in unit_hashes(x):
-            at = np.minimum(np.searchsorted(units, h), len(units) - 1)
-            w = np.maximum(w, np.where(units[at] == h, weights[at], 0.0))
-    verbs = x.prefix()
-    fixed = sorted(int(v) for v in _hashes(THREATS))
-    threat = np.isin(verbs.of(x.ws, x.we), np.array(fixed, dtype=np.uint64))
+        # Few words are units: a table of the hashes' low bits passes over the rest.
+        low = np.zeros(1 << 16, bool)
+        low[(units & np.uint64(0xFFFF)).astype(np.int64)] = True
+        for h in rows:
+            maybe = np.flatnonzero(low[(h & np.uint64(0xFFFF)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(units, h[maybe]), len(units) - 1)
+            w[maybe] = np.maximum(w[maybe], np.where(units[at] == h[maybe], weights[at], 0.0))
+    verbs = np.sort(_hashes(THREATS))
+    low = np.zeros(1 << 16, bool)
+    low[(verbs & np.uint64(0xFFFF)).astype(np.int64)] = True
+    maybe = np.flatnonzero(low[(rows[0] & np.uint64(0xFFFF)).astype(np.int64)])
+    threat = np.zeros(len(x.ws), bool)
+    threat[maybe] = np.isin(rows[0][maybe], verbs)
     hits = np.flatnonzero((w > 0) | threat)
     if not len(hits):
         return out
-    stops = np.isin(x.cps, np.array(sorted(CLAUSE_ENDS | QUOTES), dtype=np.uint32))
-    before = np.concatenate([[0], np.cumsum(stops)])
+    marks = np.zeros(LAST, bool)
+    marks[sorted(CLAUSE_ENDS | QUOTES)] = True
+    before = np.zeros(len(x.cps) + 1, np.int32)
+    np.cumsum(marks[np.minimum(x.cps, LAST - 1)], out=before[1:])
     clause = before[x.ws]
     doc = np.searchsorted(x.word_at, hits, side="right") - 1
     seen = set()
@@ -228,6 +258,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     lot = F.pmod(F.xxhash64(F.lit(11).cast("long"), "label_id"), F.lit(1_000_000))
     chosen = F.broadcast(marked.filter(lot < F.element_at(share, F.col("toxic"))))  # about 2 * SAMPLE rows of two numbers
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).select("text", "toxic")
+    # Copies would pass for evidence: of near copies with one label, one teaches.
+    rows = rows.mapInArrow(mark_near, "text string, toxic long, near long").groupBy("near", "toxic").agg(F.min("text").alias("text"))
+    rows = cut(rows.select("text", "toxic"))
     units, weights = learn_units(rows)
     found = rows.mapInArrow(feature_rows(units, weights, ["toxic"]), "toxic long, f0 double, f1 double, f2 double").toPandas()
     beta = fit_curve(found[["f0", "f1", "f2"]].to_numpy(), found["toxic"].to_numpy(dtype=float)) if found["toxic"].nunique() == 2 else None
