@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import cut, documents, small
+from .store import apart, cut, documents, small
 
 WIDTH = 5
 SHARE = 0.8
@@ -32,6 +32,30 @@ NAME_RE = r"([\p{L}\p{N},;] )(\p{Lu}\p{L}+)"
 UNIT_RE = rf"({NUMBER}\d+) +({UNITS})([^\p{{L}}]|$)"
 GAP_RE = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{NAME}]+"
 
+_NAMED = "regexp_replace(@, '" + NAME_RE + "', '\\1' || chr(3) || '\\2', 'g')"
+ORACLE_SQL = rf"""
+WITH a AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE text IS NOT NULL),
+b AS (SELECT side, id, text, regexp_replace(lower({_NAMED.replace("@", _NAMED.replace("@", "coalesce(text, '')"))}), '(\d+)', ' ' || chr(1) || '\1 ', 'g') AS t FROM a),
+c AS (SELECT side, id, text, list_filter(string_split_regex(regexp_replace(t, '(' || chr(1) || '\d+) +({UNITS})([^\p{{L}}]|$)', '\1 ' || chr(2) || '\2\3', 'g'),
+        '[^\p{{L}}\p{{M}}\p{{N}}\x01-\x03]+'), lambda x: x <> '') AS words FROM b),
+e AS (SELECT side, id, text, words, list_transform(words, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS q FROM c WHERE len(words) > 0),
+g AS (SELECT side, id, text, words, CASE WHEN len(q) < 5 THEN ['few ' || array_to_string(q, ' ')] ELSE list_transform(range(1, len(q) - 3), lambda i: array_to_string(q[i:i + 4], ' ')) END AS wins FROM e),
+items AS (SELECT words, any_value(wins) AS wins, min(id) AS item_id FROM g WHERE side = 'i' GROUP BY words),
+iw AS (SELECT item_id, unnest(wins) AS win, unnest(range(len(wins))) AS item_at FROM items),
+dw AS (SELECT id, text, unnest(wins) AS win, unnest(range(len(wins))) AS doc_at FROM (SELECT DISTINCT id, text, wins FROM g WHERE side = 'd')),
+m AS (SELECT id, text, item_id, item_at, doc_at - item_at AS shift FROM dw JOIN iw ON dw.win = iw.win),
+s AS (SELECT id, text, item_id, shift, count(DISTINCT item_at) AS n FROM m GROUP BY ALL),
+best AS (SELECT id, text, item_id, shift FROM s QUALIFY row_number() OVER (PARTITION BY id, text, item_id ORDER BY n DESC, shift) = 1),
+tot AS (SELECT id, text, item_id, count(DISTINCT item_at) AS n_matched FROM m GROUP BY ALL),
+hit AS (SELECT t.id, t.text, t.item_id, t.n_matched, len(i.wins) AS n_windows, b.shift, i.words AS asked
+  FROM tot t JOIN best b ON t.id = b.id AND t.text = b.text AND t.item_id = b.item_id JOIN items i ON i.item_id = t.item_id WHERE t.n_matched >= {SHARE} * len(i.wins)),
+al AS (SELECT h.id, h.text, h.item_id, h.n_matched, h.n_windows, list_distinct(list_filter(list_transform(range(len(asked)), lambda k: CASE WHEN k + shift >= 0 THEN [asked[k + 1], g.words[CAST(k + shift + 1 AS BIGINT)]] END),
+        lambda x: x IS NOT NULL AND x[1] < chr(4) AND x[2] IS NOT NULL AND x[1][1] = x[2][1])) AS slots
+  FROM hit h JOIN (SELECT DISTINCT id, text, words FROM g WHERE side = 'd') g ON g.id = h.id AND g.text = h.text)
+SELECT id AS doc_id, item_id, n_matched, n_windows, len(slots) AS n_slots, len(list_filter(slots, lambda x: x[1] <> x[2])) AS n_changed
+FROM al WHERE len(list_distinct(list_transform(slots, lambda x: x[1]))) = len(slots)
+"""
+
 
 def marked(text: Column) -> Column:
     """The words of a text; those that fill slots begin with the slot's type."""
@@ -104,7 +128,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
+    docs, restore = apart(docs, ("doc_id", "text"))
     found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     found, _ = small(cut(found.select(F.col("id_key").alias("bad_id"), F.col("text_key").alias("bad_text")).distinct()), BROADCAST_PAIRS)
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return docs.join(found, (own == F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_text")), "left_anti")
+    return restore(docs.join(found, (own == F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_text")), "left_anti"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import cut, documents, small
+from .store import apart, cut, documents, small
 from .textcore import WORD_JAVA
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -100,6 +100,7 @@ def repeat(docs: DataFrame, budget: float = BUDGET, cap: float = MAX_EPOCHS, see
     The texts aren't shuffled: each source's last repetition ends at a place in
     the seeded order, and a table of one row a source tells it.
     """
+    docs, restore = apart(docs, ("doc_id", "source", "text"))
     keyed = _keyed(docs, seed)
     placed = _placed(keyed.select("source", "mix_key", "mix_size", "mix_bucket", "mix_hash"), budget, cap, weights)
     due = (F.col("mix_size") > 0) & (F.col("part") * 2 >= F.col("mix_size"))
@@ -110,7 +111,7 @@ def repeat(docs: DataFrame, budget: float = BUDGET, cap: float = MAX_EPOCHS, see
     again = F.coalesce(F.struct("mix_bucket", "mix_hash") <= F.col("mix_last"), F.lit(False))
     copies = F.when(F.col("mix_size") == 0, F.greatest(F.col("mix_epochs"), F.lit(1))).otherwise(F.col("mix_epochs") + again.cast("int"))
     joined = keyed.join(ends, F.col("mix_key") == F.col("mix_end_key"))
-    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    return restore(joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,18 @@ REACH = 36
 LEVELS = 3
 
 
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+f AS (SELECT h, min(doc_id) AS low FROM x GROUP BY h),
+c AS (SELECT DISTINCT doc_id, k FROM (SELECT x.doc_id, unnest(range(i, i + 50)) AS k FROM x JOIN f ON x.h = f.h AND x.doc_id > f.low)),
+p AS (SELECT doc_id, k, w[k] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM w)),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.k) AS kept, count(*) AS n_kept FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.k = c.k WHERE c.k IS NULL GROUP BY p.doc_id)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
+
 def _name(a, b, salt):
     return mix(a * np.uint64(0x9E3779B97F4A7C15) ^ mix(b + np.uint64(salt)))
 

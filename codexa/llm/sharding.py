@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import cut, documents
+from .store import apart, cut, documents
 
 LIMIT_BYTES = 16 * 1024 * 1024
 STEP = 12
@@ -77,7 +77,7 @@ def directory(keys: DataFrame, limit: int, step: int = STEP) -> DataFrame:
 
 def shard(docs: DataFrame, limit: int = LIMIT_BYTES, step: int = STEP) -> DataFrame:
     """The documents with shard, shard_bytes and oversized."""
-    docs = docs.drop(*ADDED)
+    docs, restore = apart(docs.drop(*ADDED), ("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     keyed = docs.withColumn("shard_key", _hex(F.col("doc_id"), F.col("text")))
     keys = keyed.groupBy("shard_key").agg(F.sum(size).alias("bytes"), F.count("*").alias("n"))
@@ -89,7 +89,7 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES, step: int = STEP) -> DataFr
     places = places.join(buckets.drop("len"), "prefix").select("shard_key", F.concat(F.lit("s"), "prefix").alias("shard"), F.col("bytes").alias("shard_bytes"), parts.cast("long").alias("parts"))
     part = F.when(F.col("parts") > 1, F.concat_ws("-", "shard", F.pmod("shard_row", "parts").cast("string"))).otherwise(F.col("shard"))
     out = keyed.withColumn("shard_row", F.monotonically_increasing_id()).join(places, "shard_key")
-    return out.select(*docs.columns, part.alias("shard"), "shard_bytes", ((F.col("shard_bytes") > limit) & (F.col("parts") == 1)).alias("oversized"))
+    return restore(out.select(*docs.columns, part.alias("shard"), "shard_bytes", ((F.col("shard_bytes") > limit) & (F.col("parts") == 1)).alias("oversized")))
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import cut, documents
+from .store import apart, cut, documents
 
 SHINGLE = 4
 RADIUS = 4
@@ -132,13 +132,14 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null doc_id counts as the largest; of rows that share group and doc_id
     the least row stays.  Rows with unique ids are picked by a semi-join.
     """
+    docs, restore = apart(docs, ("doc_id", "text"))
     prints = cut(fingerprints(docs))
     of = cut(classes(prints))
     key = F.coalesce("doc_id", F.lit(NO_ID))
     odd = cut(prints.groupBy(key.alias("odd_id")).count().filter((F.col("count") > 1) | (F.col("odd_id") == NO_ID)).select("odd_id"))
     chosen = prints.join(of, "fp").filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
     if odd.isEmpty():
-        return docs.join(chosen, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+        return restore(docs.join(chosen, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi"))
     regular = docs.join(chosen.join(odd, F.col("kept_id") == F.col("odd_id"), "left_anti"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
     rows = docs.join(odd, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("odd_id"), "left_semi")
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -153,4 +154,4 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     marked = rows.mapInArrow(run, schema).join(of, "fp").filter(F.coalesce(F.col(docs_id).cast("long"), F.lit(NO_ID)) == F.col("component_id"))
     # Partial aggregates: however many rows share an id, few reach one task.
     one = marked.groupBy("component_id", "fp").agg(F.min(F.struct(*names)).alias("r")).groupBy("component_id").agg(F.min("r").alias("r"))
-    return regular.unionByName(one.select(*[F.col(f"r.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)]))
+    return restore(regular.unionByName(one.select(*[F.col(f"r.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)])))

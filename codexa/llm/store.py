@@ -70,3 +70,14 @@ def shuffles_freed(spark: SparkSession):
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def apart(docs: DataFrame, keep: tuple[str, ...]):
+    """The frame with neutral names for all columns but those to keep, and a function that restores them.
+
+    So no column that an operator adds, or joins on, clashes with one of the input's.
+    """
+    names = docs.columns
+    inner = [c if c in keep else f"__column_{i}" for i, c in enumerate(names)]
+    back = dict(zip(inner, names, strict=True))
+    return docs.toDF(*inner), lambda out: out.toDF(*[back.get(c, c) for c in out.columns])
