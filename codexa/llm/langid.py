@@ -66,7 +66,7 @@ def count_batches(batches):
             of_word = np.repeat(codes[lo:hi], np.diff(x.word_at))
             of_gram = np.repeat(of_word, x.we - x.ws)
             grams += np.bincount(of_gram * BINS + bins, minlength=grams.size).reshape(grams.shape)
-            scripts += np.bincount(of_word * SCRIPTS + x.script[x.ws], minlength=scripts.size).reshape(scripts.shape)
+            scripts += np.bincount(of_word * SCRIPTS + x.script, minlength=scripts.size).reshape(scripts.shape)
         for kind, m in (("gram", grams), ("script", scripts)):
             i, j = np.nonzero(m)
             yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in i], pa.string()), pa.array([kind] * len(i), pa.string()), pa.array(j, pa.int64()), pa.array(m[i, j], pa.int64())], names=["lang", "kind", "bin", "n"])
@@ -95,21 +95,21 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
 
 
 def viterbi(s, penalty):
-    """Best label of each word; s: words x languages."""
-    n, k = s.shape
-    back = np.zeros((n, k), np.int32)
-    v = s[0].copy()
-    stay = np.arange(k)
-    for t in range(1, n):
-        best = int(np.argmax(v))
-        switch = v[best] - penalty > v
-        back[t] = np.where(switch, best, stay)
-        v = np.where(switch, v[best] - penalty, v) + s[t]
-    path = np.zeros(n, np.int64)
-    path[-1] = int(np.argmax(v))
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    """Best label of each word; s: words x languages.  Plain floats: languages are few."""
+    rows = s.tolist()
+    v, before = rows[0], []
+    for row in rows[1:]:
+        best = max(v)
+        floor = best - penalty
+        before.append((v, best, floor))
+        v = [(x if x >= floor else floor) + y for x, y in zip(v, row, strict=True)]
+    at = v.index(max(v))
+    path = [at]
+    for v, best, floor in reversed(before):
+        if v[at] < floor:
+            at = v.index(best)
+        path.append(at)
+    return np.array(path[::-1])
 
 
 def largest_gain(d, first, last):
@@ -132,8 +132,8 @@ def label(model: dict, x: Letters):
     if not langs or not len(full):
         return out
     bins, begin = trigram_bins(x)
-    s = np.add.reduceat(model["logp"][bins].astype(np.float64), begin, axis=0)
-    can = model["scripts"][x.script[x.ws]]
+    s = np.add.reduceat(model["logp"][bins], begin, axis=0).astype(np.float64)
+    can = model["scripts"][x.script]
     known = can.any(1)
     s = np.where(can, s, s.min(1, keepdims=True) - 30.0)
     s = np.where(known[:, None], s - s.max(1, keepdims=True), 0.0)
