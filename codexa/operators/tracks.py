@@ -28,8 +28,10 @@ def outliers(df: DataFrame, key: str, value: str, share: float = 0.25) -> DataFr
 
 def inconsistent(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Sets of two or more rows that disagree on some column, with the values."""
-    g = df.groupBy(key).agg(F.count("*").alias("n"), *[F.concat_ws(",", F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))).alias(c) for c in columns], *[F.count_distinct(F.nullif(F.col(c), F.lit(""))).alias(f"d_{c}") for c in columns])
-    return g.filter((F.col("n") > 1) & (F.greatest(*[F.col(f"d_{c}") for c in columns], F.lit(0)) > 1)).select(key, *columns)
+    # The sets give both the values and their number, so no distinct aggregate expands the rows.
+    g = df.groupBy(key).agg(F.count("*").alias("n"), *[F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit("")))).alias(c) for c in columns])
+    several = F.greatest(*[F.size(c) for c in columns], F.lit(0)) > 1
+    return g.filter((F.col("n") > 1) & several).select(key, *[F.concat_ws(",", c).alias(c) for c in columns])
 
 
 def series_gaps(df: DataFrame, series: str, volume: str) -> DataFrame:
