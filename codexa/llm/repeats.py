@@ -140,7 +140,9 @@ def _remove_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     same = cut(mixed.groupBy("key", "block").agg(F.min(F.struct(*ROW, "at")).alias("first"), F.count("*").alias("c")))
     mixed = mixed.select(*ROW, "at", "n", "key", "block").join(same, ["key", "block"])
     sure = sure.unionByName(mixed.filter(F.col("id") > F.col("first.id") if kind.earlier else F.col("c") > 1).select(*span))
-    asked = mixed.filter(F.struct(*ROW, "at") == F.col("first")).select(*ROW, "at", "n", "key")
+    # One of each kind stands for the rest; where order counts, all that the first document has of it must ask.
+    stands = F.col("id") == F.col("first.id") if kind.earlier else F.struct(*ROW, "at") == F.col("first")
+    asked = mixed.filter(stands).select(*ROW, "at", "n", "key")
     # Both reads of the texts join the same columns on the same keys, so that they share one exchange.
     if kind.resolve is None:
         spans = sure.unionByName(_by_window(docs, _spans(asked), kind))

@@ -54,6 +54,17 @@ def test_words(spark, data):
     assert result(repeats.remove_repeats(corpus.frame(spark, data), recompression.KIND)) == brute_words(data)
 
 
+def test_blocks_that_repeat_in_their_first_document(spark):
+    """A later document holds a line many times in one context, an earlier one in another."""
+    line = " ".join(f"w{i}" for i in range(54))
+    rows = [(1, f"a b c {line} d e f", None, None, 0), (2, f"x y z {line} q r s t u v " * 9, None, None, 0), (2, f"x y z {line} q r s t u v " * 3, None, None, 0), (3, f"x y z {line} q", None, None, 0)]
+    got = result(repeats.remove_repeats(corpus.frame(spark, [r for r in rows if r is not rows[2]]), recompression.KIND))
+    assert got == brute_words([r for r in rows if r is not rows[2]]) and got[2][1] == 9 * 54
+    both = repeats.remove_repeats(corpus.frame(spark, rows), recompression.KIND).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in both) == [(1, 0), (2, 3 * 54), (2, 9 * 54), (3, 58)]
+    assert result(repeats.remove_repeats(corpus.frame(spark, rows[:2]), suffixes.KIND)) == brute_bytes(rows[:2])
+
+
 def test_bytes(spark, data):
     assert result(repeats.remove_repeats(corpus.frame(spark, data), suffixes.KIND)) == brute_bytes(data)
 
