@@ -6,6 +6,8 @@ told otherwise.  Blank strings count as missing throughout.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,19 +20,44 @@ ASIN = r"(?i)^B0[A-Z0-9]{8}$"
 ASIN_IN_TEXT = r"\b(B0[A-Z0-9]{8})\b"
 YEAR = r"\b((?:19|20)\d{2})\b"
 #: (pattern, confidence), first hit first.
-SERIES = ((r"(?i)^(.+?)[,\s]+book\s+(\d+)", 0.95), (r"^(.+?)\s+#(\d+)", 0.90), (r"(?i)^(.+?)[,\s]+part\s+(\d+)", 0.85))
-TRACK_PATTERNS = (r"(?i)^(\d{1,3})(?:[\s._-]|$)", r"(?i)track\s*(\d+)", r"(?i)chapter\s*(\d+)", r"(?i)part\s*(\d+)", r"(\d+)")
-DISC_PATTERN = r"(?i)(?:cd|dis[ck]|book|vol(?:ume)?|part)\s*[-_.]?\s*(\d+)$"
+SERIES = ((r"(?i)(.+?)\s+(?:book|vol(?:ume)?)\s+(\d+)", 0.95), (r"(?i)(.+?)\s+#(\d+)", 0.90), (r"(?i)(.+?)\s+part\s+(\d+)", 0.85))
+NAMED_SERIES = r"(?i)(.+?)\s+(?:book|vol|volume)\s*(\d+)"
+TRACK_PATTERNS = (r"^(\d{1,3})", r"(?i)track\s*(\d+)", r"(?i)ch(?:apter)?\s*(\d+)", r"(?i)part\s*(\d+)", r"(\d+)\s*[-_.]\s*")
+DISC_PATTERN = r"(?i)^(?:disc(?:\s*|[-_])|cd(?:\s*|[-_])|book\s*|volume\s*|vol\.?\s*)(\d+)$"
+SUFFIX_DISC = r"(?i)^(.+?)[\s\-_]+(?:disc|cd|disk|part|pt)[\s\-_]*(\d+)$"
+SEGMENT = r"(?i)^(.+?)(?:[\s\-_]+(?:disc|cd|disk|part|pt))?[\s\-_]*(\d+)$"
+CODE_NAME = r"^[A-Z]{1,4}\s*\d+$"
+LAST_FIRST_NAME = r"^[^\d,]{2,}?,\s+[^\d,]{2,}$"
+NAME_TOKEN = r"^(?:[A-Z][A-Za-z'`-]*|[A-Z](?:\.[A-Z])+\.?|[A-Z]\.)$"
+NOT_IN_NAMES = ("a", "an", "and", "book", "cd", "chapter", "disc", "disk", "for", "in", "of", "on", "part", "pt", "the", "to", "track", "vol", "volume", "with")
+AUTHOR_SPLIT = r"\s*(?:,|/|&|and)\s*"
 
 
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def _decomposed() -> dict[str, str]:
+    """What compatibility decomposition leaves of a character in ASCII, where it leaves any."""
+    found = {}
+    for n in range(0x80, 0x10000):
+        if plain := unicodedata.normalize("NFKD", chr(n)).encode("ascii", "ignore").decode() if not 0xD800 <= n < 0xE000 else "":
+            found[chr(n)] = plain
+    return found
+
+
+_PLAIN = _decomposed()
+_SINGLE = [c for c, p in _PLAIN.items() if len(p) == 1]
+_SEVERAL = {c: p for c, p in _PLAIN.items() if len(p) > 1}
+
+
 def fold(c: Column) -> Column:
-    """Letters without their marks where they have some, then ASCII alone."""
-    marked, plain = "áàâäãåéèêëíìîïóòôöõúùûüçñýÿ", "aaaaaaeeeeiiiiooooouuuucnyy"
-    return F.regexp_replace(F.translate(c, marked + marked.upper().replace("Ÿ", ""), plain + plain.upper()[:-1]), r"[^\x00-\x7F]", "")
+    """Compatibility decomposition, then ASCII alone: letters lose their marks, ligatures part."""
+    table = F.create_map(*[F.lit(x) for kv in _SEVERAL.items() for x in kv])
+    parted = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    has = c.rlike("[" + "".join(f"\\x{{{ord(x):x}}}" for x in _SEVERAL) + "]")
+    plain = F.translate(F.when(has, parted).otherwise(c), "".join(_SINGLE), "".join(_PLAIN[x] for x in _SINGLE))
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.regexp_replace(plain, r"[^\x00-\x7F]", ""))
 
 
 def squeeze(c: Column) -> Column:
@@ -38,7 +65,7 @@ def squeeze(c: Column) -> Column:
 
 
 def normalize_title(c: Column) -> Column:
-    t = F.regexp_replace(F.trim(F.lower(c)), r",\s*the$", "")
+    t = F.regexp_replace(F.trim(F.lower(c)), rf",\s*(?:{'|'.join(ARTICLES)})$", "")
     t = F.regexp_replace(t, rf"^(?:{'|'.join(ARTICLES)})\s+", "")
     return fold(squeeze(F.regexp_replace(t, r"[^\p{L}\p{N}_\s-]", "")))
 
@@ -46,7 +73,7 @@ def normalize_title(c: Column) -> Column:
 def normalize_author(c: Column) -> Column:
     t = F.trim(F.lower(c))
     for s in SUFFIXES:
-        t = F.regexp_replace(t, s.replace(".", r"\.") + "$", "")
+        t = F.trim(F.regexp_replace(t, s.replace(".", r"\.") + "$", ""))
     t = fold(t)
     return F.when(t.contains(","), F.concat_ws(" ", F.trim(F.regexp_extract(t, r"^[^,]*,(.*)$", 1)), F.trim(F.regexp_extract(t, r"^([^,]*),", 1)))).otherwise(t)
 
@@ -80,7 +107,8 @@ def valid_asin(c: Column) -> Column:
 
 
 def clean_noise(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*\[[^\]]*\]\s*", " "), r"\s*\([^)]*\)\s*", " "))
+    """Without bracketed parts and the space around them."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s*\[.*?\]\s*", ""), r"\s*\(.*?\)\s*", ""))
 
 
 def split_dash(c: Column, part: int) -> Column:
@@ -122,9 +150,86 @@ def shorten(c: Column, most: int = 30) -> Column:
 
 
 def implausible_person(c: Column) -> Column:
-    """A code, mostly digits, or a single token of three characters at most."""
-    digits = F.length(F.regexp_replace(c, r"[^0-9]", ""))
-    return c.isNull() | (digits * 2 > F.length(c)) | (~c.contains(" ") & (F.length(c) <= 3))
+    """A code, mostly digits, or a single token of three characters at most; blank isn't."""
+    t = F.trim(c)
+    solid = F.length(F.regexp_replace(t, r"\s", ""))
+    digits = F.length(F.regexp_replace(t, r"[^0-9]", ""))
+    return F.coalesce((t != "") & (t.rlike(CODE_NAME) | (digits * 2 > solid) | (~t.rlike(r"\s") & (F.length(t) <= 3))), F.lit(False))
+
+
+def personal_name(c: Column) -> Column:
+    """Two to four tokens that could all be parts of a name, one of them longer than a letter."""
+    tokens = F.split(F.trim(c), r"\s+")
+    letters = lambda t: F.regexp_replace(t, "[^A-Za-z]", "")
+    fits = F.forall(tokens, lambda t: t.rlike(NAME_TOKEN) & ~F.lower(letters(t)).isin(*NOT_IN_NAMES))
+    return F.coalesce(F.size(tokens).between(2, 4) & fits & F.exists(tokens, lambda t: F.length(letters(t)) > 1), F.lit(False))
+
+
+def sides(c: Column, collapsed: Column) -> Column:
+    """struct(title, author) of "Author - Title"; of collapsed discs the side that is a name is the author."""
+    left, right = split_dash(c, 1), split_dash(c, 2)
+    usual = F.struct(right.alias("title"), F.when(~implausible_person(left), left).alias("author"))
+    swapped = collapsed & personal_name(right) & ~personal_name(left)
+    named = F.when(swapped, F.struct(left.alias("title"), right.alias("author"))).when(collapsed & personal_name(left) & ~personal_name(right), F.struct(right.alias("title"), left.alias("author")))
+    return F.coalesce(named, usual)
+
+
+def name_guess(c: Column, collapsed: Column) -> Column:
+    """struct(title, author, series, volume) of a folder's or file's name."""
+    t = clean_noise(c)
+    pair = sides(t, collapsed)
+    none = F.lit(None).cast("string")
+    series = F.struct(t.alias("title"), none.alias("author"), F.trim(F.regexp_extract(t, NAMED_SERIES, 1)).alias("series"), F.regexp_extract(t, NAMED_SERIES, 2).alias("volume"))
+    plain = F.struct(F.coalesce(pair["title"], blank_to_null(t)).alias("title"), pair["author"].alias("author"), none.alias("series"), none.alias("volume"))
+    return F.when(t.rlike(NAMED_SERIES), series).otherwise(plain)
+
+
+def parent_author(c: Column) -> Column:
+    """The author that a parent folder names: before a dash, or as "Last, First"."""
+    t = clean_noise(c)
+    return F.coalesce(sides(t, F.lit(False))["author"], F.when(t.rlike(LAST_FIRST_NAME) & ~implausible_person(t), t))
+
+
+def album_disc(c: Column) -> Column:
+    """struct(stem, disc): "On Combat Disc 3" is disc 3 of "On Combat"."""
+    t = F.trim(c)
+    has = t.rlike(SUFFIX_DISC)
+    stem = F.when(has, blank_to_null(F.regexp_extract(t, SUFFIX_DISC, 1))).otherwise(c)
+    return F.struct(stem.alias("stem"), F.when(has, F.regexp_extract(t, SUFFIX_DISC, 2).try_cast("int")).alias("disc"))
+
+
+def asin_in(c: Column) -> Column:
+    """The first product code in free text, in capitals."""
+    return F.nullif(F.upper(F.regexp_extract(c, "(?i)" + ASIN_IN_TEXT, 1)), F.lit(""))
+
+
+def track_title(stem: Column) -> Column:
+    return F.coalesce(blank_to_null(F.replace(F.regexp_replace(stem, r"^[\d\s._-]+", ""), F.lit("_"), F.lit(" "))), blank_to_null(stem), F.lit("Track"))
+
+
+def truncate(c: Column, most: int) -> Column:
+    """Whole words and an ellipsis, or a cut word and one, where a text is too long."""
+    words = F.split(F.trim(c), r"\s+")
+    joined = lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+    fitting = F.size(F.filter(F.sequence(F.lit(1), F.size(words)), lambda n: F.length(joined(n)) + (n == 1).cast("int") <= most - 3))
+    short = F.when(c.contains(" ") & (fitting > 0), F.concat(joined(fitting), F.lit("..."))).otherwise(F.concat(F.left(c, F.lit(most - 3)), F.lit("...")))
+    return F.when(F.length(c) <= most, c).otherwise(short)
+
+
+def safe_path(c: Column, part: int = 100, most: int = 255) -> Column:
+    """Each part without forbidden characters and of bounded length, the whole bounded too."""
+    parts = F.transform(F.split(c, r"[\\/]"), lambda p: truncate(F.regexp_replace(F.trim(p), FORBIDDEN, "_"), part))
+    return truncate(F.array_join(F.filter(parts, lambda p: p != ""), "/"), most)
+
+
+def author_list(c: Column) -> Column:
+    """Names between commas, slashes, ampersands and the letters "and", wherever these stand."""
+    return F.filter(F.transform(F.split(c, AUTHOR_SPLIT), F.trim), lambda a: a != "")
+
+
+def epoch_seconds(c: Column) -> Column:
+    """A stamp as number or ISO text, in seconds; 0 where it is neither."""
+    return F.coalesce(c.try_cast("double"), F.unix_micros(F.try_to_timestamp(c)) / 1e6, F.lit(0.0))
 
 
 def clock(ms: Column) -> Column:

@@ -544,7 +544,7 @@ def author_normalize(spark, d):
 SELECT p_partkey, p_name AS series, CAST(p_size AS VARCHAR) AS volume, CAST(CASE p_partkey % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.90 ELSE 0.85 END AS DOUBLE) AS confidence FROM part""")
 def series_extract(spark, d):
     """P-S6, P-S10: series and volume in a title."""
-    title = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" Book ", "p_name", F.col("p_size").cast("string"))).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" #", "p_name", F.col("p_size").cast("string"))).otherwise(F.concat_ws(", part ", "p_name", F.col("p_size").cast("string")))
+    title = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" Book ", "p_name", F.col("p_size").cast("string"))).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" #", "p_name", F.col("p_size").cast("string"))).otherwise(F.concat_ws(" part ", "p_name", F.col("p_size").cast("string")))
     s = X.series_of(title)
     return table(spark, d, "part").select("p_partkey", s["series"].alias("series"), s["volume"].alias("volume"), s["confidence"].alias("confidence"))
 
