@@ -23,6 +23,15 @@ def problems(template: str, known: set[str]) -> list[str]:
     return found + [f"unknown token {name}" for name, _ in TOKEN.findall(template) if name not in known]
 
 
+def template_problems(template: Column, known: list[str]) -> Column:
+    """The same for a column of templates: struct(unknown, forbidden, unbalanced, formats)."""
+    names = F.regexp_extract_all(template, F.lit(r"\{(\w+)(?::[^}]*)?\}"), 1)
+    formats = F.filter(F.regexp_extract_all(template, F.lit(r"\{\w+:([^}]*)\}"), 1), lambda f: ~f.rlike(r"^\d+$"))
+    outside = F.regexp_replace(template, r"\{\w+(?::[^}]*)?\}", "")
+    braces = lambda b: F.length(template) - F.length(F.replace(template, F.lit(b), F.lit("")))
+    return F.struct(F.array_except(names, F.array(*[F.lit(k) for k in known])).alias("unknown"), outside.rlike(r'[<>:"|?*\\]').alias("forbidden"), (braces("{") != braces("}")).alias("unbalanced"), formats.alias("formats"))
+
+
 def render(template: str, tokens: dict[str, Column]) -> Column:
     """A template as one expression: blanks for null, then what they leave behind is tidied."""
     parts, at = [], 0

@@ -1 +1,3 @@
-"""Queries over the driver's tables, each with its SQL."""
+"""Queries over the driver's tables, each with its SQL; all register in ``queries``."""
+
+from . import moves, queries, scans  # noqa: F401
