@@ -95,3 +95,55 @@ def overlay(best: Column, rest: Column) -> Column:
 def completeness(isbn_13: Column, date: Column, *others: Column) -> Column:
     """How much an edition tells: ten for a code, five for a date, one for each other field."""
     return F.when(isbn_13.isNotNull(), 10).otherwise(0) + F.when(date.isNotNull(), 5).otherwise(0) + sum((o.isNotNull().cast("int") for o in others), F.lit(0))
+
+
+def product_page(df: DataFrame, json: str, asked: Column) -> DataFrame:
+    """A record asked for by code: the code asked is the one it has."""
+    v = F.try_parse_json(json)
+    codes = F.array(asked)
+    title = text(v, "$.title")
+    return _shape(
+        df, title=title, authors=names(v, "$.authors", "name"), year=F.regexp_extract(text(v, "$.publish_date"), YEAR, 1).try_cast("int"),
+        publisher=F.try_element_at(names(v, "$.publishers", "name"), F.lit(1)), isbn_10=F.when(title.isNotNull(), isbn(codes, 10)), isbn_13=F.when(title.isNotNull(), isbn(codes, 13)),
+    )
+
+
+def search_row(df: DataFrame, json: str) -> DataFrame:
+    """A search row: plain lists of names, series and codes; the last code of each length counts."""
+    v = F.try_parse_json(json)
+    codes = texts(v, "$.isbns")
+    author = text(v, "$.author_names")
+    authors = F.when(F.size(texts(v, "$.author_names")) > 0, texts(v, "$.author_names")).when(author.isNotNull() & ~author.startswith("["), F.array(author)).otherwise(F.array().cast("array<string>"))
+    return _shape(df, title=text(v, "$.title"), authors=authors, series=F.try_element_at(texts(v, "$.series_names"), F.lit(1)), isbn_10=isbn(codes, 10), isbn_13=isbn(codes, 13))
+
+
+def graph_book(df: DataFrame, json: str) -> DataFrame:
+    """A book of a graph with its editions: the first codes, the last length in seconds."""
+    v = F.try_parse_json(json)
+    editions = F.try_variant_get(v, "$.editions", "array<variant>")
+    field = lambda n, at: F.try_element_at(F.filter(F.transform(editions, lambda e: blank_to_null(F.try_variant_get(e, f"$.{n}", "string"))), lambda x: x.isNotNull()), F.lit(at))
+    seconds = field("audio_seconds", -1).try_cast("int")
+    people = F.transform(F.try_variant_get(v, "$.cached_contributors", "array<variant>"), lambda o: F.coalesce(blank_to_null(F.try_variant_get(o, "$.name", "string")), F.when(F.schema_of_variant(o) == "STRING", blank_to_null(F.try_variant_get(o, "$", "string")))))
+    return _shape(
+        df, title=text(v, "$.title"), authors=F.coalesce(F.array_compact(people), F.array().cast("array<string>")), series=text(v, "$.book_series[0].series.name"), volume=text(v, "$.book_series[0].position"),
+        year=F.try_variant_get(v, "$.release_year", "int"), isbn_10=field("isbn_10", 1), isbn_13=field("isbn_13", 1), runtime_minutes=F.floor(seconds / 60),
+    )
+
+
+def library_item(json: Column) -> Column:
+    """struct(id, title, author) of a server's item, wrapped or not."""
+    v = F.try_parse_json(json)
+    get = lambda *ps: F.coalesce(*[F.try_variant_get(v, p, "string") for p in ps])
+    return F.struct(
+        get("$.libraryItem.id", "$.id").alias("id"), get("$.libraryItem.media.metadata.title", "$.media.metadata.title", "$.libraryItem.title", "$.title").alias("title"),
+        F.coalesce(get("$.libraryItem.media.metadata.authorName", "$.media.metadata.authorName"), F.lit("")).alias("author"),
+    )
+
+
+def probed_chapters(df: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, ord, title, start_ms, end_ms) of a prober's chapters; without a title they are numbered."""
+    v = F.try_parse_json(json)
+    rows = df.select(key, F.posexplode(F.try_variant_get(v, "$.chapters", "array<variant>")).alias("ord", "c"))
+    at = lambda n: (F.try_variant_get("c", f"$.{n}", "string").try_cast("double") * 1000).cast("long")
+    title = F.coalesce(blank_to_null(F.try_variant_get("c", "$.tags.title", "string")), F.concat(F.lit("Chapter "), (F.col("ord") + 1).cast("string")))
+    return rows.select(key, "ord", title.alias("title"), at("start_time").alias("start_ms"), at("end_time").alias("end_ms"))

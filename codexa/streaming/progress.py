@@ -30,3 +30,43 @@ def stream_latest(events: DataFrame, key: str, at: str, order: str, values: list
 def windowed(events: DataFrame, at: str, late: str, width: str, by: list[str]) -> DataFrame:
     """Counts by window and key; rows later than the watermark are dropped."""
     return events.withWatermark(at, late).groupBy(F.window(at, width), *by).agg(F.count("*").alias("n"))
+
+
+def _versions(spark, place: str) -> list[int]:
+    """Numbers of the whole versions in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def merge_stream(events: DataFrame, key: str, at: str, order: str, values: list[str], place: str) -> DataFrame:
+    """Runs a stream to its end; its table of each key's newest row.
+
+    Every micro-batch writes a version under its number, from the whole version
+    before it and its own newest rows.  A batch that runs again, after a lost
+    executor or a new start on the same folder, writes the same version again.
+    """
+    spark = events.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = latest(batch, key, at, order, values)
+        if older := [v for v in _versions(spark, place) if v < number]:
+            rows = merge(spark.read.parquet(f"{place}/version={older[-1]}"), rows, key, at, values).drop("pulled")
+        rows.write.mode("overwrite").parquet(f"{place}/version={number}")
+
+    events.writeStream.foreachBatch(step).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not (whole := _versions(spark, place)):
+        return latest(spark.createDataFrame([], events.schema), key, at, order, values)
+    return spark.read.parquet(f"{place}/version={whole[-1]}")
+
+
+def run_updates(counts: DataFrame, keys: list[str], value: str, place: str) -> DataFrame:
+    """Runs a stream of growing counts to its end; the last one of each key."""
+    spark = counts.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/updates/part={number}")
+
+    counts.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in counts.schema.fields)}, batch long").parquet(f"{place}/updates/part=*")
+    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
