@@ -523,7 +523,7 @@ FOLD = "regexp_replace(translate({}, 'áàâäãåéèêëíìîïóòôöõúù
 
 
 @query(f"""
-WITH a AS (SELECT doc_id, regexp_replace(trim(lower(left(text, 60))), ',\\s*the$', '') AS t FROM documents),
+WITH a AS (SELECT doc_id, regexp_replace(trim(lower(left(text, 60))), ',\\s*(?:the|a|an|el|la|le|der|die)$', '') AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace(t, '^(?:the|a|an|el|la|le|der|die)\\s+', '') AS t FROM a),
 c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM b)
 SELECT doc_id, {FOLD.format('t')} AS title_key FROM c""")
