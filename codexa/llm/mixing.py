@@ -50,7 +50,8 @@ def targets(sizes: DataFrame, budget: float, cap: float, weights=WEIGHTS) -> Dat
         .withColumn("left_w", F.sum("w").over(by_room.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", F.col("left_words") / F.col("left_w"))
         .withColumn("clamped", F.col("w") * F.col("level") >= F.col("most"))
-        .withColumn("final", F.min(F.when(~F.col("clamped"), F.col("level"))).over(every))
+        # Levels fall along the unclamped ones, as each leaves out the caps before it: the first has the caps of the clamped alone.
+        .withColumn("final", F.max(F.when(~F.col("clamped"), F.col("level"))).over(every))
     )
     return t.select(*sizes.columns, F.when(F.col("clamped"), F.col("most")).otherwise(F.col("w") * F.col("final")).alias("target"))
 

@@ -44,6 +44,20 @@ def test_targets_and_taken(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(corpus.frame(spark)).collect()))
 
 
+@pytest.mark.parametrize("sizes", [{f"s{i}": 100 for i in range(3)}, {f"s{i:02}": 1000 + 37 * (i * i % 11) for i in range(20)}, {f"s{i:02}": 3**i for i in range(12)}])
+def test_targets_with_several_below_their_caps(spark, sizes):
+    rows = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), mixing.BUDGET, mixing.MAX_EPOCHS).collect()
+    assert {r["source"]: r["target"] for r in rows} == pytest.approx(brute_targets(sizes))
+    assert sum(r["target"] for r in rows) == pytest.approx(1.5 * sum(sizes.values()))
+
+
+def test_stage_keeps_every_source(spark):
+    data = [(i, "one two three four five", "en", f"s{i % 20:02}", 0) for i in range(200)]
+    got = {r["source"]: r["count"] for r in mixing.mix_stage(spark, corpus.frame(spark, data), "").groupBy("source").count().collect()}
+    want = brute_targets(sizes_of(data))
+    assert all(abs(got.get(s, 0) * 5 - want[s]) <= 5 for s in want)
+
+
 def test_stage_repeats_whole_documents(spark):
     data = corpus.rows()
     docs = corpus.frame(spark).selectExpr("*", "1 AS mix_key", "2 AS part")
