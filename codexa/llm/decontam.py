@@ -4,9 +4,12 @@ Numbers, units and names in a text become typed placeholders; what is left,
 lower-cased and without punctuation, is its template.  Windows of five template
 words are hash-joined with those of the benchmark items.  Where a document
 holds four fifths of an item's windows, the item's slots are aligned with the
-document's along the diagonal on which most windows match: the document is
-contaminated if each value of the item stands for one value throughout, be it
-the item's own (verbatim) or another (re-parameterised).
+document's along every diagonal on which windows match.  One is consistent if
+each value of the item stands for one value throughout, be it the item's own
+(verbatim) or another (re-parameterised).  The document is contaminated if a
+diagonal with most windows is consistent, or if the consistent ones together
+hold four fifths of the windows; slots are told of the consistent diagonal
+with most windows, the first of equals.
 
 Defined results: a null text has no words and matches nothing; an item of
 fewer than five words is one window of all its words, and matches a document
@@ -103,22 +106,28 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     grams, _ = small(grams, BROADCAST_WINDOWS)
     own = with_windows(_keyed(docs).withColumn("words", marked(F.col("text"))).select("id_key", "text_key", "words"))
     rows = own.select("id_key", "text_key", F.posexplode_outer("hashes").alias("doc_at", "hash")).join(grams, "hash")
-    by_line = rows.groupBy("id_key", "text_key", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("at"), F.count("*").alias("n"))
+    by_line = rows.groupBy("id_key", "text_key", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("at"))
     pairs = by_line.groupBy("id_key", "text_key", "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.max_by("shift", F.struct(F.size("at"), -F.col("shift"))).alias("shift")
+        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.collect_list(F.struct(F.size("at").alias("n"), "shift", "at")).alias("lines")
     )
     pairs = pairs.join(bench.select("item", "item_id", "n_windows"), "item").filter(F.col("n_matched") >= share * F.col("n_windows"))
     pairs = cut(pairs)
-    hinted, _ = small(pairs, BROADCAST_PAIRS)
-    # Slots of the candidates: (item value, document value) at the same place.
+    hinted, _ = small(pairs.drop("lines"), BROADCAST_PAIRS)
+    # Slots of the candidates on each diagonal: (item value, document value) at the same place.
     texts = _keyed(docs).join(hinted, ["id_key", "text_key"]).withColumn("words", marked(F.col("text"))).dropDuplicates(["id_key", "text_key", "item"])
-    both = texts.join(bench.select("item", F.col("words").alias("asked")), "item")
-    aligned = F.transform("asked", lambda w, i: F.struct(w.alias("was"), F.get("words", i + F.col("shift")).alias("is")))
-    slots = F.filter(aligned, lambda s: (s["was"] < F.lit("\x04")) & s["is"].isNotNull() & (F.substring(s["was"], 1, 1) == F.substring(s["is"], 1, 1)))
-    both = both.withColumn("slots", F.array_distinct(slots))
-    both = both.withColumn("consistent", F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["was"]))))
+    both = texts.join(bench.select("item", F.col("words").alias("asked")), "item").join(pairs.select("id_key", "text_key", "item", "lines"), ["id_key", "text_key", "item"])
+
+    def slots(line):
+        aligned = F.transform("asked", lambda w, i: F.struct(w.alias("was"), F.get("words", i + line["shift"]).alias("is")))
+        held = F.filter(aligned, lambda s: (s["was"] < F.lit("\x04")) & s["is"].isNotNull() & (F.substring(s["was"], 1, 1) == F.substring(s["is"], 1, 1)))
+        return F.struct(line["n"].alias("n"), (-line["shift"]).alias("back"), line["at"].alias("at"), F.array_distinct(held).alias("slots"))
+
+    both = both.withColumn("most", F.array_max(F.transform("lines", lambda x: x["n"]))).withColumn("lines", F.transform("lines", slots))
+    both = both.withColumn("lines", F.filter("lines", lambda x: F.size(x["slots"]) == F.size(F.array_distinct(F.transform(x["slots"], lambda s: s["was"])))))
+    whole = F.size(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["at"])))) >= share * F.col("n_windows")
+    both = both.withColumn("best", F.array_max(F.transform("lines", lambda x: F.struct(x["n"].alias("n"), x["back"].alias("back"), x["slots"].alias("slots")))))
+    both = both.filter((F.col("best.n") == F.col("most")) | whole).withColumn("slots", F.col("best.slots"))
     both = both.withColumn("n_changed", F.size(F.filter("slots", lambda s: s["was"] != s["is"])))
-    both = both.filter("consistent")
     return both.select("doc_id", "item_id", F.col("n_matched").cast("long").alias("n_matched"), F.col("n_windows").cast("long").alias("n_windows"), F.size("slots").cast("long").alias("n_slots"), F.col("n_changed").cast("long").alias("n_changed"), "id_key", "text_key")
 
 

@@ -24,6 +24,22 @@ def test_leaks(spark):
     assert got[10, 1] == 0 and got[11, 1] > 0 and got[18, 7] > 0
 
 
+def test_every_diagonal(spark):
+    """A copy counts wherever it stands, beside variants that don't hold the item's slots."""
+    item, other = ITEMS[6][1], "what is the sum of 8 and 9 and 5 again"
+    both = ["%s so %s yes", "%s and " + other + " or %s", "%s then %s", "%s but %s"]
+    texts = [(i, t % (other, item), 1) for i, t in enumerate(both)]
+    texts += [(10, f"{item} so {other}", 1), (11, f"{other} so {other}", 1), (12, "so " * 300 + f"{other} " * 50 + item, 1)]
+    # A copy with a word put in, after a whole variant: its halves hold the share together.
+    long = "count 3 blue birds on one old roof then 4 red birds in some tall tree then 3 more grey birds near that wide green lake"
+    wrong = long.replace("3 blue", "8 blue").replace("4 red", "9 red").replace("3 more", "5 more")
+    right = long.replace("some tall", "some very tall")
+    texts += [(20, wrong, 1), (21, f"{wrong} so {right}", 1)]
+    items = spark.createDataFrame([ITEMS[6], (8, long)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in decontam.leaks(spark.createDataFrame(texts, "doc_id long, text string, words int"), items).collect()}
+    assert got == {(i, 7): 0 for i in (0, 1, 2, 3, 10, 12)} | {(21, 8): 0}
+
+
 def test_stage(spark, tmp_path):
     data = [(d, t, None, None, 0) for d, t in DOCS]
     path = corpus.write(spark, tmp_path, data, benchmark=(ITEMS, "item_id long, text string"))
