@@ -104,14 +104,17 @@ def links(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) of a cut (doc_id, fp) table."""
+    """(fp, top, component_id) of a cut (doc_id, fp) table.
+
+    ``top`` is a fingerprint of the group and names it; component_id is its least doc_id, which groups may share.
+    """
     own = cut(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first_id")))
     tied, between = links(own.select("fp"))
     joined = cut(components(between))
     node = own.join(tied, own["fp"] == tied["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("class"))
     node = node.join(joined.withColumnsRenamed({"node": "class_node", "root": "top"}), F.col("class") == F.col("class_node"), "left")
     node = cut(node.select("fp", "first_id", F.coalesce("top", "class").alias("top")))
-    return node.join(node.groupBy("top").agg(F.min("first_id").alias("component_id")), "top").select("fp", "component_id")
+    return node.join(node.groupBy("top").agg(F.min("first_id").alias("component_id")), "top").select("fp", "top", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -153,5 +156,5 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     schema = ", ".join(f"{n} {t}" for n, (_, t) in zip([*names, "fp"], [*docs.dtypes, ("", "long")], strict=True))
     marked = rows.mapInArrow(run, schema).join(of, "fp").filter(F.coalesce(F.col(docs_id).cast("long"), F.lit(NO_ID)) == F.col("component_id"))
     # Partial aggregates: however many rows share an id, few reach one task.
-    one = marked.groupBy("component_id", "fp").agg(F.min(F.struct(*names)).alias("r")).groupBy("component_id").agg(F.min("r").alias("r"))
+    one = marked.groupBy("top", "fp").agg(F.min(F.struct(*names)).alias("r")).groupBy("top").agg(F.min("r").alias("r"))
     return restore(regular.unionByName(one.select(*[F.col(f"r.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)])))

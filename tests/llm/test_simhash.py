@@ -56,6 +56,15 @@ def test_stage_keeps_one_of_each_group(spark, odd):
     assert kept[0].asDict()["fp"] == 7 and list(kept[0].asDict()) == docs.columns
 
 
+def test_stage_keeps_unrelated_rows_without_ids_of_their_own(spark):
+    lone = ["lonely words that nobody else has in this corpus at all", "quite another text with nothing in common to the others", "a third one about rivers and boats in the north country"]
+    data = [(None, t, "en", "s", 0) for t in (lone[0], lone[0], lone[1])]
+    data += [(7, t, "en", "s", 0) for t in ("grey horses run along the empty beach before noon", "seven clocks strike at once in the old town hall", "seven clocks strike at once in the old town hall")]
+    data += [(9, lone[2], "en", "s", 0), (None, lone[2], "en", "s", 0)]
+    kept = simhash.simhash_stage(spark, corpus.frame(spark, data), "").collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept) == sorted([(-1, lone[0]), (-1, lone[1]), (7, data[3][1]), (7, data[4][1]), (9, lone[2])])
+
+
 def FP(row, memo={}):  # noqa: B006, N802
     return memo.setdefault(row[1], corpus.simhash(row[1]))
 
