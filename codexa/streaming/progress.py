@@ -27,11 +27,6 @@ def stream_latest(events: DataFrame, key: str, at: str, order: str, values: list
     return state.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed(events: DataFrame, at: str, late: str, width: str, by: list[str]) -> DataFrame:
-    """Counts by window and key; rows later than the watermark are dropped."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width), *by).agg(F.count("*").alias("n"))
-
-
 def _versions(spark, place: str) -> list[int]:
     """Numbers of the whole versions in a folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/version=*/_SUCCESS")
@@ -60,13 +55,20 @@ def merge_stream(events: DataFrame, key: str, at: str, order: str, values: list[
     return spark.read.parquet(f"{place}/version={whole[-1]}")
 
 
-def run_updates(counts: DataFrame, keys: list[str], value: str, place: str) -> DataFrame:
-    """Runs a stream of growing counts to its end; the last one of each key."""
-    spark = counts.sparkSession
+def count_stream(events: DataFrame, by: list[str], place: str) -> DataFrame:
+    """Runs a stream to its end; its rows counted by key.
+
+    Every micro-batch writes its own counts under its number, and they are summed
+    at the end: rows count however late they come.  A batch that runs again writes
+    the same counts again.
+    """
+    spark = events.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/updates/part={number}")
+        batch.groupBy(*by).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{place}/version={number}")
 
-    counts.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in counts.schema.fields)}, batch long").parquet(f"{place}/updates/part=*")
-    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+    events.writeStream.foreachBatch(step).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = events.select(*by).schema.add("n", "long")
+    whole = [f"{place}/version={v}" for v in _versions(spark, place)]
+    rows = spark.read.schema(schema).parquet(*whole) if whole else spark.createDataFrame([], schema)
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"))

@@ -96,3 +96,15 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_merge_is_strict(spark):
     ours, theirs = (spark.createDataFrame(r, "u int, at long, v string") for r in ([(1, 5, "a"), (2, 5, "a")], [(1, 5, "b"), (2, 6, "b"), (3, 1, "b")]))
     assert {(r["u"], r["v"]) for r in progress.merge(ours, theirs, "u", "at", ["v"]).collect()} == {(1, "a"), (2, "b"), (3, "b")}
+
+
+def test_stream_daily_counts_files_in_any_order(spark, tmp_path):
+    from codexa.plans import streams
+
+    days = [5, 1, 9, 3, 1, 5]
+    for i, day in enumerate(days):
+        rows = [(i * 10 + k, f"2024-01-{day:02} 0{k}:00:00", 1, ["view", "buy"][k % 2], 1.0) for k in range(4)]
+        events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+        events.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = {(r["day_start"].day, r["event_type"]): r["n"] for r in streams.stream_daily(spark, str(tmp_path)).collect()}
+    assert got == {(day, kind): 2 * days.count(day) for day in days for kind in ("view", "buy")}
