@@ -43,6 +43,26 @@ def test_hot_ids_and_equal_rows(spark):
     assert sum(r["count"] for r in out) == 100 and max(r["count"] for r in out) <= 20
 
 
+@pytest.mark.parametrize(("copies", "size", "limit", "slices"), [(32, 10, 160, 32), (32, 10, 20, 8), (32, 10, 40, 16), (4, 300, 160, 4), (7, 10, 25, 3)])
+def test_copies_are_dealt_evenly(spark, copies, size, limit, slices):
+    """Equal rows over the limit, one or few a partition: each shard has what the limit holds, or one row and the flag."""
+    data = [(1, "x" * size, None, None, i) for i in range(copies)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(data, slices), corpus.SCHEMA)
+    rows = sharding.shard(docs.unionByName(corpus.frame(spark)), limit, 12).filter("doc_id = 1").collect()
+    per = max(1, limit // size)
+    sizes = {}
+    for r in rows:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + size
+    assert len(rows) == copies and sorted(sizes.values()) == sorted([per * size] * (copies // per) + [copies % per * size] * (copies % per > 0))
+    assert all(r["shard_bytes"] == sizes[r["shard"]] and r["oversized"] == (size > limit) for r in rows)
+
+
+def test_directory_beyond_broadcast(spark, monkeypatch):
+    want = sorted(map(tuple, sharding.shard(corpus.frame(spark), 3000).collect()), key=repr)
+    monkeypatch.setattr(sharding, "BROADCAST_BUCKETS", 0)
+    assert sorted(map(tuple, sharding.shard(corpus.frame(spark), 3000).collect()), key=repr) == want
+
+
 def test_odd_tables(spark):
     docs = corpus.frame(spark, []).selectExpr("*", "'old' AS shard", "1 AS prefix", "2 AS parts")
     out = sharding.shard(docs)
