@@ -14,6 +14,8 @@ separate documents; an empty table gives no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 MAX_EPOCHS = 2
 SEED = 20240607
-BUCKETS = 4096
+#: Rows that one window puts in order, about; what is above it comes in two levels of buckets.
+ROWS_A_BUCKET = 16_384
 BROADCAST_SOURCES = 100_000
 
 
@@ -59,36 +62,45 @@ def targets(sizes: DataFrame, budget: float, cap: float, weights=WEIGHTS) -> Dat
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
     """Each document's source key, size, and place in the seeded order."""
     h = F.xxhash64(F.lit(seed).cast("long"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
-    return docs.select(
-        "*",
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("mix_key"),
-        word_count(F.col("text")).alias("mix_size"),
-        F.pmod(h, F.lit(BUCKETS)).alias("mix_bucket"),
-        h.alias("mix_hash"),
-    )
+    return docs.select("*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("mix_key"), word_count(F.col("text")).alias("mix_size"), h.alias("mix_hash"))
+
+
+def _buckets(width: int) -> tuple[Column, Column]:
+    """A row's coarse and fine bucket, as many of each; the order is by both, then by hash."""
+    h = F.col("mix_hash")
+    return F.pmod(h, F.lit(width)).alias("mix_coarse"), F.pmod(F.shiftrightunsigned(h, 31), F.lit(width)).alias("mix_fine")
 
 
-def _placed(keyed: DataFrame, budget: float, cap: float, weights) -> DataFrame:
-    """Rows of (doc_id, source, mix_*) with their source's target and their part of its last repetition."""
+def _placed(keyed: DataFrame, budget: float, cap: float, weights) -> tuple[DataFrame, int]:
+    """Rows of (doc_id, source, mix_*) with their source's target and their part of its last repetition; buckets a level.
+
+    No window is larger than the square root of the rows over ROWS_A_BUCKET, or than a fine bucket of one source.
+    """
     base = cut(keyed.withColumn("row", F.monotonically_increasing_id()))
-    sums = cut(base.groupBy("mix_key", "mix_bucket").agg(F.sum("mix_size").alias("words"), F.first("source").alias("source")))
-    goal = targets(sums.groupBy("mix_key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), budget, cap, weights)
+    width = max(1, math.ceil(math.sqrt(base.count() / ROWS_A_BUCKET)))
+    base = base.select("*", *_buckets(width))
+    fine, coarse = ["mix_key", "mix_coarse", "mix_fine"], ["mix_key", "mix_coarse"]
+    sums = cut(base.groupBy(*fine).agg(F.sum("mix_size").alias("words"), F.first("source").alias("source")))
+    of_coarse = sums.groupBy(*coarse).agg(F.sum("words").alias("words"), F.first("source").alias("source"))
+    goal = targets(of_coarse.groupBy("mix_key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), budget, cap, weights)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("extra", F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))
-    # One row a source and bucket, so at most BUCKETS rows meet in this window.
-    before = Window.partitionBy("mix_key").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("begin", F.coalesce(F.sum("words").over(before), F.lit(0).cast("long"))).join(goal.drop("source"), "mix_key")
-    starts = starts.drop("words", "source")
-    inside = Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_hash", "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumn("ahead", F.coalesce(F.sum("mix_size").over(inside), F.lit(0).cast("long"))).join(starts, ["mix_key", "mix_bucket"])
-    part = F.least(F.col("mix_size"), F.greatest(F.lit(0).cast("long"), F.col("extra") - F.col("begin") - F.col("ahead")))
-    return placed.withColumn("part", part)
+
+    def before(size, by, *order):
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(size).over(w), F.lit(0).cast("long"))
+
+    starts = of_coarse.withColumn("begin", before("words", ["mix_key"], "mix_coarse")).join(goal.drop("source"), "mix_key").drop("words", "source")
+    starts = sums.withColumn("within", before("words", coarse, "mix_fine")).drop("words", "source").join(starts, coarse)
+    placed = base.withColumn("ahead", before("mix_size", fine, "mix_hash", "row")).join(starts, fine)
+    part = F.least(F.col("mix_size"), F.greatest(F.lit(0).cast("long"), F.col("extra") - F.col("begin") - F.col("within") - F.col("ahead")))
+    return placed.withColumn("part", part), width
 
 
 def mix(docs: DataFrame, budget: float = BUDGET, cap: float = MAX_EPOCHS, seed: int = SEED, weights=WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target, taken: words taken, with repeats."""
     keyed = _keyed(docs.select("doc_id", "source", "text"), seed).drop("text")
-    return _placed(keyed, budget, cap, weights).select(
+    return _placed(keyed, budget, cap, weights)[0].select(
         "doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("mix_size") + F.col("part")).alias("taken")
     )
 
@@ -103,15 +115,16 @@ def repeat(docs: DataFrame, budget: float = BUDGET, cap: float = MAX_EPOCHS, see
     """
     docs, restore = apart(docs, ("doc_id", "source", "text"))
     keyed = _keyed(docs, seed)
-    placed = _placed(keyed.select("source", "mix_key", "mix_size", "mix_bucket", "mix_hash"), budget, cap, weights)
+    placed, width = _placed(keyed.select("source", "mix_key", "mix_size", "mix_hash"), budget, cap, weights)
+    order = ("mix_coarse", "mix_fine", "mix_hash")
     due = (F.col("mix_size") > 0) & (F.col("part") * 2 >= F.col("mix_size"))
     ends = placed.groupBy(F.col("mix_key").alias("mix_end_key")).agg(
-        F.first("epochs").alias("mix_epochs"), F.max(F.when(due, F.struct("mix_bucket", "mix_hash"))).alias("mix_last")
+        F.first("epochs").alias("mix_epochs"), F.max(F.when(due, F.struct(*order))).alias("mix_last")
     )
     ends, _ = small(cut(ends), BROADCAST_SOURCES)
-    again = F.coalesce(F.struct("mix_bucket", "mix_hash") <= F.col("mix_last"), F.lit(False))
+    again = F.coalesce(F.struct(*order) <= F.col("mix_last"), F.lit(False))
     copies = F.when(F.col("mix_size") == 0, F.greatest(F.col("mix_epochs"), F.lit(1))).otherwise(F.col("mix_epochs") + again.cast("int"))
-    joined = keyed.join(ends, F.col("mix_key") == F.col("mix_end_key"))
+    joined = keyed.select("*", *_buckets(width)).join(ends, F.col("mix_key") == F.col("mix_end_key"))
     return restore(joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns))
 
 

@@ -27,7 +27,9 @@ def sizes_of(data):
     return sizes
 
 
-def test_targets_and_taken(spark):
+@pytest.mark.parametrize("rows", [mixing.ROWS_A_BUCKET, 3])
+def test_targets_and_taken(spark, monkeypatch, rows):
+    monkeypatch.setattr(mixing, "ROWS_A_BUCKET", rows)
     data = corpus.rows()
     want, sizes = brute_targets(sizes_of(data)), sizes_of(data)
     of = {d: (s, len((t or "").split())) for d, t, _, s, _ in data}
@@ -58,7 +60,9 @@ def test_stage_keeps_every_source(spark):
     assert all(abs(got.get(s, 0) * 5 - want[s]) <= 5 for s in want)
 
 
-def test_stage_repeats_whole_documents(spark):
+@pytest.mark.parametrize("rows", [mixing.ROWS_A_BUCKET, 3])
+def test_stage_repeats_whole_documents(spark, monkeypatch, rows):
+    monkeypatch.setattr(mixing, "ROWS_A_BUCKET", rows)
     data = corpus.rows()
     docs = corpus.frame(spark).selectExpr("*", "1 AS mix_key", "2 AS part")
     out = mixing.mix_stage(spark, docs, "")
