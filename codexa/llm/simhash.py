@@ -4,7 +4,9 @@ Documents with one fingerprint are one node.  Fingerprints within ``RADIUS``
 bits differ by few bits in some segment: with radii r_k whose sum of (r_k + 1)
 exceeds RADIUS, a pair is within r_k bits in at least one segment k.  So each
 fingerprint asks every segment's table for the values within that segment's
-radius, and the distance of what it finds is computed in full.
+radius, and the distance of what it finds is computed in full.  Few wide
+segments ask often and find little, many narrow ones the reverse; all are
+exact, and the number of fingerprints says which comes to the least work.
 
 A dense group of near copies would meet in all pairs.  First every
 fingerprint is tied to the least one of its segment values, where they are
@@ -20,19 +22,23 @@ don't matter.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import components
 from .store import apart, cut, documents
 
 SHINGLE = 4
 RADIUS = 4
-#: (first bit, width, radius): 2 + 2 + 1 = RADIUS + 1.
-SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+#: Radii of the segments that 64 bits may be divided into; in each, the sum of (r + 1) is RADIUS + 1.
+LAYOUTS = ((0, 0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0), (2, 1))
 NO_ID = (1 << 63) - 1
 
 
@@ -73,48 +79,69 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(print_batches, "doc_id long, fp long")
 
 
-def _segment(fp, k):
-    at, width, _ = SEGMENTS[k]
+def segments(n: int) -> list[tuple[int, int, int]]:
+    """(first bit, width, radius) of each segment, for the layout with the least look-ups and finds among n fingerprints."""
+
+    def parts(radii):
+        edges = [64 * i // len(radii) for i in range(len(radii) + 1)]
+        return [(a, b - a, r) for a, b, r in zip(edges, edges[1:], radii, strict=False)]
+
+    work = lambda p: sum(math.comb(w, i) * (1 + n / 2**w) for _, w, r in p for i in range(r + 1))
+    return min(map(parts, LAYOUTS), key=work)
+
+
+def _segment(fp, part):
+    at, width, _ = part
     return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _ball(part) -> list[int]:
+    """The values by which a neighbour's segment may differ."""
+    _, width, radius = part
+    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
 def _distance(a, b):
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(prints: DataFrame, parts: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
     """Of a cut table of distinct fingerprints: (node, root) of the ties, and links (a, b) between roots."""
     fp = F.col("fp")
-    index = prints.select("fp", F.posexplode(F.array(*[_segment(fp, k) for k in range(len(SEGMENTS))])).alias("k", "value"))
+    values = F.array(*[_segment(fp, p) for p in parts])
+    index = prints.select("fp", F.posexplode(values).alias("k", "value"))
     least = index.groupBy("k", "value").agg(F.min("fp").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
     ties = cut(index.join(least, ["k", "value"]).filter((fp != F.col("low")) & (_distance(fp, F.col("low")) <= RADIUS)).select(fp.alias("a"), F.col("low").alias("b")).distinct())
     tied = components(ties)
     node = prints.join(tied, prints["fp"] == tied["node"], "left").select("fp", F.coalesce("root", "fp").alias("class"))
     node = cut(node)
-    balls = []
-    for k, (_, width, radius) in enumerate(SEGMENTS):
-        masks = [0] + ([1 << i for i in range(width)] if radius else [])
-        own = _segment(fp, k)
-        balls += [F.struct(F.lit(k).alias("k"), own.bitwiseXOR(F.lit(m).cast("long")).alias("value")) for m in masks]
-    asked = node.select(fp.alias("a"), F.col("class").alias("a_class"), F.explode(F.array(*balls)).alias("q")).select("a", "a_class", "q.k", "q.value")
-    table = node.select(fp.alias("b"), F.col("class").alias("b_class"), F.posexplode(F.array(*[_segment(fp, k) for k in range(len(SEGMENTS))])).alias("k", "value"))
+
+    def ball(k, part):
+        masks = F.lit(_ball(part)).cast("array<bigint>")
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("k"), _segment(fp, part).bitwiseXOR(m).alias("value")))
+
+    balls = [ball(k, p) for k, p in enumerate(parts)]
+    asked = node.select(fp.alias("a"), F.col("class").alias("a_class"), F.explode(F.concat(*balls)).alias("q")).select("a", "a_class", "q.k", "q.value")
+    table = node.select(fp.alias("b"), F.col("class").alias("b_class"), F.posexplode(values).alias("k", "value"))
     near = (F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & (_distance(F.col("a"), F.col("b")) <= RADIUS)
     found = asked.join(table, (asked["k"] == table["k"]) & (asked["value"] == table["value"]) & near)
     return tied, cut(found.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct())
 
 
-def classes(prints: DataFrame) -> DataFrame:
+def classes(prints: DataFrame, parts: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """(fp, top, component_id) of a cut (doc_id, fp) table.
 
     ``top`` is a fingerprint of the group and names it; component_id is its least doc_id, which groups may share.
     """
     own = cut(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first_id")))
-    tied, between = links(own.select("fp"))
+    tied, between = links(own.select("fp"), parts or segments(own.count()))
     joined = cut(components(between))
     node = own.join(tied, own["fp"] == tied["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("class"))
     node = node.join(joined.withColumnsRenamed({"node": "class_node", "root": "top"}), F.col("class") == F.col("class_node"), "left")
     node = cut(node.select("fp", "first_id", F.coalesce("top", "class").alias("top")))
-    return node.join(node.groupBy("top").agg(F.min("first_id").alias("component_id")), "top").select("fp", "top", "component_id")
+    # Cut before they are joined: then both sides are plain exchanges, and a large group's rows can be split.
+    lows = cut(node.groupBy("top").agg(F.min("first_id").alias("component_id")))
+    return node.join(lows, "top").select("fp", "top", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -129,11 +156,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def _ordered(name: str, kind: T.DataType):
+    """The column, or as JSON if it holds a map or variant, which have no order."""
+
+    def unordered(k):
+        inner = [f.dataType for f in k.fields] if isinstance(k, T.StructType) else [k.elementType] if isinstance(k, T.ArrayType) else []
+        return isinstance(k, (T.MapType, T.VariantType)) or any(map(unordered, inner))
+
+    return F.to_json(F.struct(name)) if unordered(kind) else F.col(name)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the smallest doc_id.
 
     A null doc_id counts as the largest; of rows that share group and doc_id
-    the least row stays.  Rows with unique ids are picked by a semi-join.
+    the least row stays (maps are ordered as JSON).  Rows with unique ids are picked by a semi-join.
     """
     docs, restore = apart(docs, ("doc_id", "text"))
     prints = cut(fingerprints(docs))
@@ -156,5 +193,6 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     schema = ", ".join(f"{n} {t}" for n, (_, t) in zip([*names, "fp"], [*docs.dtypes, ("", "long")], strict=True))
     marked = rows.mapInArrow(run, schema).join(of, "fp").filter(F.coalesce(F.col(docs_id).cast("long"), F.lit(NO_ID)) == F.col("component_id"))
     # Partial aggregates: however many rows share an id, few reach one task.
-    one = marked.groupBy("top", "fp").agg(F.min(F.struct(*names)).alias("r")).groupBy("top").agg(F.min("r").alias("r"))
+    marked = marked.select("top", "fp", F.struct(*names).alias("r"), F.struct(*[_ordered(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]).alias("by"))
+    one = marked.groupBy("top", "fp").agg(F.min_by("r", "by").alias("r"), F.min("by").alias("by")).groupBy("top").agg(F.min_by("r", "by").alias("r"))
     return restore(regular.unionByName(one.select(*[F.col(f"r.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)])))

@@ -14,7 +14,17 @@ def test_against_brute_force(spark):
     assert got == {d: (f"{fps[d]:016x}", want[d]) for d in ids}
 
 
-def test_segments_meet_every_close_pair(spark):
+def test_layouts():
+    """Each is exact: radii and one for each segment exceed the radius; more fingerprints take wider segments."""
+    for n in (1, 10**4, 10**6, 10**9, 10**12):
+        parts = simhash.segments(n)
+        assert sum(r + 1 for _, _, r in parts) == simhash.RADIUS + 1
+        assert [a for a, _, _ in parts] == [sum(w for _, w, _ in parts[:i]) for i in range(len(parts))] and sum(w for _, w, _ in parts) == 64
+    assert [len(simhash.segments(n)) for n in (100, 10**6, 10**9)] == [5, 3, 2]
+
+
+@pytest.mark.parametrize("n", [60_000, 10**6, 10**9])
+def test_segments_meet_every_close_pair(spark, n):
     """Fingerprints at all distances around a few centres: links by table look-up equal links by comparison."""
     import random
 
@@ -29,7 +39,7 @@ def test_segments_meet_every_close_pair(spark):
     ids = range(len(signed))
     links = [(i, j) for i in ids for j in range(i + 1, len(signed)) if ((signed[i] ^ signed[j]) & (1 << 64) - 1).bit_count() <= 4]
     want = corpus.components(links, ids)
-    got = {r["fp"]: r["component_id"] for r in simhash.classes(df).collect()}
+    got = {r["fp"]: r["component_id"] for r in simhash.classes(df, simhash.segments(n)).collect()}
     assert got == {signed[i]: want[i] for i in ids}
 
 
@@ -65,6 +75,12 @@ def test_stage_keeps_unrelated_rows_without_ids_of_their_own(spark):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in kept) == sorted([(-1, lone[0]), (-1, lone[1]), (7, data[3][1]), (7, data[4][1]), (9, lone[2])])
 
 
+def test_stage_orders_rows_with_maps(spark):
+    docs = corpus.frame(spark, [(1, "the same words in both rows", "en", "s", 0)] * 2 + [(None, "other words entirely, and more of them", "en", "s", 0)] * 2)
+    docs = docs.selectExpr("*", "map('a', monotonically_increasing_id()) AS m", "array(named_struct('m', map(1, 2))) AS deep")
+    assert sorted(r["text"] for r in simhash.simhash_stage(spark, docs, "").collect()) == ["other words entirely, and more of them", "the same words in both rows"]
+
+
 def FP(row, memo={}):  # noqa: B006, N802
     return memo.setdefault(row[1], corpus.simhash(row[1]))
 
