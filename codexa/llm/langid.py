@@ -2,12 +2,15 @@
 
 Script ranges narrow a word's candidate languages; the word's score in each is
 the log-probability of its letter trigrams, learned from labelled documents; a
-Viterbi pass with a penalty for switching labels spans.  Where no stretch of
-words gains more than the penalty by leaving the document's best language, the
-best path stays in it, and the pass, which would find just that, is spared.
+Viterbi pass with a penalty for switching labels spans.  A path that leaves the
+document's best language on m stretches pays for m - 1 switches at least, for
+one if m is 1.  So where no stretch gains half the penalty, or none gains two
+thirds and no two that adjoin and fill the document gain all of it together,
+the best path stays in that language, and the pass is spared.
 
 Learning takes about ``SAMPLE`` documents a language, by hash, of those whose
-crc32(doc_id as text) mod 4 isn't 2; the model is ``BINS`` numbers a language.
+crc32(doc_id as text) mod 4 isn't 2.  The model has ``BINS`` numbers a language;
+with over ``WIDE`` languages, fewer bins, so that its size is bounded.
 
 Defined results: ``und`` and score 0 for a null text, one without a letter, or
 if nothing was learned; letters of scripts that no language has are no
@@ -28,7 +31,7 @@ from .textcore import arrow_text, chunks, mix
 
 SAMPLE = 1500
 BINS = 1 << 16
-MAX_LANGUAGES = 256
+WIDE = 512
 PENALTY = 12.0
 SCRIPTS = 20
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, spans string"
@@ -38,7 +41,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def trigram_bins(x: Letters):
+def bins_for(languages: int) -> int:
+    """BINS, halved until the model is no larger than for WIDE languages."""
+    return BINS >> max(0, (languages - 1) // WIDE).bit_length()
+
+
+def trigram_bins(x: Letters, bins: int = BINS):
     """A bin for each letter of each word, and where the words begin in that."""
     n = x.we - x.ws
     first = np.cumsum(n) - n
@@ -47,49 +55,52 @@ def trigram_bins(x: Letters):
     here = c[at]
     left = np.where(at > np.repeat(x.ws, n), c[at - 1], 32)
     right = np.where(at + 1 < np.repeat(x.we, n), c[np.minimum(at + 1, len(c) - 1)], 32)
-    return (mix((left << np.uint64(42)) ^ (here << np.uint64(21)) ^ right) & np.uint64(BINS - 1)).astype(np.int64), first
-
-
-def count_batches(batches):
-    for b in batches:
-        buf, offs = arrow_text(b.column("text"))
-        langs = b.column("lang").to_pylist()
-        names = sorted(set(langs))
-        codes = np.array([names.index(v) for v in langs], dtype=np.int64)
-        grams = np.zeros((len(names), BINS), np.int64)
-        scripts = np.zeros((len(names), SCRIPTS), np.int64)
-        for lo, hi, part, at in chunks(buf, offs):
-            x = Letters(part, at)
-            if not len(x.ws):
-                continue
-            bins, _ = trigram_bins(x)
-            of_word = np.repeat(codes[lo:hi], np.diff(x.word_at))
-            of_gram = np.repeat(of_word, x.we - x.ws)
-            grams += np.bincount(of_gram * BINS + bins, minlength=grams.size).reshape(grams.shape)
-            scripts += np.bincount(of_word * SCRIPTS + x.script, minlength=scripts.size).reshape(scripts.shape)
-        for kind, m in (("gram", grams), ("script", scripts)):
-            i, j = np.nonzero(m)
-            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in i], pa.string()), pa.array([kind] * len(i), pa.string()), pa.array(j, pa.int64()), pa.array(m[i, j], pa.int64())], names=["lang", "kind", "bin", "n"])
+    return (mix((left << np.uint64(42)) ^ (here << np.uint64(21)) ^ right) & np.uint64(bins - 1)).astype(np.int64), first
+
+
+def count_batches(bins):
+    def run(batches):
+        for b in batches:
+            buf, offs = arrow_text(b.column("text"))
+            langs = b.column("lang").to_pylist()
+            names = sorted(set(langs))
+            place = {v: i for i, v in enumerate(names)}
+            codes = np.array([place[v] for v in langs], dtype=np.int64)
+            found = {"gram": [np.zeros((2, 0), np.int64)], "script": [np.zeros((2, 0), np.int64)]}
+            for lo, hi, part, at in chunks(buf, offs):
+                x = Letters(part, at)
+                if not len(x.ws):
+                    continue
+                grams, _ = trigram_bins(x, bins)
+                of_word = np.repeat(codes[lo:hi], np.diff(x.word_at))
+                for kind, size, v in (("gram", bins, np.repeat(of_word, x.we - x.ws) * bins + grams), ("script", SCRIPTS, of_word * SCRIPTS + x.script)):
+                    found[kind].append(np.stack(np.unique(v, return_counts=True)))
+            for kind, size in (("gram", bins), ("script", SCRIPTS)):
+                v, n = np.concatenate(found[kind], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in v // size], pa.string()), pa.array([kind] * len(v), pa.string()), pa.array(v % size, pa.int64()), pa.array(n, pa.int64())], names=["lang", "kind", "bin", "n"])
+
+    return run
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The model: languages by frequency, log-probabilities, scripts."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    seen = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    seen = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
     if not seen:
         return {"langs": []}
     per_mille = F.create_map(*[F.lit(v) for r in seen for v in (r["lang"], min(1.0, sample / r["count"]) * 1e6)])
-    lot = F.pmod(F.xxhash64(F.lit(7).cast("long"), "doc_id"), F.lit(1_000_000))
+    lot = F.pmod(F.xxhash64(F.lit(7).cast("long"), "doc_id", "text"), F.lit(1_000_000))
+    bins = bins_for(len(seen))
     chosen = usable.filter(lot < F.try_element_at(per_mille, F.col("lang"))).select("lang", "text")
-    counts = chosen.mapInArrow(count_batches, "lang string, kind string, bin long, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(count_batches(bins), "lang string, kind string, bin long, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n"))
     langs = [r["lang"] for r in seen]
-    table = counts.toPandas()  # BINS + SCRIPTS rows a language at most
-    grams, scripts = np.zeros((BINS, len(langs))), np.zeros((SCRIPTS, len(langs)))
+    table = counts.toPandas()  # bins + SCRIPTS rows a language at most
+    grams, scripts = np.zeros((bins, len(langs))), np.zeros((SCRIPTS, len(langs)))
     at = table["lang"].map({v: k for k, v in enumerate(langs)}).to_numpy(dtype=np.int64)
     for kind, m in (("gram", grams), ("script", scripts)):
         pick = (table["kind"] == kind).to_numpy()
         m[table["bin"].to_numpy()[pick], at[pick]] = table["n"].to_numpy()[pick]
-    logp = np.log(grams + 0.2) - np.log(grams.sum(0) + 0.2 * BINS)
+    logp = np.log(grams + 0.2) - np.log(grams.sum(0) + 0.2 * bins)
     usual = scripts > 0.001 * np.maximum(scripts.sum(0), 1)
     return {"langs": langs, "logp": logp.astype(np.float32), "scripts": usual}
 
@@ -123,6 +134,17 @@ def largest_gain(d, first, last):
     return np.maximum.reduceat(level - np.minimum.accumulate(level), np.searchsorted(doc, np.arange(len(first))))
 
 
+def two_part_gain(s, base, first, last):
+    """For each document the largest gain of a stretch from its start and one to its end that meet, each in one language."""
+    gain = s - s[np.arange(len(s)), base][:, None]
+    total = np.cumsum(gain, axis=0)
+    out = np.zeros(len(first))
+    for i, (a, z) in enumerate(zip(first, last, strict=True)):
+        head = total[a:z] - (total[a - 1] if a else 0.0)
+        out[i] = (head.max(1) + (head[-1] - head).max(1)).max()
+    return out
+
+
 def label(model: dict, x: Letters):
     """For each document: (language, score, spans)."""
     langs, n_docs = model["langs"], len(x.doc_at) - 1
@@ -131,7 +153,7 @@ def label(model: dict, x: Letters):
     full = np.flatnonzero(last > first)
     if not langs or not len(full):
         return out
-    bins, begin = trigram_bins(x)
+    bins, begin = trigram_bins(x, len(model["logp"]))
     s = np.add.reduceat(model["logp"][bins], begin, axis=0).astype(np.float64)
     can = model["scripts"][x.script]
     known = can.any(1)
@@ -147,9 +169,13 @@ def label(model: dict, x: Letters):
     gain = np.zeros(len(full))
     for k in range(len(langs)):
         gain = np.maximum(gain, largest_gain(s[:, k] - s[words, base], a, z))
+    stays = gain < PENALTY / 2
+    unsure = np.flatnonzero(~stays & (gain < PENALTY * 2 / 3))
+    if len(unsure):
+        stays[unsure] = two_part_gain(s, base, a[unsure], z[unsure]) < PENALTY
     for i, d in enumerate(full):
         lo, hi, at = a[i], z[i], x.doc_at[d]
-        if gain[i] <= PENALTY:
+        if stays[i]:
             k, cuts, names = int(best[i]), [lo], [int(best[i])]
         else:
             path = viterbi(s[lo:hi], PENALTY)

@@ -63,6 +63,47 @@ def test_viterbi_is_best_path():
         assert gain[0] == pytest.approx(max(d[a:b].sum() for a in range(5) for b in range(a, 5)))
 
 
+def naive_label(model, text, penalty):
+    """Viterbi over every word, without shortcuts; scores as the model has them, word by word."""
+    x = langid.Letters(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    if not len(x.ws):
+        return "und", ""
+    bins, begin = langid.trigram_bins(x, len(model["logp"]))
+    rows = []
+    for w, (lo, hi) in enumerate(zip(begin, [*begin[1:], len(bins)], strict=True)):
+        s = model["logp"][bins[lo:hi]].astype(float).sum(0)
+        can = model["scripts"][x.script[w]]
+        rows.append(np.where(can, s, s.min() - 30.0) - np.where(can, s, s.min() - 30.0).max() if can.any() else np.zeros(len(s)))
+    path = langid.viterbi(np.array(rows), penalty)
+    runs = [i for i in range(len(path)) if i == 0 or path[i] != path[i - 1]]
+    spans = [f"{model['langs'][path[i]]}:{x.ws[i]}:{x.we[j - 1]}" for i, j in zip(runs, [*runs[1:], len(path)], strict=True)]
+    return model["langs"][int(np.argmax(np.bincount(path, weights=x.we - x.ws, minlength=len(rows[0]))))], ",".join(spans)
+
+
+def test_labels_equal_the_full_pass():
+    """Models of chance, whose languages differ little, so that many documents come near the bounds of the shortcut."""
+    rng = random.Random(8)
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        model = {"langs": ["a", "b", "c", "d"], "logp": (r.normal(size=(256, 4)) * r.uniform(0.3, 1.2)).astype(np.float32), "scripts": np.ones((langid.SCRIPTS, 4), bool)}
+        texts = ["", "12", *[" ".join(corpus.words(rng, rng.randint(1, 12))) for _ in range(25)]]
+        raw = [t.encode() for t in texts]
+        x = langid.Letters(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [(k, spans) for k, _, spans in langid.label(model, x)] == [naive_label(model, t, langid.PENALTY) for t in texts]
+
+
+def test_two_stretches_that_pay_together():
+    s = np.array([[0.0, 0.0, 10.8], [0.0, 10.8, 0.0]]) - 10.8
+    s = np.column_stack([s[:, 0] + 8.0, s[:, 1:]])
+    assert langid.two_part_gain(s, np.zeros(2, int), np.array([0]), np.array([2]))[0] == pytest.approx(max(a + b for a in s[0] - s[0, 0] for b in s[1] - s[1, 0]))
+
+
+def test_rare_languages_are_learned(spark):
+    assert [langid.bins_for(n) for n in (1, 512, 513, 1024, 1025, 3000)] == [65536, 65536, 32768, 32768, 16384, 8192]
+    data = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 9, f"l{i:03}", "s", 0) for i in range(300)]
+    assert len(langid.learn(corpus.frame(spark, data))["langs"]) > 200
+
+
 def test_mixed_language_and_odd_rows(spark):
     rng = random.Random(3)
     en = lambda n: " ".join(rng.choice(["the", "which", "with", "through", "water", "thing"]) for _ in range(n))
@@ -118,6 +159,38 @@ def test_forest_isolates():
     assert quality.calibrate(np.array([0.1, 0.2, 0.9]), np.array([False, False, True])) == pytest.approx(0.55)
 
 
+def naive_path(tree, row):
+    feature, split, child, path = tree
+    at = 0
+    while feature[at] >= 0:
+        at = child[at] + (row[feature[at]] > split[at])
+    return path[at]
+
+
+def test_verdicts_follow_the_trees_row_by_row(spark):
+    sf = "/root/testdata/sf0.001"
+    stats = quality.cut(quality.statistics(quality.documents(spark, sf)))
+    model = quality.fit(stats, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = {r["doc_id"]: r.asDict() for r in stats.collect()}
+    for r in quality.judge(stats, model).collect():
+        x = quality.rule_values({k: np.array([float(v)]) for k, v in rows[r["doc_id"]].items() if k != "doc_id"})[0]
+        score = 2 ** -(np.mean([naive_path(t, x) for t in model["forest"]]) / quality.usual_path(model["leaves"]))
+        assert r["anomaly"] == pytest.approx(score)
+        assert r["kept"] == (not r["base_failed"] and score < model["threshold"])
+
+
+def test_draws_are_bounded_by_different_rows(spark):
+    """However many documents share an id or a text, the driver gets a row of each kind, with its number."""
+    hot = spark.range(60_000).selectExpr("CAST(NULL AS LONG) AS doc_id", *[f"CAST(3 AS LONG) AS {c}" for c in (*quality.COUNTS, *quality.MORE)])
+    many = spark.range(60_000).selectExpr("CAST(3002 AS LONG) AS doc_id", *[f"id AS {c}" for c in (*quality.COUNTS, *quality.MORE)])
+    rows = quality.draw(hot.unionByName(many), 5000, 120_000).toPandas()
+    assert len(rows) < 4000 and set(rows["times"]) <= {1, 60_000}
+    forest = quality.grow(np.array([[0.0], [1.0]]), trees=5, times=np.array([10**9, 1]))
+    assert all(len(t[0]) <= 3 for t in forest)
+    score, bad = np.array([0.9, 0.5, 0.1]), np.array([True, False, False])
+    assert quality.calibrate(score, bad, 0.4, np.array([1, 9, 1])) == quality.calibrate(np.repeat(score, [1, 9, 1]), np.repeat(bad, [1, 9, 1]), 0.4)
+
+
 def test_quality_odd_tables(spark, tmp_path):
     data = [(None, "w " * 30, None, None, 0), (1, None, None, None, 0), (2, "", None, None, 0)]
     path = corpus.write(spark, tmp_path, data, labels=([], "doc_id long, quality int, toxic int"))
