@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state grammar.
 
-Words become classes: insult and threat (units learned from labelled rows, and
-a few fixed verbs), target, negation, reporting.  Small weighted transducers
-for negation, reported speech and address are composed into one machine, which
-reads each clause that holds an insult or a threat and weighs what it finds by
-its surroundings: an insult after a negation or in reported speech weighs
-less, one with a target in its clause weighs more.  A logistic curve over the
-clauses' weights, fitted on the same rows, gives the score.
+Words become classes: insult, threat, target, negation, reporting.  Insults are
+units (words and prefixes) learned from labelled rows; threats are units that
+mark toxic documents only in clauses with a target, learned likewise, and a few
+fixed verbs.  Small weighted transducers for negation and reported speech are
+composed into one machine that reads each clause with an insult or a threat
+from the left; one for address reads it from both sides, so a target counts
+before a hit and behind it.  An insult after a negation or in reported speech
+weighs less, one with a target in its clause weighs more.  A logistic curve
+over the clauses' weights, fitted on the same rows, gives the score.
 
 Learning takes about ``SAMPLE`` labelled documents of each class, by hash, of
 those whose crc32(doc_id as text) mod 4 isn't 2; ``MAX_UNITS`` units at most.
@@ -19,6 +21,8 @@ give equal rows; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +46,7 @@ TARGETS = frozenset("you your he him she her they them u ya this these that du d
 NEGATIONS = frozenset("not no never neither nor nicht kein keine nie niemals pas jamais ni aucun aucune nunca ningún ninguna tampoco isn wasn aren don doesn".split())
 REPORTS = frozenset("said says say called calls wrote writes reported quoted sagte sagt nannte schrieb dit disait écrit appelé dijo dice llamó escribió".split())
 THREATS = frozenset("kill murder strangle stab shoot töten umbringen ermorden tuer assassiner matar asesinar".split())
+ADDRESSED = np.uint64(0x7C15D1B54A32D192)
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 REACH = 3
 
@@ -68,16 +73,28 @@ class Transducer:
                     todo.append((p, q))
         return Transducer(arcs, start)
 
+    def factors(self, kinds):
+        """The weight of each word's arc."""
+        state, out = self.start, []
+        for kind in kinds:
+            state, factor = self.step(state, kind)
+            out.append(factor)
+        return out
+
+
+class Grammar:
+    """A machine that reads a clause from the left, and one that reads it from both sides."""
+
+    def __init__(self, machine: Transducer, address: Transducer):
+        self.machine, self.address = machine, address
+
     def read(self, kinds, weights):
         """Weighted sum over the insults and threats of one clause."""
-        state, total = self.start, 0.0
-        for kind, w in zip(kinds, weights, strict=True):
-            state, factor = self.step(state, kind)
-            total += w * factor
-        return total
+        own, ahead, back = self.machine.factors(kinds), self.address.factors(kinds), self.address.factors(kinds[::-1])[::-1]
+        return sum(w * f * max(a, b) for w, f, a, b in zip(weights, own, ahead, back, strict=True))
 
 
-def grammar() -> Transducer:
+def grammar() -> Grammar:
     hits = (INSULT, THREAT)
     negation = {}
     for n in range(REACH + 1):
@@ -86,9 +103,9 @@ def grammar() -> Transducer:
         for h in hits:
             negation[n, h] = (max(0, n - 1), 0.3 if n else 1.0)
     reported = {(0, None): (0, 1.0), (0, REPORT): (1, 1.0), (1, None): (1, 1.0), **{(1, h): (1, 0.5) for h in hits}}
-    # 0: nobody addressed yet; 1: someone was; 2: an insult, or a threat, that still waits for its target.
-    address = {(0, None): (0, 1.0), (1, None): (1, 1.0), (0, TARGET): (1, 1.0), **{(0, h): (0, 1.0) for h in hits}, (1, INSULT): (1, 1.5), (1, THREAT): (1, 2.0)}
-    return Transducer(negation).compose(Transducer(reported)).compose(Transducer(address))
+    # 0: nobody addressed yet; 1: someone was.
+    address = {(0, None): (0, 1.0), (1, None): (1, 1.0), (0, TARGET): (1, 1.0), (1, INSULT): (1, 1.5), (1, THREAT): (1, 2.0)}
+    return Grammar(Transducer(negation).compose(Transducer(reported)), Transducer(address))
 
 
 def unit_hashes(x: Letters):
@@ -103,6 +120,36 @@ def unit_hashes(x: Letters):
     return rows
 
 
+def clauses(x: Letters):
+    """Each word's clause, numbered over all documents."""
+    marks = np.zeros(LAST, bool)
+    marks[sorted(CLAUSE_ENDS | QUOTES)] = True
+    before = np.zeros(len(x.cps) + 1, np.int64)
+    np.cumsum(marks[np.minimum(x.cps, LAST - 1)], out=before[1:])
+    return before[x.ws] + np.repeat(np.arange(len(x.doc_at) - 1), np.diff(x.word_at))
+
+
+def among(h, sorted_hashes):
+    """Whether each hash is one of a few: a table of their low bits passes over most."""
+    out = np.zeros(len(h), bool)
+    if len(sorted_hashes):
+        low = np.zeros(1 << 16, bool)
+        low[(sorted_hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+        maybe = np.flatnonzero(low[(h & np.uint64(0xFFFF)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(sorted_hashes, h[maybe]), len(sorted_hashes) - 1)
+        out[maybe] = sorted_hashes[at] == h[maybe]
+    return out
+
+
+def addressed(words, clause):
+    """Units of the words in clauses with a target, itself left out; 0 elsewhere."""
+    target = among(words, np.sort(_hashes(TARGETS)))
+    if not len(words):
+        return words
+    with_target = np.bincount(clause - clause[0], weights=target) > 0
+    return np.where(with_target[clause - clause[0]] & ~target, words ^ ADDRESSED, np.uint64(0))
+
+
 def mark_near(batches):
     """Adds the least hash of a document's word windows: near copies share it."""
     for b in batches:
@@ -128,7 +175,8 @@ def count_units(batches):
         for lo, _, part, at in chunks(buf, offs):
             x = Letters(part, at)
             doc = np.repeat(np.arange(len(at) - 1), np.diff(x.word_at))
-            for h in unit_hashes(x):
+            rows = unit_hashes(x)
+            for h in [*rows, addressed(rows[0], clauses(x))]:
                 keep = h != 0
                 pair = np.unique(np.stack([h[keep], doc[keep].astype(np.uint64)]), axis=1) if keep.any() else np.zeros((2, 0), np.uint64)
                 units.append(pair[0])
@@ -167,43 +215,35 @@ def features(units, weights, x: Letters):
     if not len(x.ws):
         return out
     rows = unit_hashes(x)
-    w = np.zeros(len(x.ws))
-    if len(units):
-        # Few words are units: a table of the hashes' low bits passes over the rest.
-        low = np.zeros(1 << 16, bool)
-        low[(units & np.uint64(0xFFFF)).astype(np.int64)] = True
-        for h in rows:
-            maybe = np.flatnonzero(low[(h & np.uint64(0xFFFF)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(units, h[maybe]), len(units) - 1)
-            w[maybe] = np.maximum(w[maybe], np.where(units[at] == h[maybe], weights[at], 0.0))
-    verbs = np.sort(_hashes(THREATS))
-    low = np.zeros(1 << 16, bool)
-    low[(verbs & np.uint64(0xFFFF)).astype(np.int64)] = True
-    maybe = np.flatnonzero(low[(rows[0] & np.uint64(0xFFFF)).astype(np.int64)])
-    threat = np.zeros(len(x.ws), bool)
-    threat[maybe] = np.isin(rows[0][maybe], verbs)
-    hits = np.flatnonzero((w > 0) | threat)
+    clause = clauses(x)
+
+    def weigh(h):
+        hit = np.flatnonzero(among(h, units))
+        out = np.zeros(len(h))
+        out[hit] = weights[np.searchsorted(units, h[hit])]
+        return out
+
+    w = np.max([weigh(h) for h in rows], axis=0)
+    # What isn't an insult alone, but toxic towards a target; fixed verbs weigh 1 at least.
+    t = np.maximum(weigh(addressed(rows[0], clause)), among(rows[0], np.sort(_hashes(THREATS))).astype(float))
+    threat = (w == 0) & (t > 0)
+    w = np.where(threat, t, w)
+    hits = np.flatnonzero(w > 0)
     if not len(hits):
         return out
-    marks = np.zeros(LAST, bool)
-    marks[sorted(CLAUSE_ENDS | QUOTES)] = True
-    before = np.zeros(len(x.cps) + 1, np.int32)
-    np.cumsum(marks[np.minimum(x.cps, LAST - 1)], out=before[1:])
-    clause = before[x.ws]
     doc = np.searchsorted(x.word_at, hits, side="right") - 1
     seen = set()
     for i, d in zip(hits.tolist(), doc.tolist(), strict=True):
         if (d, clause[i]) in seen:
             continue
         seen.add((d, clause[i]))
-        lo = max(int(np.searchsorted(clause, clause[i])), int(x.word_at[d]))
-        hi = min(int(np.searchsorted(clause, clause[i], side="right")), int(x.word_at[d + 1]))
+        lo, hi = int(np.searchsorted(clause, clause[i])), int(np.searchsorted(clause, clause[i], side="right"))
         kinds, mine = [], []
         for j in range(lo, hi):
             word = x.word(j)
-            kind = INSULT if w[j] > 0 else THREAT if threat[j] else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else TARGET if word in TARGETS else OTHER
+            kind = THREAT if threat[j] else INSULT if w[j] > 0 else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else TARGET if word in TARGETS else OTHER
             kinds.append(kind)
-            mine.append(w[j] if w[j] > 0 else 1.0 if kind == THREAT else 0.0)
+            mine.append(float(w[j]))
         if lo and chr(x.cps[x.ws[lo] - 1]) in "\"“«„" and x.ws[lo] > x.doc_at[d]:
             kinds, mine = [REPORT, *kinds], [0.0, *mine]
         weight = machine.read(kinds, mine)
@@ -214,6 +254,7 @@ def features(units, weights, x: Letters):
     return out
 
 
+@lru_cache(8)
 def _hashes(words):
     text = "\n".join(sorted(words)).encode()
     x = Letters(np.frombuffer(text, np.uint8), np.array([0, len(text)]))

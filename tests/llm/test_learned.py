@@ -1,6 +1,7 @@
 """Toxicity, language and quality: held-out accuracy, definitions, odd tables."""
 
 import random
+import re
 import zlib
 
 import corpus
@@ -20,12 +21,54 @@ def test_toxicity_held_out(spark):
 
 def test_grammar():
     m = toxicity.grammar()
-    I, Y, N, R, O = toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OTHER  # noqa: E741
-    weigh = lambda *kinds: m.read(kinds, [1.0 if k == I else 0.0 for k in kinds])
+    I, Y, N, R, O, T = toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OTHER, toxicity.THREAT  # noqa: E741
+    weigh = lambda *kinds: m.read(kinds, [1.0 if k in (I, T) else 0.0 for k in kinds])
     assert weigh(O, I) == 1.0 and weigh(Y, O, I) == 1.5
     assert weigh(N, I) == pytest.approx(0.3) and weigh(N, O, O, O, I) == 1.0
     assert weigh(R, O, I) == 0.5 and weigh(R, Y, N, I) == pytest.approx(0.5 * 1.5 * 0.3)
     assert weigh(Y, N) == 0.0
+    assert weigh(T) == 1.0 and weigh(Y, O, T) == weigh(T, Y) == weigh(T, O, O, Y) == 2.0 and weigh(I, O, Y) == 1.5
+    assert weigh(N, T, Y) == pytest.approx(0.3 * 2.0) and weigh(T, Y, I) == 2.0 + 1.5 and weigh(T, N, Y) == 2.0
+
+
+def naive_features(model, text):
+    """Clause by clause, from strings."""
+    known = dict(zip(model["units"].tolist(), model["weights"].tolist(), strict=True))
+    hashed = lambda s, salt=0: int(toxicity._hashes(frozenset([s]))[0]) ^ salt
+    out = []
+    ends = "".join(map(chr, toxicity.CLAUSE_ENDS | toxicity.QUOTES))
+    for m in re.finditer(f"[^{re.escape(ends)}]+", text or ""):
+        words = re.findall(r"[^\W\d_]+", m[0].lower())
+        some = any(w in toxicity.TARGETS for w in words)
+        kinds, weights = [], []
+        for w in words:
+            own = max([known.get(hashed(w), 0.0), *[known.get(hashed(w[:k], k * 0x9E3779B97F4A7C1), 0.0) for k in toxicity.PREFIXES if len(w) > k]])
+            aimed = max(known.get(hashed(w, int(toxicity.ADDRESSED)), 0.0) if some and w not in toxicity.TARGETS else 0.0, float(w in toxicity.THREATS))
+            kinds.append(toxicity.INSULT if own else toxicity.THREAT if aimed else toxicity.NEGATION if w in toxicity.NEGATIONS else toxicity.REPORT if w in toxicity.REPORTS else toxicity.TARGET if w in toxicity.TARGETS else toxicity.OTHER)
+            weights.append(own or aimed)
+        if any(weights):
+            quoted = m.start() and text[m.start() - 1] in "\"“«„" and text[m.start()].isalpha()
+            out.append(toxicity.grammar().read([toxicity.REPORT] * bool(quoted) + kinds, [0.0] * bool(quoted) + weights))
+    return [np.log1p(len(out)), max(out, default=0.0), np.log1p(sum(out))]
+
+
+def test_learned_threats_and_scores(spark):
+    """A harmless word that is toxic towards a target, in either order; scores equal those of a naive reading."""
+    rng = random.Random(4)
+    fill = lambda n: " ".join(corpus.words(rng, n))
+    data = [(i, f"{fill(9)}. {(f'you smash {fill(1)}', f'smash {fill(1)} you', f'smash the {fill(1)}', f'see you {fill(1)}')[i % 4]}. {fill(9)}", "en", "s", 0) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 < 2)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(corpus.frame(spark, data), labels)
+    assert int(toxicity._hashes(frozenset(["smash"]))[0]) ^ int(toxicity.ADDRESSED) in model["units"].tolist()
+    odd = [(1000, "he said: you smash it! \"smash you\" not you smash, kill you. You, smash", None, None, 0), (1001, "You will die. I kill them", None, None, 0), (1002, fill(30_000) + " smash you", None, None, 0)]
+    data += [*odd, odd[0], (1003, None, None, None, 0)]
+    got = {}
+    for r in toxicity.score(corpus.frame(spark, data), model).collect():
+        got.setdefault(r["doc_id"], set()).add((r["score"], r["predicted"]))
+    for d, t, *_ in data:
+        want = toxicity.chance(model, np.array([naive_features(model, t)]))[0]
+        assert len(got[d]) == 1 and got[d].copy().pop()[0] == pytest.approx(want)
+    assert all(got[i].copy().pop()[1] == (i % 4 < 2) for i in range(400)) and got[1002].copy().pop()[1] == 1
 
 
 def test_toxicity_odd_tables(spark, tmp_path):
