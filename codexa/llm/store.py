@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_shared(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; set one only where the session has none."""
+    """Use spark.checkpoint.dir; set one only where the session has none, and all runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
