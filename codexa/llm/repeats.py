@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, park, shuffles_freed, small
+from .store import cut, park, shuffles_freed
 from .textcore import arrow_text, chunks
 
 ROW = ["id", "text_key"]
 BLOCK_SCHEMA = "id long, text_key long, at int, n int, key long, block long"
 WINDOW_SCHEMA = "key long, window long, id long, text_key long, at int"
-#: Documents whose lists of blocks may be broadcast: some hundred bytes each as a rule.
-BROADCAST_DOCS = 20_000
+#: Blocks asked about, in lists by document, that may be broadcast: 16 bytes each and 40 a document.
+BROADCAST_BLOCKS = 500_000
+#: Blocks that so many rows are equal to, and a thousandth of all rows, are looked up by broadcast: a thousand at most.
+HOT_ROWS = 1000
 #: Stands for a null doc_id.
 NO_ID = (1 << 63) - 1
 
@@ -113,6 +115,14 @@ def _by_window(docs: DataFrame, spans: DataFrame, kind: Kind) -> DataFrame:
     return found.select(*ROW, "at", F.lit(kind.width).alias("n"))
 
 
+def _looked_up(mixed: DataFrame, same: DataFrame) -> DataFrame:
+    """Each row with what is known of its block; rows of hot blocks aren't moved, so they don't meet in one task."""
+    n = same.agg(F.sum("c")).first()[0] or 0
+    hot = F.broadcast(same.filter(F.col("c") >= max(HOT_ROWS, n / 1000)))
+    rest = mixed.join(hot.select("key", "block"), ["key", "block"], "left_anti").join(same, ["key", "block"])
+    return rest.select(*mixed.columns, "first", "c").unionByName(mixed.join(hot, ["key", "block"]).select(*mixed.columns, "first", "c"))
+
+
 def remove_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     with shuffles_freed(docs.sparkSession):
         return _remove_repeats(docs, kind)
@@ -136,13 +146,12 @@ def _remove_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     drop_blocks()
     span = (*ROW, "at", (F.col("n") + last).alias("n"))
     sure = hits.filter(F.col("pure") & (F.col("id") > F.col("low") if kind.earlier else F.lit(True))).select(*span)
-    mixed = hits.filter("NOT pure")
-    same = cut(mixed.groupBy("key", "block").agg(F.min(F.struct(*ROW, "at")).alias("first"), F.count("*").alias("c")))
-    mixed = mixed.select(*ROW, "at", "n", "key", "block").join(same, ["key", "block"])
-    sure = sure.unionByName(mixed.filter(F.col("id") > F.col("first.id") if kind.earlier else F.col("c") > 1).select(*span))
+    mixed = hits.filter("NOT pure").select(*ROW, "at", "n", "key", "block")
+    same = cut(mixed.groupBy("key", "block").agg(F.min(F.struct(*ROW, "at", "n")).alias("first"), F.count("*").alias("c")))
+    known = _looked_up(mixed, same)
+    sure = sure.unionByName(known.filter(F.col("id") > F.col("first.id") if kind.earlier else F.col("c") > 1).select(*span))
     # One of each kind stands for the rest; where order counts, all that the first document has of it must ask.
-    stands = F.col("id") == F.col("first.id") if kind.earlier else F.struct(*ROW, "at") == F.col("first")
-    asked = mixed.filter(stands).select(*ROW, "at", "n", "key")
+    asked = known.filter(F.col("id") == F.col("first.id")).select(*ROW, "at", "n", "key") if kind.earlier else same.select("first.*", "key")
     # Both reads of the texts join the same columns on the same keys, so that they share one exchange.
     if kind.resolve is None:
         spans = sure.unionByName(_by_window(docs, _spans(asked), kind))
@@ -152,7 +161,8 @@ def _remove_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
         few = asked.join(large, "key", "left_anti")
         spans = sure.unionByName(kind.resolve(docs, _spans(few)))
         if not large.isEmpty():
-            rest, _ = small(cut(_spans(asked.join(large, "key", "left_semi"))), BROADCAST_DOCS)
-            spans = spans.unionByName(_by_window(docs, rest, kind))
+            rest = cut(_spans(asked.join(large, "key", "left_semi")))
+            n = rest.agg(F.sum(F.size("spans"))).first()[0] or 0
+            spans = spans.unionByName(_by_window(docs, F.broadcast(rest) if n <= BROADCAST_BLOCKS else rest, kind))
     spans = spans.groupBy(*ROW).agg(F.collect_set(F.struct("at", "n")).alias("spans"))
     return docs.join(spans, ROW, "left").mapInArrow(final_rows(kind.finish, kind.columns), f"doc_id long, {kind.columns}")

@@ -47,13 +47,27 @@ def result(df):
 
 @pytest.fixture(scope="module")
 def data():
-    return [r for r in corpus.rows() if len(r[1] or "") < 100_000]
+    """With a text of 30000 words, and one that holds a passage of it twice."""
+    rows = corpus.rows()
+    long = max((r[1] or "" for r in rows), key=len).split()
+    return [*rows, (7001, " ".join([*long[9000:9200], "between", *long[9000:9200], *long[:70]]), "en", "s", 0)]
 
 
 def test_words(spark, data):
     assert result(repeats.remove_repeats(corpus.frame(spark, data), recompression.KIND)) == brute_words(data)
 
 
+@pytest.mark.parametrize("kind", [recompression.KIND, suffixes.KIND])
+def test_hot_blocks(spark, monkeypatch, kind):
+    """Blocks that many rows are equal to are looked up on a way of their own, with the same result."""
+    monkeypatch.setattr(repeats, "HOT_ROWS", 3)
+    monkeypatch.setattr(repeats, "BROADCAST_BLOCKS", 0)
+    near = [r for r in corpus.rows() if len(r[1] or "") < 20_000][60:]
+    near += [(900 + i, near[1][1] + f" tail {i % 3}", "en", "s", 0) for i in range(12)]
+    brute = brute_words if kind.earlier else brute_bytes
+    assert result(repeats.remove_repeats(corpus.frame(spark, near), kind)) == brute(near)
+
+
 def test_blocks_that_repeat_in_their_first_document(spark):
     """A later document holds a line many times in one context, an earlier one in another."""
     line = " ".join(f"w{i}" for i in range(54))
