@@ -1,15 +1,20 @@
 """Benchmark decontamination by template canonicalisation (DataFrame only).
 
 Numbers, units and names in a text become typed placeholders; what is left,
-lower-cased and without punctuation, is its template.  Windows of five template
-words are hash-joined with those of the benchmark items.  Where a document
-holds four fifths of an item's windows, the item's slots are aligned with the
-document's along every diagonal on which windows match.  One is consistent if
-each value of the item stands for one value throughout, be it the item's own
-(verbatim) or another (re-parameterised).  The document is contaminated if a
-diagonal with most windows is consistent, or if the consistent ones together
-hold four fifths of the windows; slots are told of the consistent diagonal
-with most windows, the first of equals.
+lower-cased and without punctuation, is its template.  Any word that begins
+with a capital counts as a name, wherever it stands, so that names that begin a
+sentence are slots as well.  Beside it stands a second template in which names
+are lower-cased words, for copies in another case.  Windows of five template
+words are hash-joined with those of the benchmark items, either template's.
+Where a document holds four fifths of the windows of one of an item's
+templates, the item's slots are aligned with the document's along every
+diagonal on which windows match.  One is consistent if each value of the item
+stands for one value throughout, be it the item's own (verbatim) or another
+(re-parameterised).  The document is contaminated if a diagonal with most
+windows is consistent, or if the consistent ones together hold four fifths of
+the windows; slots are told of the consistent diagonal with most windows, the
+first of equals, and of the template with more windows, then more slots, then
+fewer changes.
 
 Defined results: a null text has no words and matches nothing; an item of
 fewer than five words is one window of all its words, and matches a document
@@ -31,66 +36,69 @@ BROADCAST_WINDOWS = 2_000_000
 BROADCAST_PAIRS = 500_000
 NUMBER, UNIT, NAME = "\x01", "\x02", "\x03"
 UNITS = "kg|mg|g|km|cm|mm|m|ml|l|h|min|s|ms|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|inches|pounds?|ounces?|dollars?|euros?|cents?|percent|litres?|liters?|metres?|meters?|grams?|stunden?|minuten?|tage?|heures?|jours?|horas?|minutos?"
-NAME_RE = r"([\p{L}\p{N},;] )(\p{Lu}\p{L}+)"
+NAME_RE = r"(^|[^\p{L}\p{M}\p{N}])(\p{Lu}\p{L})"
 UNIT_RE = rf"({NUMBER}\d+) +({UNITS})([^\p{{L}}]|$)"
 GAP_RE = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}-{NAME}]+"
 
-_NAMED = "regexp_replace(@, '" + NAME_RE + "', '\\1' || chr(3) || '\\2', 'g')"
 ORACLE_SQL = rf"""
 WITH a AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE text IS NOT NULL),
-b AS (SELECT side, id, text, regexp_replace(lower({_NAMED.replace("@", _NAMED.replace("@", "coalesce(text, '')"))}), '(\d+)', ' ' || chr(1) || '\1 ', 'g') AS t FROM a),
+b AS (SELECT side, id, text, regexp_replace(lower(regexp_replace(coalesce(text, ''), '{NAME_RE}', '\1' || chr(3) || '\2', 'g')), '(\d+)', ' ' || chr(1) || '\1 ', 'g') AS t FROM a),
 c AS (SELECT side, id, text, list_filter(string_split_regex(regexp_replace(t, '(' || chr(1) || '\d+) +({UNITS})([^\p{{L}}]|$)', '\1 ' || chr(2) || '\2\3', 'g'),
         '[^\p{{L}}\p{{M}}\p{{N}}\x01-\x03]+'), lambda x: x <> '') AS words FROM b),
-e AS (SELECT side, id, text, words, list_transform(words, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS q FROM c WHERE len(words) > 0),
-g AS (SELECT side, id, text, words, CASE WHEN len(q) < 5 THEN ['few ' || array_to_string(q, ' ')] ELSE list_transform(range(1, len(q) - 3), lambda i: array_to_string(q[i:i + 4], ' ')) END AS wins FROM e),
-items AS (SELECT words, any_value(wins) AS wins, min(id) AS item_id FROM g WHERE side = 'i' GROUP BY words),
-iw AS (SELECT item_id, unnest(wins) AS win, unnest(range(len(wins))) AS item_at FROM items),
-dw AS (SELECT id, text, unnest(wins) AS win, unnest(range(len(wins))) AS doc_at FROM (SELECT DISTINCT id, text, wins FROM g WHERE side = 'd')),
-m AS (SELECT id, text, item_id, item_at, doc_at - item_at AS shift FROM dw JOIN iw ON dw.win = iw.win),
-s AS (SELECT id, text, item_id, shift, count(DISTINCT item_at) AS n FROM m GROUP BY ALL),
-best AS (SELECT id, text, item_id, shift FROM s QUALIFY row_number() OVER (PARTITION BY id, text, item_id ORDER BY n DESC, shift) = 1),
-tot AS (SELECT id, text, item_id, count(DISTINCT item_at) AS n_matched FROM m GROUP BY ALL),
-hit AS (SELECT t.id, t.text, t.item_id, t.n_matched, len(i.wins) AS n_windows, b.shift, i.words AS asked
-  FROM tot t JOIN best b ON t.id = b.id AND t.text = b.text AND t.item_id = b.item_id JOIN items i ON i.item_id = t.item_id WHERE t.n_matched >= {SHARE} * len(i.wins)),
-al AS (SELECT h.id, h.text, h.item_id, h.n_matched, h.n_windows, list_distinct(list_filter(list_transform(range(len(asked)), lambda k: CASE WHEN k + shift >= 0 THEN [asked[k + 1], g.words[CAST(k + shift + 1 AS BIGINT)]] END),
+f AS (SELECT side, id, text, words, list_transform(words, lambda x: CASE WHEN x[1] = chr(3) THEN x[2:] ELSE x END) AS plain FROM c WHERE len(words) > 0),
+e AS (SELECT *, list_transform(words, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS q, list_transform(plain, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS r FROM f),
+g AS (SELECT side, id, text, words, plain,
+    CASE WHEN len(q) < 5 THEN ['few ' || array_to_string(q, ' ')] ELSE list_transform(range(1, len(q) - 3), lambda i: array_to_string(q[i:i + 4], ' ')) END AS wins,
+    CASE WHEN len(r) < 5 THEN ['few ' || array_to_string(r, ' ')] ELSE list_transform(range(1, len(r) - 3), lambda i: array_to_string(r[i:i + 4], ' ')) END AS plain_wins FROM e),
+items AS (SELECT words, any_value(wins) AS wins, min(id) AS item_id FROM (SELECT words, wins, id FROM g WHERE side = 'i' UNION ALL SELECT plain, plain_wins, id FROM g WHERE side = 'i') GROUP BY words),
+iw AS (SELECT words AS item, unnest(wins) AS win, unnest(range(len(wins))) AS item_at FROM items),
+docs AS (SELECT DISTINCT id, text, words, wins, plain_wins FROM g WHERE side = 'd'),
+dw AS (SELECT id, text, unnest(wins) AS win, unnest(range(len(wins))) AS doc_at FROM docs
+  UNION SELECT id, text, unnest(plain_wins), unnest(range(len(plain_wins))) FROM docs),
+m AS (SELECT id, text, item, item_at, doc_at - item_at AS shift FROM dw JOIN iw ON dw.win = iw.win),
+hit AS (SELECT m.id, m.text, m.item, i.item_id, len(i.wins) AS n_windows, count(DISTINCT item_at) AS n_matched FROM m JOIN items i ON i.words = m.item GROUP BY ALL HAVING n_matched >= {SHARE} * n_windows),
+lines AS (SELECT m.id, m.text, m.item, shift, count(DISTINCT item_at) AS n, list(DISTINCT item_at) AS spots FROM m JOIN hit h ON h.id = m.id AND h.text = m.text AND h.item = m.item GROUP BY ALL),
+al AS (SELECT l.id, l.text, l.item, shift, n, spots, max(n) OVER (PARTITION BY l.id, l.text, l.item) AS most,
+    list_distinct(list_filter(list_transform(range(len(l.item)), lambda k: CASE WHEN k + shift >= 0 THEN [l.item[k + 1], d.words[CAST(k + shift + 1 AS BIGINT)]] END),
         lambda x: x IS NOT NULL AND x[1] < chr(4) AND x[2] IS NOT NULL AND x[1][1] = x[2][1])) AS slots
-  FROM hit h JOIN (SELECT DISTINCT id, text, words FROM g WHERE side = 'd') g ON g.id = h.id AND g.text = h.text)
-SELECT id AS doc_id, item_id, n_matched, n_windows, len(slots) AS n_slots, len(list_filter(slots, lambda x: x[1] <> x[2])) AS n_changed
-FROM al WHERE len(list_distinct(list_transform(slots, lambda x: x[1]))) = len(slots)
+  FROM lines l JOIN docs d ON d.id = l.id AND d.text = l.text),
+ok AS (SELECT id, text, item, any_value(most) AS most, max(n) AS n, len(list_distinct(flatten(list(spots)))) AS together, arg_max(slots, [n, -shift]) AS slots FROM al
+  WHERE len(list_distinct(list_transform(slots, lambda x: x[1]))) = len(slots) GROUP BY id, text, item),
+r AS (SELECT h.id AS doc_id, h.text, h.item_id, h.n_matched, h.n_windows, len(slots) AS n_slots, len(list_filter(slots, lambda x: x[1] <> x[2])) AS n_changed
+  FROM ok JOIN hit h ON h.id = ok.id AND h.text = ok.text AND h.item = ok.item WHERE n = most OR together >= {SHARE} * n_windows)
+SELECT doc_id, item_id, n_matched, n_windows, n_slots, n_changed FROM r
+QUALIFY row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY n_matched DESC, n_slots DESC, n_changed) = 1
 """
 
 
 def marked(text: Column) -> Column:
     """The words of a text; those that fill slots begin with the slot's type."""
-    t = text
-    for _ in range(2):  # neighbours share the letter and space between them
-        t = F.regexp_replace(t, NAME_RE, f"$1{NAME}$2")
+    t = F.regexp_replace(text, NAME_RE, f"$1{NAME}$2")
     t = F.regexp_replace(F.lower(t), r"(\d+)", f" {NUMBER}$1 ")
     t = F.regexp_replace(t, UNIT_RE, f"$1 {UNIT}$2$3")
     return F.array_remove(F.split(F.coalesce(t, F.lit("")), GAP_RE), "")
 
 
-def windows(words: Column) -> Column:
-    """Hashes of all windows of WIDTH template words, built from halves."""
-    h = F.transform(words, lambda w: F.xxhash64(F.when(w < F.lit("\x04"), F.substring(w, 1, 1)).otherwise(w)))
-    return h
+def plain(words: Column) -> Column:
+    """The words with names as any others."""
+    return F.transform(words, lambda w: F.when(w.startswith(NAME), F.substring(w, 2, 1 << 30)).otherwise(w))
 
 
 def _joined(h: Column, other: Column, by: int, n: Column) -> Column:
     return F.zip_with(F.slice(h, F.lit(1), n), F.slice(other, F.lit(1 + by), n), lambda a, b: F.xxhash64(a, b))
 
 
-def with_windows(df: DataFrame) -> DataFrame:
-    """Adds ``hashes``: of each window, or one of all words if they are few."""
-    size = F.size("words")
-    df = df.withColumn("h1", windows(F.col("words")))
+def with_windows(df: DataFrame, words: str = "words", hashes: str = "hashes") -> DataFrame:
+    """Adds hashes: of each window, built from halves, or one of all words if they are few."""
+    size = F.size(words)
+    df = df.withColumn("h1", F.transform(words, lambda w: F.xxhash64(F.when(w < F.lit("\x04"), F.substring(w, 1, 1)).otherwise(w))))
     n = F.greatest(size - (WIDTH - 1), F.lit(0))
     n2 = F.greatest(size - 1, F.lit(0))
     n4 = F.greatest(size - 3, F.lit(0))
     df = df.withColumn("h2", _joined(F.col("h1"), F.col("h1"), 1, n2))
     df = df.withColumn("h4", _joined(F.col("h2"), F.col("h2"), 2, n4))
     few = F.array(F.xxhash64(F.lit("few"), F.concat_ws(" ", F.transform("h1", lambda x: x.cast("string")))))
-    return df.withColumn("hashes", F.when(size >= WIDTH, _joined(F.col("h4"), F.col("h1"), WIDTH - 1, n)).when(size > 0, few).otherwise(F.array().cast("array<bigint>"))).drop("h1", "h2", "h4")
+    return df.withColumn(hashes, F.when(size >= WIDTH, _joined(F.col("h4"), F.col("h1"), WIDTH - 1, n)).when(size > 0, few).otherwise(F.array().cast("array<bigint>"))).drop("h1", "h2", "h4")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -99,13 +107,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """Contaminated (document, item) pairs with how they match."""
-    bench = with_windows(items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), marked(F.col("text")).alias("words")))
+    known = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), marked(F.col("text")).alias("words"))
+    bench = with_windows(known.select("item_id", F.explode(F.array("words", plain(F.col("words")))).alias("words")))
     bench = bench.filter(F.size("words") > 0).groupBy("words", "hashes").agg(F.min("item_id").alias("item_id"))
     bench = cut(bench.withColumn("item", F.xxhash64("words")).withColumn("n_windows", F.size("hashes")))
     grams = bench.select("item", F.posexplode("hashes").alias("item_at", "hash"))
     grams, _ = small(grams, BROADCAST_WINDOWS)
-    own = with_windows(_keyed(docs).withColumn("words", marked(F.col("text"))).select("id_key", "text_key", "words"))
-    rows = own.select("id_key", "text_key", F.posexplode_outer("hashes").alias("doc_at", "hash")).join(grams, "hash")
+    own = _keyed(docs).withColumn("words", marked(F.col("text"))).select("id_key", "text_key", "words").withColumn("plain", plain(F.col("words")))
+    own = with_windows(with_windows(own), "plain", "other").drop("words", "plain")
+    # Where a window holds no name, both templates have it, and it is looked up once.
+    found = F.zip_with("hashes", "other", lambda a, b: F.when(a == b, F.array(a)).otherwise(F.array(a, b)))
+    rows = own.select("id_key", "text_key", F.posexplode(found).alias("doc_at", "either"))
+    rows = rows.select("id_key", "text_key", "doc_at", F.explode("either").alias("hash")).join(grams, "hash")
     by_line = rows.groupBy("id_key", "text_key", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("at"))
     pairs = by_line.groupBy("id_key", "text_key", "item").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"), F.collect_list(F.struct(F.size("at").alias("n"), "shift", "at")).alias("lines")
@@ -128,7 +141,11 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     both = both.withColumn("best", F.array_max(F.transform("lines", lambda x: F.struct(x["n"].alias("n"), x["back"].alias("back"), x["slots"].alias("slots")))))
     both = both.filter((F.col("best.n") == F.col("most")) | whole).withColumn("slots", F.col("best.slots"))
     both = both.withColumn("n_changed", F.size(F.filter("slots", lambda s: s["was"] != s["is"])))
-    return both.select("doc_id", "item_id", F.col("n_matched").cast("long").alias("n_matched"), F.col("n_windows").cast("long").alias("n_windows"), F.size("slots").cast("long").alias("n_slots"), F.col("n_changed").cast("long").alias("n_changed"), "id_key", "text_key")
+    # Of an item's two templates, that which tells more.
+    told = F.struct("n_matched", F.size("slots").alias("n_slots"), (-F.col("n_changed")).alias("kept"), "n_windows")
+    both = both.groupBy("id_key", "text_key", "item_id").agg(F.max_by(F.struct("doc_id", "n_changed", F.size("slots").alias("n_slots"), "n_matched", "n_windows"), told).alias("b"))
+    both = both.select("id_key", "text_key", "item_id", "b.*")
+    return both.select("doc_id", "item_id", F.col("n_matched").cast("long").alias("n_matched"), F.col("n_windows").cast("long").alias("n_windows"), F.col("n_slots").cast("long").alias("n_slots"), F.col("n_changed").cast("long").alias("n_changed"), "id_key", "text_key")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
+import re
+
 import corpus
+import duckdb
+import harness
 from codexa.llm import decontam
 
 ITEMS = [
@@ -40,6 +44,49 @@ def test_every_diagonal(spark):
     assert got == {(i, 7): 0 for i in (0, 1, 2, 3, 10, 12)} | {(21, 8): 0}
 
 
+ANNA = "Anna has 12 apples. Anna buys 30 more apples and gives 5 to Tom. How many apples does Anna have now?"
+
+
+def test_names_that_begin_sentences_and_other_case(spark):
+    """Re-parameterised names at any place, and verbatim copies in any case."""
+    other = ANNA.replace("Anna", "Maria").replace("Tom", "Paul").replace("12", "17").replace("30", "8")
+    wrong = ANNA.replace("Anna has", "Maria has").replace("Anna buys", "Rosa buys")
+    german = "Welche Stadt liegt am Ufer des Flusses und hat die meisten Einwohner im Norden des Landes?"
+    texts = [(1, f"Quiz: {other} Yes."), (2, "so " + ANNA.lower() + " end"), (3, ANNA.upper()), (4, f"x. {wrong} y"), (5, german.lower()), (6, german.title()), (7, f'He said "{other}" to us')]
+    items = spark.createDataFrame([(1, ANNA), (2, german)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_matched"], r["n_windows"], r["n_changed"]) for r in decontam.leaks(spark.createDataFrame(texts, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (5, 2), (6, 2), (7, 1)}
+    assert all(got[k][0] == got[k][1] for k in got) and got[2, 1][2] == got[3, 1][2] == got[5, 2][2] == 0 and got[1, 1][2] == got[7, 1][2] == 4
+
+
+def test_recall_of_items_with_other_values(spark):
+    """Items of the given table with other numbers and other names, each within another text."""
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    swap = lambda t: re.sub(r"\b[A-Z][a-z]+", lambda m: m[0][::-1].capitalize(), re.sub(r"\d+", lambda m: str(int(m[0]) + 1), t))
+    texts = [(i, f"some words ahead and then: {swap(t)} and words behind it", 1) for i, t in items]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(texts, "doc_id long, text string, words int"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((i, i) in got for i, _ in items) / len(items) >= 0.95
+
+
+def test_sql(spark):
+    """The SQL on texts with names, units, other cases, copies and several diagonals."""
+    long = "so " * 2000 + ANNA + " and so on"
+    docs = [*DOCS, (30, ANNA.lower()), (31, long), (32, "Quiz. " + ANNA.replace("Anna", "Eve")), (33, f"{ITEMS[6][1]} so {ITEMS[6][1].replace('3', '8')}"), (34, DOCS[1][1]), (35, None)]
+    items = [*ITEMS, (9, ANNA)]
+    con = duckdb.connect()
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    found = decontam.leaks(spark.createDataFrame([*docs, docs[0]], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).drop("id_key", "text_key")
+    assert harness.differences(found, con, decontam.ORACLE_SQL) == "" and found.count() > 8
+
+
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, ITEMS[1][1]), (None, ITEMS[1][1]), (None, "nothing of it"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, items).collect()] == [(None, 2)]
+
+
 def test_stage(spark, tmp_path):
     data = [(d, t, None, None, 0) for d, t in DOCS]
     path = corpus.write(spark, tmp_path, data, benchmark=(ITEMS, "item_id long, text string"))
