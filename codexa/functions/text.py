@@ -33,8 +33,16 @@ NOT_IN_NAMES = ("a", "an", "and", "book", "cd", "chapter", "disc", "disk", "for"
 AUTHOR_SPLIT = r"\s*(?:,|/|&|and)\s*"
 
 
+#: White space of any script, and the separators that count as such.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def _decomposed() -> dict[str, str]:
@@ -49,31 +57,64 @@ def _decomposed() -> dict[str, str]:
 _PLAIN = _decomposed()
 _SINGLE = [c for c, p in _PLAIN.items() if len(p) == 1]
 _SEVERAL = {c: p for c, p in _PLAIN.items() if len(p) > 1}
+_PARTED = "".join(f"\x01{c}\x02{p}" for c, p in _SEVERAL.items())
 
 
 def fold(c: Column) -> Column:
     """Compatibility decomposition, then ASCII alone: letters lose their marks, ligatures part."""
-    table = F.create_map(*[F.lit(x) for kv in _SEVERAL.items() for x in kv])
-    parted = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+
+    def part(x):
+        at = F.instr(F.lit(_PARTED), F.concat(F.lit("\x01"), x, F.lit("\x02")))
+        return F.when(at > 0, F.split_part(F.substr(F.lit(_PARTED), at + 3), F.lit("\x01"), F.lit(1))).otherwise(x)
+
+    parted = F.array_join(F.transform(F.split(c, ""), part), "")
     has = c.rlike("[" + "".join(f"\\x{{{ord(x):x}}}" for x in _SEVERAL) + "]")
     plain = F.translate(F.when(has, parted).otherwise(c), "".join(_SINGLE), "".join(_PLAIN[x] for x in _SINGLE))
     return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.regexp_replace(plain, r"[^\x00-\x7F]", ""))
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+
+
+def _composed() -> dict[str, str]:
+    """Pairs of a letter and a mark, and the one character that composition makes of them."""
+    pairs = {}
+    for n in [*range(0xC0, 0x3100), *range(0xF900, 0x10000)]:
+        parts = unicodedata.normalize("NFD", chr(n))
+        if len(parts) > 1 and unicodedata.normalize("NFC", chr(n)) == chr(n):
+            pairs[unicodedata.normalize("NFC", parts[:-1]) + parts[-1]] = chr(n)
+    return pairs
+
+
+#: Each as a separator, the pair and the character.
+_PAIRS = "".join(f"\x01{pair}{whole}" for pair, whole in _composed().items())
+
+
+def composed(c: Column) -> Column:
+    """Letters and the marks behind them as one character where there is one.
+
+    Marks of several classes in another order than the canonical one aren't sorted first.
+    """
+
+    def add(acc, x):
+        last = F.element_at(acc, -1)
+        at = F.instr(F.lit(_PAIRS), F.concat(F.lit("\x01"), last, x))
+        return F.when(x.rlike(r"\p{M}") & (at > 0), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.substr(F.lit(_PAIRS), at + 3, F.lit(1))))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.when(c.rlike(r"\p{M}"), F.array_join(F.aggregate(F.split(c, ""), F.array(F.lit("")), add), "")).otherwise(c)
 
 
 def normalize_title(c: Column) -> Column:
-    t = F.regexp_replace(F.trim(F.lower(c)), rf",\s*(?:{'|'.join(ARTICLES)})$", "")
-    t = F.regexp_replace(t, rf"^(?:{'|'.join(ARTICLES)})\s+", "")
-    return fold(squeeze(F.regexp_replace(t, r"[^\p{L}\p{N}_\s-]", "")))
+    t = F.regexp_replace(strip(F.lower(c)), rf",{SPACE}*(?:{'|'.join(ARTICLES)})$", "")
+    t = F.regexp_replace(t, rf"^(?:{'|'.join(ARTICLES)}){SPACE}+", "")
+    return fold(squeeze(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}_{SPACE[1:-1]}-]", "")))
 
 
 def normalize_author(c: Column) -> Column:
-    t = F.trim(F.lower(c))
+    t = strip(F.lower(c))
     for s in SUFFIXES:
-        t = F.trim(F.regexp_replace(t, s.replace(".", r"\.") + "$", ""))
+        t = strip(F.regexp_replace(t, s.replace(".", r"\.") + "$", ""))
     t = fold(t)
     return F.when(t.contains(","), F.concat_ws(" ", F.trim(F.regexp_extract(t, r"^[^,]*,(.*)$", 1)), F.trim(F.regexp_extract(t, r"^([^,]*),", 1)))).otherwise(t)
 
@@ -93,8 +134,8 @@ def year_in(c: Column) -> Column:
 
 
 def runtime_minutes(c: Column) -> Column:
-    h = F.coalesce(F.regexp_extract(c, r"(?i)(\d+)\s*h(?:ou)?rs?", 1).try_cast("int"), F.lit(0))
-    m = F.coalesce(F.regexp_extract(c, r"(?i)(\d+)\s*min(?:ute)?s?", 1).try_cast("int"), F.lit(0))
+    h = F.coalesce(F.regexp_extract(c, r"(?i)(\d+)\s*hr", 1).try_cast("int"), F.lit(0))
+    m = F.coalesce(F.regexp_extract(c, r"(?i)(\d+)\s*min", 1).try_cast("int"), F.lit(0))
     return F.nullif(h * 60 + m, F.lit(0))
 
 
@@ -132,21 +173,18 @@ def zero_pad(c: Column, width: Column) -> Column:
 
 
 def file_name(c: Column, most: int = 255) -> Column:
-    return F.left(F.regexp_replace(c, FORBIDDEN, "_"), F.lit(most))
+    """Composed, without forbidden characters, of bounded length; a long name keeps its suffix."""
+    t = F.regexp_replace(composed(c), FORBIDDEN, "_")
+    suffix = F.regexp_extract(t, r"[^.](\.[^.]+)$", 1)
+    stem = F.left(t, F.length(t) - F.length(suffix))
+    room = F.lit(most) - F.length(suffix)
+    return strip(F.when(F.length(t) > most, F.concat(truncate(stem, room), suffix)).otherwise(t))
 
 
 def shorten(c: Column, most: int = 30) -> Column:
-    """Whole words up to ``most`` characters; a first word that is longer is cut."""
-    words = F.split(squeeze(c), " ")
-    kept = F.aggregate(
-        words,
-        F.struct(F.lit("").alias("text"), F.lit(True).alias("open")),
-        lambda acc, w: F.when(acc["open"] & (acc["text"] == ""), F.struct(w.alias("text"), F.lit(True).alias("open")))
-        .when(acc["open"] & (F.length(acc["text"]) + 1 + F.length(w) <= most), F.struct(F.concat_ws(" ", acc["text"], w).alias("text"), F.lit(True).alias("open")))
-        .otherwise(F.struct(acc["text"].alias("text"), F.lit(False).alias("open"))),
-        lambda acc: acc["text"],
-    )
-    return F.left(kept, F.lit(most))
+    """Whole words up to ``most`` characters; a first word that is longer is cut, a short text stays as it is."""
+    head = F.left(squeeze(c), F.lit(most + 1))
+    return F.when(F.length(c) <= most, c).otherwise(F.coalesce(F.nullif(F.when(F.length(head) <= most, head).otherwise(F.regexp_extract(head, "^(.*) ", 1)), F.lit("")), F.left(c, F.lit(most))))
 
 
 def implausible_person(c: Column) -> Column:
@@ -207,18 +245,19 @@ def track_title(stem: Column) -> Column:
     return F.coalesce(blank_to_null(F.replace(F.regexp_replace(stem, r"^[\d\s._-]+", ""), F.lit("_"), F.lit(" "))), blank_to_null(stem), F.lit("Track"))
 
 
-def truncate(c: Column, most: int) -> Column:
+def truncate(c: Column, most: int | Column) -> Column:
     """Whole words and an ellipsis, or a cut word and one, where a text is too long."""
-    words = F.split(F.trim(c), r"\s+")
+    most = F.lit(most) if isinstance(most, int) else most
+    words = F.split(strip(c), SPACE + "+")
     joined = lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
     fitting = F.size(F.filter(F.sequence(F.lit(1), F.size(words)), lambda n: F.length(joined(n)) + (n == 1).cast("int") <= most - 3))
-    short = F.when(c.contains(" ") & (fitting > 0), F.concat(joined(fitting), F.lit("..."))).otherwise(F.concat(F.left(c, F.lit(most - 3)), F.lit("...")))
+    short = F.when(c.contains(" ") & (fitting > 0), F.concat(joined(fitting), F.lit("..."))).otherwise(F.concat(F.left(c, most - 3), F.lit("...")))
     return F.when(F.length(c) <= most, c).otherwise(short)
 
 
 def safe_path(c: Column, part: int = 100, most: int = 255) -> Column:
     """Each part without forbidden characters and of bounded length, the whole bounded too."""
-    parts = F.transform(F.split(c, r"[\\/]"), lambda p: truncate(F.regexp_replace(F.trim(p), FORBIDDEN, "_"), part))
+    parts = F.transform(F.split(composed(c), r"[\\/]"), lambda p: truncate(F.regexp_replace(strip(p), FORBIDDEN, "_"), part))
     return truncate(F.array_join(F.filter(parts, lambda p: p != ""), "/"), most)
 
 

@@ -7,30 +7,28 @@ from pyspark.sql import functions as F
 
 # What belongs beside audio files.
 AUDIO = ("mp3", "m4a", "m4b", "flac", "ogg", "opus", "aac", "wav")
-SIDECARS = ("nfo", "json", "opf", "txt", "cue")
-IMAGES = ("jpg", "jpeg", "png", "webp", "gif", "bmp")
-COVERS = ("cover", "folder", "front", "album", "artwork", "thumb")
+SIDECARS = ("nfo", "cue", "json", "opf", "xml", "txt", "log")
+IMAGES = ("jpg", "jpeg", "png", "bmp", "gif", "webp")
+COVERS = ("cover", "folder", "front", "albumart", "artwork", "thumb")
 PROBE = 65536
 
 
 def byte_duplicates(files: DataFrame, path: str, size: str, content: str, probe: int = PROBE) -> DataFrame:
     """Files equal in size, then in a hash of head and tail, then in full.
 
-    Each stage hashes only what the one before left; the first by path is kept.
+    Hashes are of bytes and are made where the contents are read, so that only
+    paths, sizes and hashes go on; each stage leaves the next fewer rows.  A
+    file of up to ``probe`` bytes is its own head and has no tail.  The first by
+    path is kept.
     """
-
-    def several(df: DataFrame, by: list[str]) -> DataFrame:
-        often = df.groupBy(*by).count().filter("count > 1").drop("count")
-        return df.join(often, by, "left_semi")
-
-    body = F.col(content)
-    left = several(files.select(path, size, content), [size])
-    ends = F.sha2(F.concat(F.left(body, F.lit(probe)), F.right(body, F.lit(probe))).cast("binary"), 256)
-    left = several(left.withColumn("probe", ends), [size, "probe"])
-    full = left.withColumn("sha256", F.sha2(body.cast("binary"), 256)).select(path, size, "sha256")
-    n = Window.partitionBy(size, "sha256")
-    found = full.withColumn("n", F.count("*").over(n)).withColumn("keeper", F.min(path).over(n))
-    return found.filter("n > 1").withColumn("redundant", F.col(path) != F.col("keeper"))
+    body = F.col(content).cast("binary")
+    tail = F.when(F.octet_length(body) > probe, F.substring(body, -probe, probe)).otherwise(F.lit(b""))
+    rows = files.select(path, size, F.sha2(F.concat(F.substring(body, 1, probe), tail), 256).alias("probe"), F.sha2(body, 256).alias("sha256"))
+    for by in ([size], [size, "probe"]):
+        often = rows.groupBy(*by).agg((F.min(path) < F.max(path)).alias("several")).filter("several").drop("several")
+        rows = rows.join(often, by, "left_semi")
+    same = rows.groupBy(size, "sha256").agg(F.count("*").alias("n"), F.min(path).alias("keeper")).filter("n > 1")
+    return rows.drop("probe").join(same, [size, "sha256"]).withColumn("redundant", F.col(path) != F.col("keeper"))
 
 
 def name_of(path: Column) -> Column:

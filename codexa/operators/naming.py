@@ -8,9 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import file_name, zero_pad
+from ..functions import text as X
 
-TOKEN = re.compile(r"\{(\w+)(?::(\d+))?\}")
+TOKEN = re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*)(?::([^}]+))?\}")
+# Second names of tokens.
+SHORT_NAMES = {
+    "author": "Author", "authors": "Author", "author_sort": "AuthorLastFirst", "title": "Title", "short_title": "ShortTitle", "series": "SeriesName", "series_index": "SeriesIndex",
+    "year": "Year", "narrator": "Narrator", "disc_pad": "DiscPad", "track_pad": "TrackPad", "disc": "Disc", "track": "Track", "track_title": "TrackTitle", "language": "Language", "isbn": "ISBN",
+}
 
 
 def problems(template: str, known: set[str]) -> list[str]:
@@ -32,20 +37,59 @@ def template_problems(template: Column, known: list[str]) -> Column:
     return F.struct(F.array_except(names, F.array(*[F.lit(k) for k in known])).alias("unknown"), outside.rlike(r'[<>:"|?*\\]').alias("forbidden"), (braces("{") != braces("}")).alias("unbalanced"), formats.alias("formats"))
 
 
-def render(template: str, tokens: dict[str, Column]) -> Column:
-    """A template as one expression: blanks for null, then what they leave behind is tidied."""
+def tokens(case: str = "title", **f: Column) -> dict[str, Column]:
+    """The 30 names that a template may use, as strings; blank where nothing is known.
+
+    Fields: title, author, series, series_index, year, narrator, language, isbn
+    of the identity; the same with ``_guess`` for those of the set, taken where
+    the identity has none; and track, most_track, disc, disc_count, track_title,
+    stem.  Without a track all its tokens are blank.
+    """
+    none = F.lit(None).cast("string")
+    get = lambda n: X.blank_to_null(f.get(n, none).cast("string"))
+    known = lambda n: F.coalesce(get(n), get(f"{n}_guess"))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    title, author = F.coalesce(known("title"), F.lit("Unknown Title")), known("author")
+    track, disc = F.greatest(f["track"].cast("int"), F.lit(1)) if "track" in f else none, F.greatest(f["disc"].cast("int"), F.lit(1)) if "disc" in f else none
+    most = F.greatest(f.get("most_track", F.lit(0)).cast("int"), track) if "track" in f else none
+    several = f.get("disc_count", F.lit(1)).cast("int") > 1 if "track" in f else F.lit(False)
+    pad = lambda n, of: blank(X.zero_pad(n.cast("string"), F.length(of.cast("string"))))
+    own = F.coalesce(get("track_title"), X.track_title(f["stem"])) if "stem" in f else get("track_title")
+    found = {
+        "Title": title, "ShortTitle": X.shorten(title), "Year": blank(get("year")), "Language": blank(known("language")), "Narrator": blank(known("narrator")), "ISBN": blank(get("isbn")),
+        "Author": F.coalesce(author, F.lit("Unknown Author")), "AuthorLastFirst": F.coalesce(X.last_first(author), F.lit("Unknown Author")),
+        "SeriesName": blank(known("series")), "SeriesIndex": blank(known("series_index")),
+        "TrackPad": pad(track, most), "Track": blank(track.cast("string")), "DiscPad": blank(F.when(several, pad(disc, f.get("disc_count", F.lit(1))))), "Disc": blank(F.when(several, disc.cast("string"))),
+        "TrackTitle": blank(own if "track" in f else none),
+    }
+    cased = {"title": X.title_case, "lower": F.lower, "upper": F.upper, "as_is": lambda c: c}[case]
+    found = {k: cased(v) for k, v in found.items()}
+    return found | {short: found[name] for short, name in SHORT_NAMES.items()}
+
+
+def render(template: str, values: dict[str, Column]) -> Column:
+    """A template as one expression, and what blanks leave behind is removed; unknown tokens are blank."""
     parts, at = [], 0
     for m in TOKEN.finditer(template):
-        value = F.coalesce(tokens[m[1]].cast("string"), F.lit(""))
-        if m[2]:
-            value = F.when(value != "", zero_pad(value, F.lit(int(m[2])))).otherwise(value)
-        parts += [F.lit(template[at : m.start()]), F.regexp_replace(value, "/", "_")]
+        value = F.coalesce(values[m[1]].cast("string"), F.lit("")) if m[1] in values else F.lit("")
+        if (m[2] or "").isdigit():
+            value = F.when(value != "", X.zero_pad(value, F.lit(int(m[2])))).otherwise(value)
+        parts += [F.lit(template[at : m.start()]), value]
         at = m.end()
     path = F.concat(*parts, F.lit(template[at:]))
-    for pattern, new in ((r"\(\s*\)|\[\s*\]", ""), (r"\s+", " "), (r"\s*-\s*(?=/|$)", ""), (r"(^|/)\s*-\s*", "$1"), (r"\s*/\s*", "/"), (r"/{2,}", "/")):
+    for pattern, new in ((r"\(\s*\)", ""), (r"(?<=/)\s*-\s+", ""), (r"\s+-\s+(?=/|$)", ""), (r"/{2,}", "/"), (r"\s+", " "), (r"^[ /-]+|[ /-]+$", "")):
         path = F.regexp_replace(path, pattern, new)
-    parts = F.split(F.regexp_replace(path, r"^[ /-]+|[ /-]+$", ""), "/")
-    return F.array_join(F.transform(parts, lambda p: file_name(p, 100)), "/")
+    return path
+
+
+def folder_path(template: str, values: dict[str, Column]) -> Column:
+    return X.safe_path(render(template, values))
+
+
+def track_name(template: str, values: dict[str, Column], suffix: Column) -> Column:
+    """A track's file name: the rendered template with the source's suffix, made safe."""
+    name = render(template, values)
+    return X.file_name(F.when(name.endswith(suffix), name).otherwise(F.concat(name, suffix)))
 
 
 def companions(files: DataFrame) -> DataFrame:

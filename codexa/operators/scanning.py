@@ -113,25 +113,56 @@ def track_number(path: Column, tag: Column) -> Column:
     return F.coalesce(F.regexp_extract(tag, r"(\d+)", 1).try_cast("int"), X.first_int(stem, *X.TRACK_PATTERNS), F.lit(1))
 
 
-def tag(tags: Column, *keys: str, valid=None) -> Column:
-    """The first of a map's keys whose value isn't blank, and passes the check."""
+def tag(tags: Column, *keys: str, read=None) -> Column:
+    """The first of a map's keys whose value isn't blank, as ``read`` has it if that isn't null."""
     values = [X.blank_to_null(F.try_element_at(tags, F.lit(k))) for k in keys]
-    return F.coalesce(*[F.when(valid(v), v) if valid else v for v in values])
+    return F.coalesce(*[read(v) if read else v for v in values])
 
 
 # Where formats keep each field, in the order asked.
 TAG_KEYS = {
-    "title": ("TIT2", "\xa9nam", "TITLE", "title"), "album": ("TALB", "\xa9alb", "ALBUM", "album"), "artist": ("TPE1", "\xa9ART", "ARTIST", "artist"),
-    "track": ("TRCK", "trkn", "TRACKNUMBER", "track"), "disc": ("TPOS", "disk", "DISCNUMBER", "disc"),
-    "isbn": ("TXXX:ISBN", "----:com.apple.iTunes:ISBN", "ISBN", "isbn"), "asin": ("TXXX:ASIN", "----:com.apple.iTunes:ASIN", "ASIN", "asin"),
-}
+    "title": ("TIT2", "TITLE", "\xa9nam"),
+    "album": ("TALB", "ALBUM", "\xa9alb"),
+    "artist": ("TPE1", "ARTIST", "\xa9ART"),
+    "albumartist": ("TPE2", "ALBUMARTIST", "aART"),
+    "date": ("TDRC", "DATE", "\xa9day"),
+    "genre": ("TCON", "GENRE", "\xa9gen"),
+    "track": ("TRCK", "TRACKNUMBER", "trkn"),
+    "disc": ("TPOS", "DISCNUMBER", "disk"),
+    "isbn": ("TXXX:ISBN", "ISBN", "----:com.apple.iTunes:ISBN"),
+    "asin": ("TXXX:ASIN", "TXXX:AUDIBLE_ASIN", "ASIN", "asin", "----:com.apple.iTunes:ASIN", "----:com.pilabor.tone:AUDIBLE_ASIN", "CDEK", "WOAS"),
+    "narrator": ("\xa9nrt", "----:com.apple.iTunes:NARRATOR", "TXXX:NARRATEDBY", "TXXX:NARRATOR", "narrator", "narratedby", "TCOM", "\xa9wrt"),
+}
+URL_TAGS = ("WOAS", "WXXX")
+
+
+def _number(v: Column) -> Column:
+    return F.nullif(F.regexp_extract(v, r"(\d+)", 1), F.lit(""))
+
+
+def _isbn(v: Column) -> Column:
+    plain = F.regexp_replace(v, r"[-\s]", "")
+    return F.when(X.valid_isbn(plain), plain)
+
+
+def _asin(v: Column) -> Column:
+    """A code as the whole value, in capitals, or the first within free text."""
+    return F.when(X.valid_asin(v), F.upper(v)).otherwise(X.asin_in(v))
+
+
+def tag_fields(tags: Column) -> dict[str, Column]:
+    """Every field of TAG_KEYS; a code that no key holds is looked for in the tags of links."""
+    read = {"track": _number, "disc": _number, "isbn": _isbn, "asin": _asin}
+    found = {k: tag(tags, *keys, read=read.get(k)) for k, keys in TAG_KEYS.items()}
+    linked = F.filter(F.map_entries(tags), lambda e: F.upper(e["key"]).rlike("^(?:" + "|".join(URL_TAGS) + ")"))
+    codes = F.filter(F.transform(linked, lambda e: _asin(X.blank_to_null(e["value"]))), lambda c: c.isNotNull())
+    return found | {"asin": F.coalesce(found["asin"], F.try_element_at(codes, F.lit(1)))}
 
 
 def track_rows(files: DataFrame) -> DataFrame:
     """Tracks from (path, tags, duration); a file without a usable listing is an ERROR row of index 999."""
     t = F.col("tags")
-    checks = {"isbn": X.valid_isbn, "asin": X.valid_asin}
-    df = files.withColumns({k: tag(t, *keys, valid=checks.get(k)) for k, keys in TAG_KEYS.items()})
+    df = files.withColumns(tag_fields(t))
     bad = t.isNull() | F.col("duration").isNull() | (F.col("duration") < 0)
     index = F.when(bad, 999).otherwise(track_number(F.col("path"), F.col("track")))
     disc = F.when(bad, 1).otherwise(disc_number(F.col("path"), F.col("disc"), F.col("album")))

@@ -54,19 +54,28 @@ def scan_sets(spark, d):
 
 
 @query("""
-SELECT p_partkey, nullif(trim(p_name), '') AS title, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 'B0' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') END AS asin,
+WITH k AS (SELECT *, 'B0' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS code FROM part)
+SELECT p_partkey, nullif(trim(p_name), '') AS title, CASE p_size % 4 WHEN 1 THEN code WHEN 3 THEN code WHEN 2 THEN code END AS asin, CASE WHEN p_size % 3 = 0 THEN lpad(CAST(p_partkey AS VARCHAR), 13, '9') END AS isbn,
+  CASE WHEN p_size % 2 = 0 THEN 'Reader ' || p_brand ELSE p_type END AS narrator, p_brand AS albumartist, CAST(1990 + p_size AS VARCHAR) AS date,
   CAST(CASE WHEN p_partkey % 11 = 0 THEN 999 WHEN p_partkey % 2 = 0 THEN p_size ELSE 7 END AS INTEGER) AS track_index, CAST(CASE WHEN p_partkey % 11 = 0 THEN 1 WHEN p_partkey % 5 = 0 THEN 2 ELSE 3 END AS INTEGER) AS disc_index,
-  CASE WHEN p_partkey % 11 = 0 THEN 'error' ELSE 'valid' END AS status FROM part
+  CASE WHEN p_partkey % 11 = 0 THEN 'error' ELSE 'valid' END AS status FROM k
 """)
 def track_rows(spark, d):
-    """S4, S5, S6, P-S14, P-S15, P-S30: tags by ordered keys, each checked; unusable files are error rows."""
+    """S4, S5, S6, P-S14 to P-S16, P-S30: tags by ordered keys, codes in free text and in links; unusable files are error rows."""
     p = table(spark, d, "part")
     s = lambda c: F.col(c).cast("string")
-    code = F.when(F.col("p_size") % 2 == 1, F.concat(F.lit("B0"), F.lpad(s("p_partkey"), 8, "0"))).otherwise("none")
-    tags = F.create_map(F.lit("TIT2"), F.lit("  "), F.lit("TITLE"), F.col("p_name"), F.lit("TXXX:ASIN"), F.lit("bad"), F.lit("ASIN"), code,
-                        F.lit("TRCK"), F.when(F.col("p_partkey") % 2 == 0, F.concat(s("p_size"), F.lit("/90"))), F.lit("disc"), F.when(F.col("p_partkey") % 5 == 0, "2 of 3"))
+    code = F.concat(F.lit("b0"), F.lpad(s("p_partkey"), 8, "0"))
+    size = F.col("p_size")
+    tags = F.map_from_arrays(
+        F.array(*[F.lit(k) for k in ("TIT2", "\xa9nam", "TITLE", "TXXX:ASIN", "TXXX:AUDIBLE_ASIN", "CDEK", "WXXX:shop", "TXXX:ISBN", "ISBN", "TCOM", "\xa9nrt", "TPE2", "\xa9day", "TRCK", "disk", "disc")]),
+        F.array(
+            F.lit(" \t "), F.lit("later"), F.col("p_name"), F.lit("bad"), F.when(size % 4 == 1, F.upper(code)), F.when(size % 4 == 3, F.concat(F.lit("shop id "), code, F.lit(" ok"))),
+            F.when(size % 4 == 2, F.concat(F.lit("https://shop/pd/"), code, F.lit("?x=1"))), F.lit("12-34"), F.when(size % 3 == 0, F.concat(F.lit(" 999-"), F.substring(F.lpad(s("p_partkey"), 13, "9"), 4, 10))),
+            F.col("p_type"), F.when(size % 2 == 0, F.concat(F.lit("Reader "), "p_brand")), F.col("p_brand"), (size + 1990).cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.concat(s("p_size"), F.lit("/90"))), F.when(F.col("p_partkey") % 5 == 0, "2 of 3"), F.lit("9"),
+        ),
+    )
     f = p.select("p_partkey", F.lit("Lib/Disc 3/07 - x.mp3").alias("path"), tags.alias("tags"), F.when(F.col("p_partkey") % 11 == 0, -1.0).otherwise(60.0).alias("duration"))
-    return scanning.track_rows(f).select("p_partkey", "title", "asin", "track_index", "disc_index", "status")
+    return scanning.track_rows(f).select("p_partkey", "title", "asin", "isbn", "narrator", "albumartist", "date", "track_index", "disc_index", "status")
 
 
 @query("""

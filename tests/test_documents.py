@@ -47,7 +47,22 @@ def test_templates(spark):
     assert naming.problems("{Author}/{Nope}<", known) == ["forbidden character", "unknown token Nope"] and naming.problems("{Author", known) == ["unbalanced braces"]
     df = spark.createDataFrame([("A/B", "S", "T?", 7), ("A", None, "T", None)], "Author string, Series string, Title string, Track int")
     got = [r[0] for r in df.select(naming.render(t, {c: F.col(c) for c in df.columns})).collect()]
-    assert got == ["A_B/S - T_ (S)/007 - T_", "A/T/T"]
+    assert got == ["A/B/S - T? (S)/007 - T?", "A/T /T"]
+    got = [r[0] for r in df.select(naming.folder_path(t, {c: F.col(c) for c in df.columns})).collect()]
+    assert got == ["A/B/S - T_ (S)/007 - T_", "A/T/T"]
+    # Empty square brackets and the spaces around slashes stay as they are; unknown tokens are blank.
+    odd = df.limit(1).select(naming.render("[{Gone}] / {Author:x}{Nope} ( )", {"Author": F.lit("b"), "Gone": F.lit("")}), naming.track_name("{Title}", {"Title": F.lit("x" * 300 + "/" + "y")}, F.lit(".mp3")), naming.track_name("{Title}", {"Title": F.lit(" e\u0301t\u00e9.mp3 ")}, F.lit(".mp3"))).first()
+    assert odd[0] == "[] / b" and odd[1] == "x" * 248 + "..." + ".mp3" and odd[2] == "\u00e9t\u00e9.mp3"
+
+
+def test_template_names(spark):
+    df = spark.range(1)
+    full = naming.tokens(title=F.lit("the  LONG road"), author=F.lit("ann lee"), series=F.lit("saga"), series_index=F.lit(3), year=F.lit(1999), track=F.lit(7), most_track=F.lit(120), disc=F.lit(2), disc_count=F.lit(10), stem=F.lit("07 - on_the way"))
+    bare = naming.tokens("as_is", title_guess=F.lit("x"), author=F.lit(" "), year=F.lit(None))
+    get = lambda t: {k: v for k, v in df.select(*[c.alias(k) for k, c in t.items() if k in naming.SHORT_NAMES.values()]).first().asDict().items() if v}
+    assert get(full) == {"Title": "The Long Road", "ShortTitle": "The Long Road", "Author": "Ann Lee", "AuthorLastFirst": "Lee, Ann", "SeriesName": "Saga", "SeriesIndex": "3", "Year": "1999", "Track": "7", "TrackPad": "007", "Disc": "2", "DiscPad": "02", "TrackTitle": "On The Way"}
+    assert get(bare) == {"Title": "x", "ShortTitle": "x", "Author": "Unknown Author", "AuthorLastFirst": "Unknown Author"}
+    assert len(full) == 31 and set(full) == set(bare)
 
 
 def test_companions(spark):

@@ -1,5 +1,7 @@
 """Pinned values of the name, number and similarity functions."""
 
+import unicodedata
+
 import pytest
 from codexa.functions import similarity as S
 from codexa.functions import text as X
@@ -56,9 +58,9 @@ def test_similarity():
 
 
 def test_match(spark):
-    df = spark.createDataFrame([("The Stand", "King, Stephen", 1978, "Stand, The", "Stephen King", 1978), ("The Stand", "King, Stephen", None, "It", "Dan Brown", 1978)], "title string, author string, year int, c_title string, c_author string, c_year int")
+    df = spark.createDataFrame([("The Stand", "King, Stephen", 1978, "Stand, The", ["Stephen King"], 1978), ("The Stand", "King, Stephen", None, "It", ["Dan Brown"], 1978)], "title string, author string, year int, c_title string, c_authors array<string>, c_year int").withColumns({"series": F.lit(None).cast("string"), "c_series": F.lit(None).cast("string")})
     good, bad = matching.match(df).orderBy(F.desc("confidence")).collect()
-    assert good["confidence"] > 0.85 and good["level"] == "high" and good["reasons"] == ["title", "author", "year"]
+    assert good["confidence"] > 0.85 and good["level"] == "high" and good["reasons"] == ["Excellent title match", "Author confirmed", "Year match"]
     assert bad["level"] == "low"
 
 
@@ -66,3 +68,29 @@ def test_match(spark):
 def test_policy(spark, policy, want):
     df = spark.createDataFrame([(0, "o", "n"), (1, "", "n"), (2, "o", "")], "i int, a string, b string")
     assert [r[0] for r in df.orderBy("i").select(matching.write_policy(F.col("a"), F.col("b"), policy)).collect()] == want
+
+
+def test_unicode(spark):
+    """White space of any kind, composition, ligatures and long names."""
+    assert values(spark, X.normalize_title, "\tThe Stand\xa0", "The\u3000Stand", "ﬁre \u2003 Ænima", "Stand,\u2009the\x1f") == ["stand", "stand", "fire nima", "stand"]
+    assert values(spark, X.normalize_author, "\xa0King, Stephen jr.\u2028") == ["stephen king"]
+    assert values(spark, X.composed, "e\u0301te\u0301", "a\u0323\u0302", "plain", "x\u0301") == [unicodedata.normalize("NFC", t) for t in ("e\u0301te\u0301", "a\u0323\u0302", "plain", "x\u0301")]
+    long = values(spark, X.file_name, "n" * 300 + ".mp3", "word " * 80 + ".flac", "x" * 255, ".hidden" * 60)
+    assert [len(n) for n in long][0] == 255 and long[0].endswith("n....mp3") and long[1].endswith("word....flac") and long[2] == "x" * 255 and len(long[3]) <= 255
+    assert values(spark, X.runtime_minutes, "16 hrs and 12 mins", "3 hours", "3 hr", "45 minutes", "") == [972, None, 180, 45, None]
+    assert values(spark, X.shorten, "short   one", "one two three four five six seven", "x" * 40, " " * 31, "a" * 30 + " b") == ["short   one", "one two three four five six", "x" * 30, " " * 30, "a" * 30]
+
+
+def test_tags(spark):
+    """The order of keys, codes in text and links, numbers in text."""
+    from codexa.operators import scanning
+
+    def fields(tags):
+        df = spark.createDataFrame([(tags,)], "t map<string,string>")
+        return {k: v for k, v in df.select(*[c.alias(k) for k, c in scanning.tag_fields(F.col("t")).items()]).first().asDict().items() if v is not None}
+
+    assert fields({"\xa9nam": "mp4", "TITLE": "vorbis", "title": "x"}) == {"title": "vorbis"}
+    assert fields({"TXXX:ASIN": "none", "TXXX:AUDIBLE_ASIN": "b012345678", "CDEK": "B099999999"}) == {"asin": "B012345678"}
+    assert fields({"CDEK": "see B099999999, ok"}) == {"asin": "B099999999"} and fields({"WXXX:a": "https://x/pd/b0aaaaaaaa?q"}) == {"asin": "B0AAAAAAAA"}
+    assert fields({"TRCK": "none", "TRACKNUMBER": "03/12", "disk": "2", "TPE2": " A ", "TCOM": "R", "ISBN": "978-3-16-148410-0", "TXXX:ISBN": "12"}) == {"track": "03", "disc": "2", "albumartist": "A", "narrator": "R", "isbn": "9783161484100"}
+    assert fields({"disc": "9", "track": "3", "isbn": "9783161484100"}) == {}

@@ -1,23 +1,109 @@
 """Operators on small tables, ties and empty tables among them."""
 
 import hashlib
+import random
 
 from codexa.operators import editions, files, matching, tracks
 from codexa.sources import catalog, sidecars
 from codexa.streaming import progress
+import pytest
 from pyspark.sql import functions as F
 
 
+def naive_groups(rows):
+    leader = {}
+    rows = sorted(rows)
+    for i, (o, title, author) in enumerate(rows):
+        if o not in leader:
+            leader[o] = o
+            for p, other, writer in rows[i + 1 :]:
+                if p not in leader and editions.similar_keys(title, author, other, writer):
+                    leader[p] = o
+    return leader
+
+
 def test_greedy_is_not_transitive(spark):
-    rows = [(1, "alpha beta gamma delta", "", "x"), (2, "alpha beta gamma delta unabridged", "", "x"), (3, "something else", "", "x"), (4, "The Stand", "King", "x"), (5, "The Stand", "Kong", "x")]
-    got = dict(editions.greedy_groups(spark.createDataFrame(rows, "ord long, title string, author string, block string"), ["block"]).collect())
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    rows = [(1, "alpha beta gamma delta", ""), (2, "alpha beta gamma delta unabridged", ""), (3, "something else", ""), (4, "The Stand", "King"), (5, "The Stand", "Kong"), (6, "", ""), (7, "Stand The", "King"), (8, "unabridged", "")]
+    keys = spark.createDataFrame(rows, "ord long, title string, author string")
+    got = dict(editions.greedy_groups(keys, editions.similar_pairs(keys)).collect())
+    assert got == naive_groups(rows) and got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 4, 8: 8}
+    assert editions.greedy_groups(keys.limit(0), editions.similar_pairs(keys.limit(0))).count() == 0
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "a long, b long")
+    assert dict(editions.greedy_groups(spark.range(1, 10).withColumnRenamed("id", "ord"), chain).collect()) == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9}
+
+
+def test_candidates_lose_no_similar_pair(spark):
+    """Typos, words put in, left out and turned round, short and repetitive titles: all pairs by comparison are found."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdehil") for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    titles = set()
+    for _ in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(1, 12))]
+        for _ in range(5):
+            v = list(words)
+            for _ in range(rng.randint(0, 2)):
+                i, what = rng.randrange(len(v)), rng.randrange(4)
+                if what == 0:
+                    v[i] = v[i][: len(v[i]) // 2] + rng.choice("abxyz") + v[i][len(v[i]) // 2 :]
+                elif what == 1:
+                    v[i : i + 1] = [v[i][:3], v[i][3:]]
+                elif what == 2:
+                    v.insert(i, rng.choice(vocabulary))
+                else:
+                    rng.shuffle(v)
+            titles.add(" ".join(x for x in v if x))
+    titles |= {"a b c d e f g h", "a b c d e f g h i", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "foundation", "foundations"}
+    rows = [(i, t, rng.choice(["", "king", "kings"])) for i, t in enumerate(sorted(titles, key=lambda _: rng.random()))]
+    keys = spark.createDataFrame(rows, "ord long, title string, author string")
+    want = {(a[0], b[0]) for i, a in enumerate(rows) for b in rows[i + 1 :] if editions.similar_keys(*a[1:], *b[1:])}
+    assert {tuple(r) for r in editions.similar_pairs(keys).collect()} == want and len(want) > 100
+    assert dict(editions.greedy_groups(keys, editions.similar_pairs(keys)).collect()) == naive_groups(rows)
+
+
+def slow_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+def test_match_scores(spark):
+    """Every branch: equal, alias, best of several authors, series, year steps, levels, reasons, what is missing."""
+    rows = [
+        ("The Stand", "Stephen King", None, 1990, "Stand, The", ["Ann Lee", "King, Stephen"], None, 1990),
+        ("The Stand", "Richard Bachman", "Dark", 1990, "stand", ["Stephen King"], "dark", 1988),
+        ("It", "J.K. Rowling", "X", 1990, "That", ["Robert Galbraith", "Ann"], "Y", 1995),
+        ("It", None, "", 0, "It", ["Ann"], "", 1995), ("It", "Ann", None, None, "It", [], None, None), ("It", "Ann Lee", None, 1990, "Other", ["Bob", "Anne Lee"], None, 1996),
+        ("Café noir", "Lee, Ann Jr.", "The Saga", 2000, "Cafe Noir!", ["Joanne Rowling"], "Sagas", 2001),
+    ]
+    df = spark.createDataFrame(rows, "title string, author string, series string, year int, c_title string, c_authors array<string>, c_series string, c_year int")
+    got = matching.match(df).collect()
+    alike = lambda a, b: 200 * slow_lcs(a, b) / (len(a) + len(b)) / 100
+    assert [round(r["author_score"], 3) for r in got][:5] == [1.0, 1.0, 1.0, 0.0, 0.0]
+    assert got[5]["author_score"] == pytest.approx(0.4 * alike("ann lee", "anne lee") + 0.4 * alike("ann lee", "anne lee") + 0.2 * max(alike("ann lee", w) for w in ("anne le", "nne lee", "anne l")))
+    assert [r["title_score"] for r in got if r["title"] != "It"] == [1.0, 1.0, 1.0] and got[2]["title_score"] == pytest.approx(alike("it", "that"))
+    assert [r["series_score"] for r in got][:4] == [0.0, 1.0, 0.0, 0.0] and got[6]["series_score"] == pytest.approx(alike("saga", "sagas"))
+    assert [r["year_score"] for r in got] == [1.0, 0.7, 0.4, 0.0, 0.0, 0.0, 0.7]
+    for r in got:
+        assert r["confidence"] == pytest.approx(0.5 * r["title_score"] + 0.3 * r["author_score"] + 0.15 * r["series_score"] + 0.05 * r["year_score"])
+        assert r["level"] == ("high" if r["confidence"] > 0.85 else "medium" if r["confidence"] > 0.65 else "low")
+    assert got[1]["reasons"] == ["Excellent title match", "Author confirmed", "Series match"] and got[0]["reasons"] == ["Excellent title match", "Author confirmed", "Year match"]
+    assert matching.match(df, {"Ann": ["Bob"], "stephen king": ["Ann Lee"]}).collect()[5]["author_score"] < 1 and matching.match(df.filter("title = 'The Stand' AND year = 1990 AND series IS NULL").withColumn("author", F.lit("ann lee")).withColumn("c_authors", F.array(F.lit("Richard Bachman"))), {"Stephen King": ["Ann Lee"]}).first()["author_score"] == 1.0
+
+
+def test_edition_scores(spark):
+    tracks = [("a", 1, 1, "mp3", 100, 60.5, 0), ("a", 1, 2, "M4B", None, 60.0, 0), ("b", 1, 1, "aac", 64, None, 1), ("b", 2, 1, "what", 0, 10.0, 0), ("c", 1, 1, "wav", 0, 5.0, 0), ("c", 1, 3, "wav", 0, 5.0, 0)]
+    df = spark.createDataFrame(tracks, "book string, disc int, track_index int, format string, bitrate int, duration double, has_id int")
+    got = {r["book"]: tuple(r)[1:] for r in editions.scores(df, "book", df.filter("book = 'b'").select("book")).collect()}
+    assert got == {"a": (8, 0, 1, 0, 100, 120), "b": (2, 1, 1, 1, 64, 10), "c": (1, 0, 0, 0, 0, 10)}
 
 
 def test_keepers_and_ties(spark):
-    df = spark.createDataFrame([("g", 1, 320, 5), ("g", 2, 320, 9), ("g", 3, 64, 9), ("g", 4, 320, 9)], "g string, id int, rate int, len int")
-    got = {r["id"]: (r["place"], r["reason"]) for r in editions.keepers(df, ["g"], ["rate", "len"], "id").collect()}
-    assert got == {2: (1, None), 4: (2, "order"), 1: (3, "len"), 3: (4, "rate")}
+    df = spark.createDataFrame([("g", 1, 320, 5), ("g", 2, 320, 9), ("g", 3, 64, 9), ("g", 4, 320, 9), (None, 5, 1, 1)], "g string, id int, rate int, len int")
+    got = {r["id"]: (r["keeper"], r["reason"]) for r in editions.keepers(df, ["g"], ["rate", "len"], "id").collect()}
+    assert got == {2: (2, None), 4: (2, "order"), 1: (2, "len"), 3: (2, "rate"), 5: (5, None)}
 
 
 def test_votes(spark):
