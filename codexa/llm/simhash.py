@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import components
+from ..operators.graph import components
 from .store import apart, cut, documents
 
 SHINGLE = 4

@@ -3,36 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK_MB = 32
-
+from ..sources.shared import cut, ensure_shared  # noqa: F401
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ensure_shared(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; set one only where the session has none, and all runs in one process."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint: later jobs read files that survive a lost executor."""
-    ensure_shared(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     """The frame, marked for broadcast only if it has at most so many rows.
 
@@ -49,8 +30,7 @@ def park(df: DataFrame):
     frame reads once the next one is cut.
     """
     spark = df.sparkSession
-    ensure_shared(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/parked-{uuid.uuid4().hex}"
+    path = f"{ensure_shared(spark)}/parked-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
 
     def drop() -> None:

@@ -1,7 +1,7 @@
 import corpus
 import pytest
 from codexa.llm import simhash
-from codexa.llm.graph import components
+from codexa.operators.graph import components
 
 
 def test_against_brute_force(spark):
