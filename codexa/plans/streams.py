@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import ensure_shared
 from ..streaming import progress
 from .queries import query
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder where all executors can write."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{ensure_shared(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
