@@ -263,7 +263,7 @@ def safe_path(c: Column, part: int = 100, most: int = 255) -> Column:
 
 def author_list(c: Column) -> Column:
     """Names between commas, slashes, ampersands and the letters "and", wherever these stand."""
-    return F.filter(F.transform(F.split(c, AUTHOR_SPLIT), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(c, AUTHOR_SPLIT), lambda x: F.trim(x)), lambda a: a != "")
 
 
 def epoch_seconds(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -147,17 +147,27 @@ def candidates(keys: DataFrame) -> DataFrame:
 def similar_pairs(keys: DataFrame) -> DataFrame:
     """(a, b), a < b: keys whose titles are 92 % alike by token set, and authors 90 % by sorted tokens or unknown.
 
-    Needs ord, title, author; blank strings count as unknown.
+    Needs ord, title, author; blank strings count as unknown.  Titles are
+    compared once, however many keys have them.
     """
     keys = keys.select("ord", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("author", F.lit("")).alias("author"))
-    side = lambda n: keys.select(F.col("ord").alias(n), F.col("title").alias(f"title_{n}"), F.col("author").alias(f"author_{n}"))
-    pairs = candidates(keys).join(side("a"), "a").join(side("b"), "b")
 
-    @F.pandas_udf("boolean")
-    def similar(ta: pd.Series, aa: pd.Series, tb: pd.Series, ab: pd.Series) -> pd.Series:
-        return pd.Series([similar_keys(*v) for v in zip(ta, aa, tb, ab, strict=True)], dtype=bool)
+    def over(f, least):
+        def run(a: pd.Series, b: pd.Series) -> pd.Series:
+            seen = lru_cache(maxsize=1 << 14)(f)
+            return pd.Series([seen(x, y) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+
+        return F.pandas_udf(run, "boolean")
 
-    return pairs.filter(similar("title_a", "author_a", "title_b", "author_b")).select("a", "b")
+    titles = keys.filter(X.strip(F.col("title")) != "").select("title").distinct()
+    near = candidates(titles.select(F.col("title").alias("ord"), "title")).filter(over(token_set_ratio, 92)("a", "b"))
+    near = cut(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(titles.select(F.col("title").alias("a"), F.col("title").alias("b"))))
+    side = lambda n: keys.select(F.col("ord").alias(n), F.col("title").alias(f"title_{n}"), F.col("author").alias(f"author_{n}"))
+    x, y = side("x"), side("y")
+    pairs = near.join(x, near["a"] == x["title_x"]).join(y, F.col("b") == y["title_y"]).filter("x < y")
+    known = (F.col("author_x") == "") | (F.col("author_y") == "") | (F.col("author_x") == F.col("author_y"))
+    found = pairs.filter(known).unionByName(pairs.filter(~known).filter(over(token_sort_ratio, 90)("author_x", "author_y")))
+    return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def greedy_groups(keys: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -82,3 +82,12 @@ def cached(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
     """Requests with their cached response; expired ones answer nothing, those without expiry always."""
     live = cache.filter(F.col("expires_at").isNull() | ~(now > F.col("expires_at"))).select("provider", "query_hash", "response")
     return requests.join(live, ["provider", "query_hash"], "left")
+
+
+def without_expired(cache: DataFrame, now: Column) -> DataFrame:
+    """The entries that haven't expired; those without expiry never do."""
+    return cache.filter(F.col("expires_at").isNull() | (F.col("expires_at") >= now))
+
+
+def without_provider(cache: DataFrame, provider: Column) -> DataFrame:
+    return cache.filter(~F.col("provider").eqNullSafe(provider))

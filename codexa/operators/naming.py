@@ -86,10 +86,13 @@ def folder_path(template: str, values: dict[str, Column]) -> Column:
     return X.safe_path(render(template, values))
 
 
+def with_suffix(name: Column, suffix: Column) -> Column:
+    return F.when(name.endswith(suffix), name).otherwise(F.concat(name, suffix))
+
+
 def track_name(template: str, values: dict[str, Column], suffix: Column) -> Column:
     """A track's file name: the rendered template with the source's suffix, made safe."""
-    name = render(template, values)
-    return X.file_name(F.when(name.endswith(suffix), name).otherwise(F.concat(name, suffix)))
+    return X.file_name(with_suffix(render(template, values), suffix))
 
 
 def companions(files: DataFrame) -> DataFrame:

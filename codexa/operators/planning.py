@@ -91,12 +91,16 @@ def log_rows(moves: DataFrame, plan: str, kind: str, at: Column) -> DataFrame:
     return moves.select(F.col(plan).alias("operation_id"), at.alias("at"), F.lit("rename").alias("operation_type"), "old_path", "new_path", meta.alias("metadata"))
 
 
-def plan_lines(moves: DataFrame, plan: str, order: str) -> DataFrame:
+def plan_lines(moves: DataFrame, plan: str, order: str, plans: DataFrame | None = None) -> DataFrame:
     """(plan, line_no, line): a plan as JSON lines, a head with its size and a line a move.
 
-    A plan of any length so stays a distributed table.
+    A plan of any length so stays a distributed table; ``plans`` names those
+    that have a head even without moves.
     """
-    head = moves.groupBy(plan).agg(F.count("*").alias("n")).select(plan, F.lit(0).cast("long").alias("line_no"), F.to_json(F.struct(F.col(plan).cast("string").alias("plan_id"), F.col("n").alias("operations"))).alias("line"))
+    counts = moves.groupBy(plan).agg(F.count("*").alias("n"))
+    if plans is not None:
+        counts = plans.select(plan).distinct().join(counts, plan, "left").select(plan, F.coalesce("n", F.lit(0)).alias("n"))
+    head = counts.select(plan, F.lit(0).cast("long").alias("line_no"), F.to_json(F.struct(F.col(plan).cast("string").alias("plan_id"), F.col("n").alias("operations"))).alias("line"))
     body = moves.select(plan, F.col(order).cast("long").alias("line_no"), F.to_json(F.struct(F.col("old_path").alias("source"), F.col("new_path").alias("destination"), "reason")).alias("line"))
     return head.unionByName(body)
 
@@ -119,3 +123,17 @@ def segments(items: DataFrame, group: str, name: str, normalize) -> DataFrame:
     base = normalize(F.regexp_extract(name, SEGMENT, 1))
     g = items.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(n).alias("numbers"), F.min(base).alias("low"), F.max(base).alias("high"), F.min(n.isNotNull()).alias("all_match"))
     return g.select(group, (F.col("all_match") & (F.col("low") == F.col("high")) & (F.col("numbers") == F.col("n"))).alias("is_sequence"))
+
+
+def doctor(tracks: DataFrame, sets: DataFrame, key: str, shortest: float = 60.0) -> DataFrame:
+    """One row of counts: sets without narrator or cover or in a broken order, tracks too short in a set of several, unreadable ones.
+
+    Tracks have track_index, duration and bad; sets has_narrator and has_cover.
+    """
+    whole = (F.min("track_index") == 1) & (F.max("track_index") == F.count("*")) & (F.count_distinct("track_index") == F.count("*"))
+    per = tracks.groupBy(key).agg(F.count("*").alias("n"), whole.alias("whole"), F.count_if(F.col("duration") < shortest).alias("short"), F.count_if("bad").alias("bad"))
+    c = F.count_if
+    return per.join(sets, key).agg(
+        F.count("*").alias("n_sets"), c(~F.col("has_narrator")).alias("no_narrator"), c(~F.col("whole")).alias("broken_order"), c(~F.col("has_cover")).alias("no_cover"),
+        F.sum(F.when(F.col("n") > 1, F.col("short")).otherwise(0)).alias("short_tracks"), F.sum("bad").alias("broken_tracks"),
+    )

@@ -1,3 +1,3 @@
 """Queries over the driver's tables, each with its SQL; all register in ``queries``."""
 
-from . import moves, payloads, queries, scans, streams  # noqa: F401
+from . import library, moves, payloads, queries, scans, streams  # noqa: F401

@@ -90,11 +90,12 @@ def file_keeper(spark, d):
 
 
 @query(f"""
-WITH {MOVES} SELECT plan, 0 AS line_no, '{{"plan_id":"' || plan || '","operations":' || count(*) || '}}' AS line FROM m GROUP BY plan
+WITH {MOVES} SELECT c_custkey AS plan, 0 AS line_no, '{{"plan_id":"' || c_custkey || '","operations":' || count(plan) || '}}' AS line FROM customer LEFT JOIN m ON plan = c_custkey GROUP BY c_custkey
 UNION ALL SELECT plan, ord + 1, '{{"source":"' || old_path || '","destination":"' || new_path || '","reason":"' || reason || '"}}' FROM m""")
 def dedupe_plan_lines(spark, d):
-    """Plans as JSON lines, one a move."""
-    return planning.plan_lines(_moves(spark, d).withColumn("ord", F.col("ord") + 1), "plan", "ord")
+    """K1, K2: plans as JSON lines, one a move; a plan without moves has its head alone."""
+    plans = table(spark, d, "customer").select(F.col("c_custkey").alias("plan"))
+    return planning.plan_lines(_moves(spark, d).withColumn("ord", F.col("ord") + 1), "plan", "ord", plans)
 
 
 @query(f"""

@@ -24,14 +24,48 @@ def _code(n, width):
 
 
 @query("""
-SELECT p_partkey, p_name AS title, p_brand AS author, '978' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS isbn_13, lpad(CAST(p_size AS VARCHAR), 10, '0') AS isbn_10, CAST(1990 + p_size AS INTEGER) AS year, 'eng' AS language, 1 AS n_authors FROM part""")
+WITH p AS (SELECT *, p_partkey % 9 AS m FROM part)
+SELECT p_partkey, p_name AS title, CASE WHEN m = 1 THEN NULL ELSE p_brand END AS author, CASE WHEN m <> 2 THEN '978' || lpad(CAST(p_partkey AS VARCHAR), 10, '0') END AS isbn_13, CASE WHEN m <> 2 THEN lpad(CAST(p_size AS VARCHAR), 10, '0') END AS isbn_10,
+  CASE WHEN m <> 3 THEN CAST(1990 + p_size AS INTEGER) END AS year, CASE WHEN m <> 4 THEN 'eng' END AS language, CASE WHEN m = 1 THEN 0 ELSE 1 END AS n_authors, '/works/OL' || p_partkey || 'W' AS external_id,
+  CASE WHEN m = 5 THEN '' ELSE 'https://covers.openlibrary.org/b/id/' || (p_size + 7) || '-L.jpg|https://covers.openlibrary.org/b/id/' || (p_size + 7) || '-M.jpg|https://covers.openlibrary.org/b/id/' || (p_size + 7) || '-S.jpg' END AS covers
+FROM p WHERE m < 6""")
 def search_documents(spark, d):
-    """S15, P1, P-A1, P-S28: a search hit as an identity; of codes the last of each length."""
+    """S15, P1, P-A1, P-S28: search hits as identities; broken ones, other keys and blank titles are left out; of codes the last of each length."""
     p = _part(spark, d)
-    codes = F.array(F.lit("0000000001"), F.concat(F.lit("978-"), _code(F.col("p_partkey"), 10)), _code(F.col("p_size"), 10))
-    j = _json(title=F.col("p_name"), author_name=F.array("p_brand"), isbn=codes, first_publish_year=F.col("p_size") + 1990, language=F.array(F.lit("eng"), F.lit("ger")))
+    m = F.col("p_partkey") % 9
+    some = lambda n, c: F.when(m != n, c)
+    codes = F.array(F.lit("0000000001"), F.concat(F.lit("978-"), _code(F.col("p_partkey"), 10)), _code(F.col("p_size"), 10), F.lit("12"))
+    key = F.concat(F.when(m == 6, "/books/OL").otherwise("/works/OL"), F.col("p_partkey").cast("string"), F.lit("W"))
+    j = _json(key=key, title=F.when(m == 7, " ").otherwise(F.col("p_name")), author_name=some(1, F.array("p_brand")), isbn=some(2, codes), first_publish_year=some(3, F.col("p_size") + 1990),
+              language=some(4, F.array(F.lit("eng"), F.lit("ger"))), cover_i=F.when(m == 5, 0).otherwise(F.col("p_size") + 7))
+    j = F.when(m == 8, F.left(j, F.length(j) - 3)).otherwise(j)
     f = providers.search_document(p.select("p_partkey", j.alias("j")), "j")
-    return f.select("p_partkey", "title", F.try_element_at("authors", F.lit(1)).alias("author"), "isbn_13", "isbn_10", "year", "language", F.size("authors").alias("n_authors"))
+    return f.select("p_partkey", "title", F.try_element_at("authors", F.lit(1)).alias("author"), "isbn_13", "isbn_10", "year", "language", F.size("authors").alias("n_authors"), "external_id", F.array_join("cover_urls", "|").alias("covers"))
+
+
+@query("""
+WITH p AS (SELECT *, p_partkey % 6 AS m, CAST(p_partkey AS VARCHAR) AS k FROM part)
+SELECT p_partkey, CASE WHEN m <> 5 THEN 'v' || k END AS volume_id, CASE WHEN m IN (0, 1) THEN 'https://i/' || k || CASE WHEN m = 1 THEN '|https://j/' || k ELSE '' END ELSE '' END AS volume_covers, CASE WHEN m = 2 THEN p_type WHEN m = 5 THEN NULL ELSE NULL END AS volume_about, CASE WHEN m = 3 THEN 'de' ELSE 'en' END AS volume_lang,
+  'B' || k AS book_id, CASE WHEN m = 0 THEN 'u' || k ELSE '' END AS book_covers, CASE WHEN m = 1 THEN p_brand WHEN m = 2 THEN p_type END AS book_about,
+  CASE WHEN m = 4 THEN 'https://p/' || k || '/cover.jpg' ELSE '' END AS recording_covers, k AS graph_id, CASE WHEN m < 2 THEN 'c' || k ELSE '' END AS graph_covers FROM p""")
+def provider_extras(spark, d):
+    """S16 to S20, P4 to P7, P-J1: identifiers, covers and descriptions of every source; plain links become secure ones, broken payloads give nothing."""
+    p = _part(spark, d)
+    m, k = F.col("p_partkey") % 6, F.col("p_partkey").cast("string")
+    at = lambda *ns: m.isin(*ns)
+    links = F.when(m == 0, F.create_map(F.lit("small"), F.concat(F.lit("http://i/"), k))).when(m == 1, F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(F.concat(F.lit("https://i/"), k), F.concat(F.lit("http://j/"), k))))
+    volume = _json(id=F.concat(F.lit("v"), k), volumeInfo=F.struct(F.col("p_name").alias("title"), links.alias("imageLinks"), F.when(m == 2, F.col("p_type")).alias("description"), F.when(m == 3, "de").alias("language")))
+    volume = F.when(m == 5, F.lit("{broken")).otherwise(volume)
+    book = _json(asin=F.concat(F.lit("b"), k), image=F.when(m == 0, F.concat(F.lit("u"), k)).when(m == 3, ""), summary=F.when(m == 1, F.col("p_brand")).when(m == 2, ""), description=F.when(at(1, 2), F.col("p_type")))
+    recording = _json(id=k, url_project=F.when(m == 4, F.concat(F.lit("https://p/"), k)))
+    graph = F.when(m == 0, _json(id=k, cached_image=F.concat(F.lit("c"), k))).when(m == 1, _json(id=k, cached_image=F.struct(F.concat(F.lit("c"), k).alias("url")))).otherwise(_json(id=k, cached_image=F.struct(F.lit(1).alias("w"))))
+    out = p.select("p_partkey")
+    for name, parse, json, kept in (
+        ("volume", providers.volume, volume, ("id", "covers", "about", "lang")), ("book", providers.book_by_code, book, ("id", "covers", "about")), ("recording", providers.public_recording, recording, ("covers",)), ("graph", providers.graph_book, graph, ("id", "covers")),
+    ):
+        fields = {"id": F.col("external_id"), "covers": F.coalesce(F.array_join("cover_urls", "|"), F.lit("")), "about": F.col("description"), "lang": F.col("language")}
+        out = out.join(parse(p.select("p_partkey", json.alias("j")), "j").select("p_partkey", *[fields[f].alias(f"{name}_{f}") for f in kept]), "p_partkey")
+    return out
 
 
 @query("""

@@ -328,9 +328,13 @@ def template_paths(spark, d):
         "title": F.when(m == 3, F.upper("p_name")), "title_guess": F.col("p_name"), "author_guess": author, "year": F.when(m < 2, size + 1990), "series": F.when(m % 2 == 0, F.col("p_type")),
         "series_index": F.when(m % 2 == 0, size), "track": size, "most_track": F.lit(50), "disc": k % 2 + 1, "disc_count": F.when(m > 1, 2).otherwise(1), "stem": F.lit("01 - x"), "track_title": F.col("p_name"),
     }
-    t, up = naming.tokens(**f), naming.tokens("upper", **f)
-    folder = naming.folder_path("{AuthorLastFirst}/{SeriesName}/{series_index} - {Title} ({Year}){Nothing}", t)
-    return table(spark, d, "part").select("p_partkey", folder.alias("folder"), naming.track_name("{DiscPad}{TrackPad} - {track_title}", t, F.lit(".mp3")).alias("file"), naming.render("{short_title} {Track:03}", up).alias("upper_case"))
+    # In steps, so that no expression is written out again within the next.
+    rows = table(spark, d, "part").select("p_partkey", *[c.alias(f"{case}_{n}") for case in ("title", "upper") for n, c in naming.tokens(case, **f).items() if n not in naming.SHORT_NAMES])
+    names = lambda case: {n: F.col(f"{case}_{n}") for n in set(naming.SHORT_NAMES.values()) | {"TrackTitle"}}
+    t, up = ({**names(c), **{s: F.col(f"{c}_{n}") for s, n in naming.SHORT_NAMES.items()}} for c in ("title", "upper"))
+    rows = rows.select("p_partkey", naming.render("{AuthorLastFirst}/{SeriesName}/{series_index} - {Title} ({Year}){Nothing}", t).alias("folder"), naming.render("{DiscPad}{TrackPad} - {track_title}", t).alias("name"), naming.render("{short_title} {Track:03}", up).alias("upper_case"))
+    rows = rows.withColumn("name", naming.with_suffix(F.col("name"), F.lit(".mp3")))
+    return rows.select("p_partkey", X.safe_path(F.col("folder")).alias("folder"), X.file_name(F.col("name")).alias("file"), "upper_case")
 
 
 @query(r"""
@@ -605,19 +609,37 @@ def title_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(key, 256).alias("title_key"), F.length(key).cast("long").alias("n"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment || ' ' || replace(c_name, '#', ' ')) ELSE lower(c_mktsegment || ' ' || replace(c_name, '#', ' ')) END AS author_key FROM customer""")
+AUTHORS = """a AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'Ñandú, ' || c_mktsegment || ' Jr.' WHEN 1 THEN c_mktsegment || ' Müller III' WHEN 2 THEN ' Sr. Jr.' WHEN 3 THEN '' WHEN 4 THEN 'A, B, ' || c_nationkey WHEN 5 THEN chr(9) || c_mktsegment || ' iv sr.' ELSE NULL END AS t FROM customer)"""
+
+
+@query(f"""
+WITH {AUTHORS}, l AS (SELECT c_custkey, regexp_replace(lower(t), '^[\\s]+|[\\s]+$', '', 'g') AS t FROM a),
+s1 AS (SELECT c_custkey, trim(CASE WHEN ends_with(t, ' jr.') THEN left(t, length(t) - 4) ELSE t END) AS t FROM l), s2 AS (SELECT c_custkey, trim(CASE WHEN ends_with(t, ' sr.') THEN left(t, length(t) - 4) ELSE t END) AS t FROM s1),
+s3 AS (SELECT c_custkey, trim(CASE WHEN ends_with(t, ' ii') THEN left(t, length(t) - 3) ELSE t END) AS t FROM s2), s4 AS (SELECT c_custkey, trim(CASE WHEN ends_with(t, ' iii') THEN left(t, length(t) - 4) ELSE t END) AS t FROM s3),
+s5 AS (SELECT c_custkey, strip_accents(trim(CASE WHEN ends_with(t, ' iv') THEN left(t, length(t) - 3) ELSE t END)) AS t FROM s4)
+SELECT c_custkey, CASE WHEN contains(t, ',') THEN trim(substr(t, strpos(t, ',') + 1)) || ' ' || trim(left(t, strpos(t, ',') - 1)) ELSE t END AS author_key FROM s5""")
 def author_normalize(spark, d):
-    """P-S2: "Last, First Jr." and "First Last" have one key."""
-    name = F.regexp_replace("c_name", "#", " ")
-    given = F.when(F.col("c_custkey") % 2 == 0, F.concat(name, F.lit(", "), "c_mktsegment", F.lit(" Jr."))).otherwise(F.concat("c_mktsegment", F.lit(" "), name, F.lit(" III")))
-    return table(spark, d, "customer").select("c_custkey", X.normalize_author(given).alias("author_key"))
+    """P-S2: one key for "Last, First Jr." and "First Last"; suffixes in their order, accents, several commas, blanks."""
+    k, seg = F.col("c_custkey") % 7, F.col("c_mktsegment")
+    t = F.when(k == 0, F.concat(F.lit("Ñandú, "), seg, F.lit(" Jr."))).when(k == 1, F.concat(seg, F.lit(" Müller III"))).when(k == 2, " Sr. Jr.").when(k == 3, "").when(k == 4, F.concat(F.lit("A, B, "), F.col("c_nationkey").cast("string"))).when(k == 5, F.concat(F.lit("\t"), seg, F.lit(" iv sr.")))
+    return table(spark, d, "customer").select("c_custkey", X.normalize_author(t).alias("author_key"))
 
 
-@query("""
-SELECT p_partkey, p_name AS series, CAST(p_size AS VARCHAR) AS volume, CAST(CASE p_partkey % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.90 ELSE 0.85 END AS DOUBLE) AS confidence FROM part""")
+TITLES = """t AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN p_name || ' Book ' || p_size WHEN 1 THEN p_name || ' VOL ' || p_size || ' part 3' WHEN 2 THEN p_name || '  #' || p_size WHEN 3 THEN p_name || ' part ' || p_size || ' and part 9' WHEN 4 THEN p_name || ' volume  ' || p_size || 'x'
+  WHEN 5 THEN 'book ' || p_size WHEN 6 THEN p_name || ' #' || p_size || ' book 2' WHEN 7 THEN p_name || ' part' || p_size ELSE NULL END AS t FROM part)"""
+
+
+@query(f"""
+WITH {TITLES}, m AS (SELECT p_partkey, regexp_extract(t, '(?i)(.+?)\\s+(?:book|vol(?:ume)?)\\s+(\\d+)', ['a', 'b']) AS x, regexp_extract(t, '(.+?)\\s+#(\\d+)', ['a', 'b']) AS y, regexp_extract(t, '(?i)(.+?)\\s+part\\s+(\\d+)', ['a', 'b']) AS z FROM t)
+SELECT p_partkey, trim(CASE WHEN x.b <> '' THEN x.a WHEN y.b <> '' THEN y.a WHEN z.b <> '' THEN z.a END) AS series, CASE WHEN x.b <> '' THEN x.b WHEN y.b <> '' THEN y.b WHEN z.b <> '' THEN z.b END AS volume,
+  CASE WHEN x.b <> '' THEN 0.95 WHEN y.b <> '' THEN 0.90 WHEN z.b <> '' THEN 0.85 END::DOUBLE AS confidence FROM m""")
 def series_extract(spark, d):
-    """P-S6, P-S10: series and volume in a title."""
-    title = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" Book ", "p_name", F.col("p_size").cast("string"))).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" #", "p_name", F.col("p_size").cast("string"))).otherwise(F.concat_ws(" part ", "p_name", F.col("p_size").cast("string")))
+    """P-S6, P-S10: series and volume in a title, by the first pattern that applies; several shapes at once, none, and no title."""
+    k, size = F.col("p_partkey") % 9, F.col("p_size").cast("string")
+    shapes = [(" Book ", ""), (" VOL ", " part 3"), ("  #", ""), (" part ", " and part 9"), (" volume  ", "x"), None, (" #", " book 2"), (" part", "")]
+    title = F.when(k == 5, F.concat(F.lit("book "), size))
+    for i, s in enumerate(shapes):
+        title = title.when(k == i, F.concat("p_name", F.lit(s[0]), size, F.lit(s[1]))) if s else title
     s = X.series_of(title)
     return table(spark, d, "part").select("p_partkey", s["series"].alias("series"), s["volume"].alias("volume"), s["confidence"].alias("confidence"))
 
@@ -632,19 +654,26 @@ def id_validate(spark, d):
     return o.select("o_orderkey", X.valid_isbn(isbn).alias("isbn_ok"), X.valid_asin(asin).alias("asin_ok"))
 
 
-@query("""SELECT o_orderkey, year(o_orderdate) AS year_found, CAST(year(o_orderdate) AS VARCHAR) AS year_prefix FROM orders""")
+@query("""
+WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'published ' || strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN 'no 12345 or 1850 but ' || year(o_orderdate) || '.' WHEN 2 THEN 'x' || year(o_orderdate) || ' 2099' WHEN 3 THEN '' WHEN 4 THEN strftime(o_orderdate, '%d%m%Y') END AS t FROM orders)
+SELECT o_orderkey, CAST(nullif(regexp_extract(t, '\\b((?:19|20)[0-9][0-9])\\b', 1), '') AS INTEGER) AS year_found, split_part(t, '-', 1) AS year_prefix FROM t""")
 def year_extract(spark, d):
-    """P-D1, P-D2: a year in free text, and one before a dash."""
-    o = table(spark, d, "orders")
-    text = F.concat(F.lit("published "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" by"))
-    return o.select("o_orderkey", X.year_in(text).alias("year_found"), F.split_part(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("-"), F.lit(1)).alias("year_prefix"))
+    """P-D1, P-D2: the first year in free text that stands alone, and what is before a dash."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey") % 6
+    year = F.date_format("o_orderdate", "yyyy")
+    text = F.when(k == 0, F.concat(F.lit("published "), F.date_format("o_orderdate", "yyyy-MM-dd"))).when(k == 1, F.concat(F.lit("no 12345 or 1850 but "), year, F.lit("."))).when(k == 2, F.concat(F.lit("x"), year, F.lit(" 2099"))).when(k == 3, "").when(k == 4, F.date_format("o_orderdate", "ddMMyyyy"))
+    return o.select("o_orderkey", X.year_in(text).alias("year_found"), F.split_part(text, F.lit("-"), F.lit(1)).alias("year_prefix"))
 
 
-@query("""SELECT p_partkey, nullif(p_size // 10 * 60 + p_size % 10 * (CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END), 0) AS minutes FROM part""")
+@query("""
+WITH t AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN p_size || ' hrs and ' || p_size % 60 || ' mins' WHEN 1 THEN p_size || 'HR' WHEN 2 THEN p_size || ' minutes' WHEN 3 THEN p_size || ' hours' WHEN 4 THEN '' WHEN 5 THEN 'Length: ' || p_size || ' min, 2 hr' WHEN 6 THEN '0 hrs' END AS t FROM part),
+n AS (SELECT p_partkey, coalesce(CAST(nullif(regexp_extract(t, '(?i)(\\d+)\\s*hr', 1), '') AS INTEGER), 0) AS h, coalesce(CAST(nullif(regexp_extract(t, '(?i)(\\d+)\\s*min', 1), '') AS INTEGER), 0) AS m FROM t)
+SELECT p_partkey, nullif(h * 60 + m, 0) AS minutes FROM n""")
 def runtime_parse(spark, d):
-    """P-D6: "4 hrs and 7 mins"."""
-    p = F.col("p_size")
-    text = F.concat(F.floor(p / 10).cast("string"), F.lit(" hrs"), F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.concat(F.lit(" and "), (p % 10).cast("string"), F.lit(" mins"))))
+    """P-D6: "4 hrs and 7 mins", in any order and case; "hours" aren't read, nothing is null."""
+    k, size = F.col("p_partkey") % 8, F.col("p_size").cast("string")
+    text = F.when(k == 0, F.concat(size, F.lit(" hrs and "), (F.col("p_size") % 60).cast("string"), F.lit(" mins"))).when(k == 1, F.concat(size, F.lit("HR"))).when(k == 2, F.concat(size, F.lit(" minutes"))).when(k == 3, F.concat(size, F.lit(" hours")))
+    text = text.when(k == 4, "").when(k == 5, F.concat(F.lit("Length: "), size, F.lit(" min, 2 hr"))).when(k == 6, "0 hrs")
     return table(spark, d, "part").select("p_partkey", X.runtime_minutes(text).alias("minutes"))
 
 

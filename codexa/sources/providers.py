@@ -6,12 +6,18 @@ object without failing a row.  Every parser gives the columns of ``FIELDS``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import YEAR, blank_to_null
 
-FIELDS = ("title", "authors", "series", "volume", "year", "language", "narrator", "publisher", "isbn_10", "isbn_13", "asin", "runtime_minutes")
+FIELDS = ("title", "authors", "series", "volume", "year", "language", "narrator", "publisher", "isbn_10", "isbn_13", "asin", "runtime_minutes", "external_id", "cover_urls", "description")
+# Keys of works, and where covers of a number lie, by size.
+WORK_KEY = "/works/"
+COVER_URL = "https://covers.openlibrary.org/b/id/{}-{}.jpg"
+COVER_SIZES = ("L", "M", "S")
+# The most hits that each source gives at once.
+MOST_HITS = {"search": 100, "volumes": 40, "recordings": 50, "graph": 25}
 
 
 def text(v: Column, *paths: str) -> Column:
@@ -19,6 +25,19 @@ def text(v: Column, *paths: str) -> Column:
     return F.coalesce(*[blank_to_null(F.try_variant_get(v, p, "string")) for p in paths])
 
 
+def plain_text(v: Column, path: str) -> Column:
+    """The text at a path, null if an object or list is there."""
+    found = text(v, path)
+    return F.when(~found.rlike(r"^[\[{]"), found)
+
+
+def capped(hits: DataFrame, source: str, query: list[str], order: str, asked: int) -> DataFrame:
+    """A query's first hits, no more than were asked for or its source gives at once."""
+    most = F.create_map(*[F.lit(x) for kv in MOST_HITS.items() for x in kv])
+    w = Window.partitionBy(source, *query).orderBy(order)
+    return hits.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= F.least(F.lit(asked), F.coalesce(F.try_element_at(most, F.col(source)), F.lit(asked))))
+
+
 def texts(v: Column, path: str) -> Column:
     return F.coalesce(F.filter(F.try_variant_get(v, path, "array<string>"), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 
@@ -41,16 +60,20 @@ def isbn(codes: Column, digits: int, last: bool = True) -> Column:
 
 
 def _shape(df: DataFrame, **fields: Column) -> DataFrame:
-    kinds = {"authors": "array<string>", "year": "int", "runtime_minutes": "int"}
+    kinds = {"authors": "array<string>", "year": "int", "runtime_minutes": "int", "cover_urls": "array<string>"}
+    fields = {"cover_urls": F.array(), **fields}
     return df.select("*", *[fields.get(f, F.lit(None)).cast(kinds.get(f, "string")).alias(f) for f in FIELDS])
 
 
 def search_document(df: DataFrame, json: str) -> DataFrame:
-    """A search hit: lists of authors, codes, publishers and languages."""
+    """A search hit: lists of authors, codes, publishers and languages; what has no key of a work, or no title, is left out."""
     v = F.try_parse_json(json)
     codes = texts(v, "$.isbn")
+    key, cover = F.try_variant_get(v, "$.key", "string"), F.nullif(F.try_variant_get(v, "$.cover_i", "string"), F.lit("0"))
+    covers = F.when(cover.isNotNull(), F.array(*[F.concat(F.lit(COVER_URL.split("{}")[0]), cover, F.lit(f"-{size}.jpg")) for size in COVER_SIZES])).otherwise(F.array().cast("array<string>"))
+    df = df.filter(key.startswith(WORK_KEY) & text(v, "$.title").isNotNull())
     return _shape(
-        df, title=text(v, "$.title"), authors=texts(v, "$.author_name"), year=F.try_variant_get(v, "$.first_publish_year", "int"),
+        df, external_id=key, cover_urls=covers, title=text(v, "$.title"), authors=texts(v, "$.author_name"), year=F.try_variant_get(v, "$.first_publish_year", "int"),
         language=text(v, "$.language[0]"), publisher=text(v, "$.publisher[0]"), isbn_10=isbn(codes, 10), isbn_13=isbn(codes, 13),
     )
 
@@ -63,6 +86,7 @@ def book_by_code(df: DataFrame, json: str) -> DataFrame:
         series=text(v, "$.seriesPrimary.name", "$.seriesPrimary[0].name"), volume=text(v, "$.seriesPrimary.position", "$.seriesPrimary[0].position"),
         year=year(text(v, "$.releaseDate")), language=text(v, "$.language"), publisher=text(v, "$.publisherName"), asin=text(v, "$.asin"),
         runtime_minutes=F.try_variant_get(v, "$.runtimeLengthMin", "int"), isbn_13=text(v, "$.isbn"),
+        external_id=F.upper(text(v, "$.asin")), cover_urls=F.array_compact(F.array(text(v, "$.image"))), description=text(v, "$.summary", "$.description"),
     )
 
 
@@ -74,7 +98,9 @@ def volume(df: DataFrame, json: str) -> DataFrame:
     series = F.try_element_at(F.filter(texts(v, "$.volumeInfo.categories"), lambda c: F.lower(c).contains("series")), F.lit(1))
     return _shape(
         df, title=text(v, "$.volumeInfo.title"), authors=texts(v, "$.volumeInfo.authors"), series=series, year=year(F.split_part(text(v, "$.volumeInfo.publishedDate"), F.lit("-"), F.lit(1))),
-        language=text(v, "$.volumeInfo.language"), publisher=text(v, "$.volumeInfo.publisher"), isbn_10=code("ISBN_10"), isbn_13=code("ISBN_13"),
+        language=F.coalesce(text(v, "$.volumeInfo.language"), F.lit("en")), publisher=text(v, "$.volumeInfo.publisher"), isbn_10=code("ISBN_10"), isbn_13=code("ISBN_13"),
+        external_id=text(v, "$.id"), description=text(v, "$.volumeInfo.description"),
+        cover_urls=F.transform(F.map_values(F.try_variant_get(v, "$.volumeInfo.imageLinks", "map<string,string>")), lambda u: F.regexp_replace(u, "^http://", "https://")),
     )
 
 
@@ -84,7 +110,8 @@ def public_recording(df: DataFrame, json: str) -> DataFrame:
     people = F.transform(F.try_variant_get(v, "$.authors", "array<variant>"), lambda o: blank_to_null(F.concat_ws(" ", F.try_variant_get(o, "$.first_name", "string"), F.try_variant_get(o, "$.last_name", "string"))))
     readers = F.array_distinct(F.flatten(F.transform(F.try_variant_get(v, "$.sections", "array<variant>"), lambda s: names(s, "$.readers", "display_name"))))
     seconds = F.try_variant_get(v, "$.totaltimesecs", "int")
-    return _shape(df, title=text(v, "$.title"), authors=F.array_compact(people), year=year(text(v, "$.copyright_year")), language=text(v, "$.language"), narrator=F.array_join(readers, ", "), runtime_minutes=F.floor(seconds / 60))
+    return _shape(df, title=text(v, "$.title"), authors=F.array_compact(people), year=year(text(v, "$.copyright_year")), language=text(v, "$.language"), narrator=F.array_join(readers, ", "), runtime_minutes=F.floor(seconds / 60),
+                  external_id=text(v, "$.id"), description=text(v, "$.description"), cover_urls=F.array_compact(F.array(F.concat(text(v, "$.url_project"), F.lit("/cover.jpg")))))
 
 
 def overlay(best: Column, rest: Column) -> Column:
@@ -127,6 +154,7 @@ def graph_book(df: DataFrame, json: str) -> DataFrame:
     return _shape(
         df, title=text(v, "$.title"), authors=F.coalesce(F.array_compact(people), F.array().cast("array<string>")), series=text(v, "$.book_series[0].series.name"), volume=text(v, "$.book_series[0].position"),
         year=F.try_variant_get(v, "$.release_year", "int"), isbn_10=field("isbn_10", 1), isbn_13=field("isbn_13", 1), runtime_minutes=F.floor(seconds / 60),
+        external_id=text(v, "$.id"), description=text(v, "$.description"), cover_urls=F.array_compact(F.array(F.coalesce(text(v, "$.cached_image.url"), plain_text(v, "$.cached_image")))),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,6 +27,12 @@ def stream_latest(events: DataFrame, key: str, at: str, order: str, values: list
     return state.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def pushed(rows: DataFrame, refused: Column, idle: Column) -> DataFrame:
+    """Adds ``error`` and ``synced``: a row that the server refuses, or that has nothing to tell, keeps an error and is tried again."""
+    error = F.when(refused, "refused").when(idle, "no progress")
+    return rows.withColumn("error", error).withColumn("synced", error.isNull())
+
+
 def _versions(spark, place: str) -> list[int]:
     """Numbers of the whole versions in a folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/version=*/_SUCCESS")
