@@ -165,6 +165,21 @@ def test_mixed_language_and_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.learn(empty)).collect()} == {"und"}
 
 
+def test_repeated_rows_and_long_texts(spark):
+    """Equal rows give equal rows, whatever their ids; a text of 60000 words is read whole."""
+    rng = random.Random(6)
+    en = " ".join(rng.choice(["the", "which", "with", "through", "water", "thing"]) for _ in range(50_000))
+    fr = " ".join(rng.choice(["eau", "que", "lequel", "travers", "chose"]) for _ in range(10_000))
+    data = [(1, en, "en", "s", 0), (2, fr, "fr", "s", 0), (3, f"{en} {fr}", None, "s", 0), (3, f"{en} {fr}", None, "s", 0), (None, fr, None, "s", 0), (None, fr, None, "s", 0)]
+    docs = corpus.frame(spark, data)
+    got = [tuple(r) for r in langid.predict(docs, langid.learn(docs)).collect()]
+    assert len(got) == 6 and len(set(got)) == 4 and sorted(set(r[2] for r in got if r[0] in (None, 2))) == ["fr"]
+    spans = next(r[4] for r in got if r[0] == 3).split(",")
+    assert [s.split(":")[0] for s in spans] == ["en", "fr"] and int(spans[1].split(":")[2]) == len(en) + 1 + len(fr)
+    stats = [tuple(r) for r in quality.statistics(docs).collect()]
+    assert len(stats) == 6 and len(set(stats)) == 4 and max(r[1] for r in stats) == 60_000
+
+
 def brute_counts(text):
     t = text or ""
     w = t.encode().split()

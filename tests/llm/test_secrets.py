@@ -36,6 +36,14 @@ def test_against_brute_force(spark):
     assert rows[9].count("github") == 1 and rows[10].count("jwt") == 1
 
 
+def test_repeated_rows_and_rows_without_ids(spark):
+    long = "x " * 30_000 + TEXTS[3] + " y" * 30_000
+    data = [(None, TEXTS[3], None, None, 0), (None, TEXTS[3], None, None, 0), (7, long, None, None, 0), (7, long, None, None, 0), (7, "plain", None, None, 0)]
+    rows = secrets.find_secrets(corpus.frame(spark, data)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_assign"]) for r in rows) == sorted((d or 0, brute(t)[0]) for d, t, *_ in data)
+    assert all(r["base_sha256"] in {brute(t)[3] for _, t, *_ in data} for r in rows)
+
+
 def test_redact_and_empty(spark):
     data = [(1, f"É {GOOD} end token=abcdefg", None, None, 0), (2, None, None, None, 0)]
     assert dict(secrets.redact(corpus.frame(spark, data)).collect()) == {1: "É <github> end <assign>", 2: None}
