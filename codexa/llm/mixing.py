@@ -30,6 +30,23 @@ SEED = 20240607
 ROWS_A_BUCKET = 16_384
 BROADCAST_SOURCES = 100_000
 
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5('{SEED}/' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INTEGER)] AS w, source_size * 2.0::DOUBLE AS most FROM s),
+r AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_words,
+    sum(w) OVER (ORDER BY most / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_w FROM w),
+l AS (SELECT *, left_words / left_w AS level, w * (left_words / left_w) >= most AS clamped FROM r),
+t AS (SELECT source, source_size, CASE WHEN clamped THEN most ELSE w * max(level) FILTER (WHERE NOT clamped) OVER () END AS target FROM l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+e AS (SELECT *, CAST(round(target) AS BIGINT) - epochs * source_size AS extra FROM g),
+n AS (SELECT CAST(greatest(1, ceil(sqrt(count(*) / {ROWS_A_BUCKET}.0))) AS BIGINT) AS width FROM d),
+o AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h % width, (h >> 31) % width, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d, n)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs * size + least(size, greatest(0, extra - ahead)) AS BIGINT) AS taken
+FROM o JOIN e ON o.source IS NOT DISTINCT FROM e.source
+"""
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_JAVA)), F.lit(0)).cast("long")
@@ -61,14 +78,15 @@ def targets(sizes: DataFrame, budget: float, cap: float, weights=WEIGHTS) -> Dat
 
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
     """Each document's source key, size, and place in the seeded order."""
-    h = F.xxhash64(F.lit(seed).cast("long"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
+    own = F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+    h = F.conv(F.substring(F.md5(own.cast("binary")), 1, 15), 16, 10).cast("long")
     return docs.select("*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("mix_key"), word_count(F.col("text")).alias("mix_size"), h.alias("mix_hash"))
 
 
 def _buckets(width: int) -> tuple[Column, Column]:
     """A row's coarse and fine bucket, as many of each; the order is by both, then by hash."""
     h = F.col("mix_hash")
-    return F.pmod(h, F.lit(width)).alias("mix_coarse"), F.pmod(F.shiftrightunsigned(h, 31), F.lit(width)).alias("mix_fine")
+    return F.pmod(h, F.lit(width)).alias("mix_coarse"), F.pmod(F.shiftright(h, 31), F.lit(width)).alias("mix_fine")
 
 
 def _placed(keyed: DataFrame, budget: float, cap: float, weights) -> tuple[DataFrame, int]:

@@ -20,4 +20,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_recompression": recompression.ORACLE_SQL, "op4_decontaminate": decontam.ORACLE_SQL, "op8_shard": sharding.ORACLE_SQL}
+ORACLE_SQL = {"op1_recompression": recompression.ORACLE_SQL, "op4_decontaminate": decontam.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op8_shard": sharding.ORACLE_SQL}

@@ -1,4 +1,5 @@
 import corpus
+import harness
 import pytest
 from codexa.llm import mixing
 
@@ -76,6 +77,11 @@ def test_stage_repeats_whole_documents(spark, monkeypatch, rows):
     assert empty <= {r["doc_id"] for r in out.collect()}
 
 
+def test_sql(spark):
+    con = harness.connect("/root/testdata/sf0.01")
+    assert harness.differences(mixing.op5_mix_sources(spark, "/root/testdata/sf0.01"), con, mixing.ORACLE_SQL) == ""
+
+
 def test_odd_tables(spark):
     assert mixing.mix(corpus.frame(spark, [])).count() == 0
     assert mixing.mix_stage(spark, corpus.frame(spark, []), "").count() == 0

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -5,7 +6,6 @@ import corpus
 import corpus_pipeline
 import numpy as np
 from codexa.llm import decontam, mixing, toxicity
-from pyspark.sql import functions as F
 from test_learned import naive_features
 from test_mixing import brute_targets
 from test_sharding import brute
@@ -67,7 +67,7 @@ def naive_leak(text, item):
 
 
 def test_against_brute_force(spark, tmp_path):
-    """Every stage's naive version on the rows that the one before it left; learned weights and seeded hashes are taken over."""
+    """Every stage's naive version on the rows that the one before it left; learned weights are taken over."""
     rng = random.Random(12)
     text = lambda n=40: " ".join(corpus.words(rng, n))
     items = [(1, "Anna has 12 apples. Anna buys 30 more and gives 5 to Tom. How many does Anna have now?"), (2, "which of these many long words would nobody ever guess at first sight")]
@@ -93,8 +93,7 @@ def test_against_brute_force(spark, tmp_path):
     for r in rows:
         sizes[r[3]] = sizes.get(r[3], 0) + size(r)
     goal = brute_targets(sizes)
-    hashed = docs.select("doc_id", F.xxhash64(F.lit(mixing.SEED).cast("long"), F.col("doc_id").cast("string"), F.xxhash64("text")))
-    place = dict(map(tuple, hashed.collect()))
+    place = {r[0]: int(hashlib.md5(f"{mixing.SEED}/{r[0]}/{r[1] or ''}".encode()).hexdigest()[:15], 16) for r in data}
     mixed = []
     for source, target in goal.items():
         whole = int(target // sizes[source]) if sizes[source] else 0
