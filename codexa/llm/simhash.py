@@ -1,12 +1,18 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Documents with one fingerprint are one node.  Fingerprints within ``RADIUS``
-bits differ by few bits in some segment: with radii r_k whose sum of (r_k + 1)
-exceeds RADIUS, a pair is within r_k bits in at least one segment k.  So each
-fingerprint asks every segment's table for the values within that segment's
-radius, and the distance of what it finds is computed in full.  Few wide
-segments ask often and find little, many narrow ones the reverse; all are
-exact, and the number of fingerprints says which comes to the least work.
+Documents with one fingerprint are one node.  Fingerprints within R bits differ
+by few bits in some segment: with radii r_k whose sum of (r_k + 1) exceeds R, a
+pair is within r_k bits in at least one segment k.  So a fingerprint stands in
+each segment's table under every value within half that radius, and asks for
+every value within the other half; the distance of what it finds is computed
+in full.  Few wide segments ask often and find little, many narrow ones the
+reverse; all are exact, and the number of fingerprints says which comes to the
+least work.
+
+The query links fingerprints within ``RADIUS`` bits of 64.  The pipeline's stage
+reaches further, as near copies with 0.8 similar shingles mostly differ in 5 to
+13 bits: it links those within ``FAR`` bits of 128.  The other 64 come from the
+same shingles' hashes, scrambled, and have segments of their own.
 
 A dense group of near copies would meet in all pairs.  First every
 fingerprint is tied to the least one of its segment values, where they are
@@ -34,11 +40,13 @@ from pyspark.sql import types as T
 
 from ..operators.graph import components
 from .store import apart, cut, documents
+from .textcore import mix
 
 SHINGLE = 4
 RADIUS = 4
-#: Radii of the segments that 64 bits may be divided into; in each, the sum of (r + 1) is RADIUS + 1.
-LAYOUTS = ((0, 0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0), (2, 1))
+FAR = 17
+#: Radii of the segments that 64 bits may be divided into; the sum of (r + 1) is RADIUS + 1, or for either half of 128 (FAR + 1) / 2.
+LAYOUTS = {RADIUS: ((0, 0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0), (2, 1)), FAR: ((1, 1, 1, 1, 0), (2, 1, 1, 1), (2, 2, 2), (4, 3))}
 NO_ID = (1 << 63) - 1
 
 
@@ -47,9 +55,18 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return _bits(words, size)
 
 
-def _bits(words, size):
+def _majority(h) -> int:
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        part = h[i : i + (1 << 16)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def _hashes(words, size):
+    """Of all shingles; none without words."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= size:
         grams = [line]
@@ -58,12 +75,16 @@ def _bits(words, size):
         starts = [0, *(ends[:-1] + 1).tolist()]
         ends = ends.tolist()
         grams = [line[s:e] for s, e in zip(starts, ends[size - 1 :], strict=False)]
-    h = np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype=np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        part = h[i : i + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], dtype=np.uint64)
+
+
+def _bits(words, size):
+    return _majority(_hashes(words, size))
+
+
+def _two(text: str | None) -> tuple[int, int]:
+    h = _hashes((text or "").encode("utf-8").lower().split(), SHINGLE)
+    return _majority(h), _majority(mix(h))
 
 
 def print_batches(batches):
@@ -75,79 +96,95 @@ def print_batches(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
 
+def two_batches(batches):
+    """Adds both halves of 128 bits."""
+    for b in batches:
+        halves = np.array([_two(t.as_py()) for t in b.column("text")], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["doc_id", "fp", "fp2"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(print_batches, "doc_id long, fp long")
 
 
-def segments(n: int) -> list[tuple[int, int, int]]:
-    """(first bit, width, radius) of each segment, for the layout with the least look-ups and finds among n fingerprints."""
+def segments(n: int, reach: int = RADIUS) -> list[tuple[str, int, int, int, int]]:
+    """(half, first bit, width, radius asked, radius listed) of each segment, for the layout with the least rows and finds among n fingerprints."""
+    halves = ("fp", "fp2") if reach == FAR else ("fp",)
 
     def parts(radii):
         edges = [64 * i // len(radii) for i in range(len(radii) + 1)]
-        return [(a, b - a, r) for a, b, r in zip(edges, edges[1:], radii, strict=False)]
+        return [(half, a, b - a, (r + 1) // 2, r // 2) for half in halves for a, b, r in zip(edges, edges[1:], radii, strict=False)]
+
+    ball = lambda w, r: sum(math.comb(w, i) for i in range(r + 1))
+    work = lambda p: sum(ball(w, q) + ball(w, i) + ball(w, q) * ball(w, i) * n / 2**w for _, _, w, q, i in p)
+    return min(map(parts, LAYOUTS[reach]), key=work)
 
-    work = lambda p: sum(math.comb(w, i) * (1 + n / 2**w) for _, w, r in p for i in range(r + 1))
-    return min(map(parts, LAYOUTS), key=work)
 
+def _segment(part):
+    half, at, width, *_ = part
+    return F.shiftrightunsigned(half, at).bitwiseAND(F.lit((1 << width) - 1))
 
-def _segment(fp, part):
-    at, width, _ = part
-    return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
 
+def _around(parts, which: int):
+    """All (k, value) within the asked (3) or listed (4) radius of a fingerprint's segments."""
 
-def _ball(part) -> list[int]:
-    """The values by which a neighbour's segment may differ."""
-    _, width, radius = part
-    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+    def ball(k, part):
+        masks = [sum(1 << b for b in bits) for r in range(part[which] + 1) for bits in combinations(range(part[2]), r)]
+        return F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.struct(F.lit(k).alias("k"), _segment(part).bitwiseXOR(m).alias("value")))
+
+    return F.concat(*[ball(k, p) for k, p in enumerate(parts)])
 
 
-def _distance(a, b):
-    return F.bit_count(a.bitwiseXOR(b))
+def _close(a: str, b: str, reach: int):
+    """Whether two fingerprints, as columns of these names, are linked; the second halves of the query's are equal."""
+    bits = lambda c: F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
+    return bits("fp") + bits("fp2") <= reach
 
 
-def links(prints: DataFrame, parts: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
-    """Of a cut table of distinct fingerprints: (node, root) of the ties, and links (a, b) between roots."""
-    fp = F.col("fp")
-    values = F.array(*[_segment(fp, p) for p in parts])
-    index = prints.select("fp", F.posexplode(values).alias("k", "value"))
-    least = index.groupBy("k", "value").agg(F.min("fp").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    ties = cut(index.join(least, ["k", "value"]).filter((fp != F.col("low")) & (_distance(fp, F.col("low")) <= RADIUS)).select(fp.alias("a"), F.col("low").alias("b")).distinct())
+def links(prints: DataFrame, parts, reach: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """Of a cut table of distinct (node, fp, fp2): (node, root) of the ties, and links (a, b) between roots."""
+    exact = F.posexplode(F.array(*[_segment(p) for p in parts])).alias("k", "value")
+    index = prints.select("node", "fp", "fp2", exact)
+    least = index.groupBy("k", "value").agg(F.min(F.struct("node", "fp", "fp2")).alias("low"), F.count("*").alias("n")).filter("n > 1")
+    least = least.select("k", "value", F.col("low.node").alias("low"), F.col("low.fp").alias("low_fp"), F.col("low.fp2").alias("low_fp2"))
+    met = index.join(least, ["k", "value"]).filter((F.col("node") != F.col("low")) & _close("", "low_", reach))
+    ties = cut(met.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
     tied = components(ties)
-    node = prints.join(tied, prints["fp"] == tied["node"], "left").select("fp", F.coalesce("root", "fp").alias("class"))
+    node = prints.join(tied.withColumnRenamed("node", "tied"), F.col("node") == F.col("tied"), "left").select("node", "fp", "fp2", F.coalesce("root", "node").alias("class"))
     node = cut(node)
-
-    def ball(k, part):
-        masks = F.lit(_ball(part)).cast("array<bigint>")
-        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("k"), _segment(fp, part).bitwiseXOR(m).alias("value")))
-
-    balls = [ball(k, p) for k, p in enumerate(parts)]
-    asked = node.select(fp.alias("a"), F.col("class").alias("a_class"), F.explode(F.concat(*balls)).alias("q")).select("a", "a_class", "q.k", "q.value")
-    table = node.select(fp.alias("b"), F.col("class").alias("b_class"), F.posexplode(values).alias("k", "value"))
-    near = (F.col("a") < F.col("b")) & (F.col("a_class") != F.col("b_class")) & (_distance(F.col("a"), F.col("b")) <= RADIUS)
+    side = lambda n, which: node.select(*[F.col(c).alias(f"{n}_{c}") for c in node.columns], F.explode(_around(parts, which)).alias("q")).select("*", "q.*").drop("q")
+    asked, table = side("a", 3), side("b", 4)
+    # Each asks and is listed, so of a pair either finds the other.
+    near = (F.col("a_class") != F.col("b_class")) & _close("a_", "b_", reach)
     found = asked.join(table, (asked["k"] == table["k"]) & (asked["value"] == table["value"]) & near)
     return tied, cut(found.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct())
 
 
-def classes(prints: DataFrame, parts: list[tuple[int, int, int]] | None = None) -> DataFrame:
-    """(fp, top, component_id) of a cut (doc_id, fp) table.
+def classes(prints: DataFrame, parts=None, reach: int = RADIUS) -> DataFrame:
+    """(node, fp, fp2, top, component_id) of a cut (doc_id, fp) or (doc_id, fp, fp2) table.
 
-    ``top`` is a fingerprint of the group and names it; component_id is its least doc_id, which groups may share.
+    ``node`` stands for a fingerprint, ``top`` is a node of the group and names
+    it; component_id is its least doc_id, which groups may share.
     """
-    own = cut(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first_id")))
-    tied, between = links(own.select("fp"), parts or segments(own.count()))
+    if "fp2" in prints.columns:
+        prints = prints.withColumn("node", F.xxhash64("fp", "fp2"))
+    else:
+        prints = prints.withColumn("fp2", F.lit(0).cast("long")).withColumn("node", F.col("fp"))
+    own = cut(prints.groupBy("node", "fp", "fp2").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first_id")))
+    tied, between = links(own.select("node", "fp", "fp2"), parts or segments(own.count(), reach), reach)
     joined = cut(components(between))
-    node = own.join(tied, own["fp"] == tied["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("class"))
+    node = own.join(tied.withColumnRenamed("node", "tied"), F.col("node") == F.col("tied"), "left").select("node", "fp", "fp2", "first_id", F.coalesce("root", "node").alias("class"))
     node = node.join(joined.withColumnsRenamed({"node": "class_node", "root": "top"}), F.col("class") == F.col("class_node"), "left")
-    node = cut(node.select("fp", "first_id", F.coalesce("top", "class").alias("top")))
+    node = cut(node.select("node", "fp", "fp2", "first_id", F.coalesce("top", "class").alias("top")))
     # Cut before they are joined: then both sides are plain exchanges, and a large group's rows can be split.
     lows = cut(node.groupBy("top").agg(F.min("first_id").alias("component_id")))
-    return node.join(lows, "top").select("fp", "top", "component_id")
+    return node.join(lows, "top").select("node", "fp", "fp2", "top", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id."""
     prints = cut(fingerprints(docs))
-    of = classes(prints)
+    of = classes(prints).drop("fp2")
     out = prints.join(of, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
 
@@ -167,17 +204,18 @@ def _ordered(name: str, kind: T.DataType):
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id.
+    """One document of each group: that with the smallest doc_id; groups are linked as far as ``FAR`` says.
 
     A null doc_id counts as the largest; of rows that share group and doc_id
     the least row stays (maps are ordered as JSON).  Rows with unique ids are picked by a semi-join.
     """
     docs, restore = apart(docs, ("doc_id", "text"))
-    prints = cut(fingerprints(docs))
-    of = cut(classes(prints))
+    prints = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(two_batches, "doc_id long, fp long, fp2 long"))
+    of = cut(classes(prints, None, FAR))
+    same = ["fp", "fp2"]
     key = F.coalesce("doc_id", F.lit(NO_ID))
     odd = cut(prints.groupBy(key.alias("odd_id")).count().filter((F.col("count") > 1) | (F.col("odd_id") == NO_ID)).select("odd_id"))
-    chosen = prints.join(of, "fp").filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
+    chosen = prints.join(of, same).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
     if odd.isEmpty():
         return restore(docs.join(chosen, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi"))
     regular = docs.join(chosen.join(odd, F.col("kept_id") == F.col("odd_id"), "left_anti"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
@@ -186,13 +224,13 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     def run(batches):
         for b in batches:
-            fps = np.array([_bits((t.as_py() or "").encode("utf-8").lower().split(), SHINGLE) for t in b.column(docs_text)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*names, "fp"])
+            fps = np.array([_two(t.as_py()) for t in b.column(docs_text)], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy())], names=[*names, *same])
 
     docs_text, docs_id = docs.columns.index("text"), names[docs.columns.index("doc_id")]
-    schema = ", ".join(f"{n} {t}" for n, (_, t) in zip([*names, "fp"], [*docs.dtypes, ("", "long")], strict=True))
-    marked = rows.mapInArrow(run, schema).join(of, "fp").filter(F.coalesce(F.col(docs_id).cast("long"), F.lit(NO_ID)) == F.col("component_id"))
+    schema = ", ".join(f"{n} {t}" for n, (_, t) in zip([*names, *same], [*docs.dtypes, ("", "long"), ("", "long")], strict=True))
+    marked = rows.mapInArrow(run, schema).join(of, same).filter(F.coalesce(F.col(docs_id).cast("long"), F.lit(NO_ID)) == F.col("component_id"))
     # Partial aggregates: however many rows share an id, few reach one task.
-    marked = marked.select("top", "fp", F.struct(*names).alias("r"), F.struct(*[_ordered(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]).alias("by"))
-    one = marked.groupBy("top", "fp").agg(F.min_by("r", "by").alias("r"), F.min("by").alias("by")).groupBy("top").agg(F.min_by("r", "by").alias("r"))
+    marked = marked.select("top", "node", F.struct(*names).alias("r"), F.struct(*[_ordered(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)]).alias("by"))
+    one = marked.groupBy("top", "node").agg(F.min_by("r", "by").alias("r"), F.min("by").alias("by")).groupBy("top").agg(F.min_by("r", "by").alias("r"))
     return restore(regular.unionByName(one.select(*[F.col(f"r.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)])))

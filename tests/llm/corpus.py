@@ -65,3 +65,12 @@ def simhash(text):
     grams = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
     h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def far_links(texts):
+    """Pairs of texts that the pipeline's stage links, by comparison of all."""
+    from codexa.llm.simhash import FAR, _two
+
+    memo = {t: _two(t) for t in set(texts)}
+    two = [memo[t] for t in texts]
+    return [(i, j) for i, a in enumerate(two) for j in range(i + 1, len(two)) if (a[0] ^ two[j][0]).bit_count() + (a[1] ^ two[j][1]).bit_count() <= FAR]

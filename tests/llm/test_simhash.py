@@ -14,13 +14,36 @@ def test_against_brute_force(spark):
     assert got == {d: (f"{fps[d]:016x}", want[d]) for d in ids}
 
 
-def test_layouts():
-    """Each is exact: radii and one for each segment exceed the radius; more fingerprints take wider segments."""
+@pytest.mark.parametrize("reach", [simhash.RADIUS, simhash.FAR])
+def test_layouts(reach):
+    """Each is exact: radii and one for each segment exceed the reach; more fingerprints take wider segments."""
     for n in (1, 10**4, 10**6, 10**9, 10**12):
-        parts = simhash.segments(n)
-        assert sum(r + 1 for _, _, r in parts) == simhash.RADIUS + 1
-        assert [a for a, _, _ in parts] == [sum(w for _, w, _ in parts[:i]) for i in range(len(parts))] and sum(w for _, w, _ in parts) == 64
-    assert [len(simhash.segments(n)) for n in (100, 10**6, 10**9)] == [5, 3, 2]
+        parts = simhash.segments(n, reach)
+        assert sum(q + i + 1 for *_, q, i in parts) == reach + 1
+        for half in {p[0] for p in parts}:
+            own = [p for p in parts if p[0] == half]
+            assert [p[1] for p in own] == [sum(p[2] for p in own[:i]) for i in range(len(own))] and sum(p[2] for p in own) == 64
+    sizes = [len(simhash.segments(n, reach)) for n in (1, 10**4, 10**6, 10**8, 10**10)]
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[-1]
+
+
+@pytest.mark.parametrize("n", [1, 10**5, 10**10])
+def test_far_layouts_meet_every_close_pair(spark, n):
+    """Pairs of 128 bits at all distances around a few centres."""
+    import random
+
+    rng = random.Random(10)
+    rows, flip = [], lambda x, m: x ^ sum(1 << b for b in rng.sample(range(64), m))
+    for _ in range(8):
+        c = (rng.getrandbits(64), rng.getrandbits(64))
+        rows += [(flip(c[0], rng.randint(0, 11)), flip(c[1], rng.randint(0, 11))) for _ in range(14)]
+    rows = sorted(set(rows))
+    signed = [tuple(x - (1 << 64) if x >> 63 else x for x in r) for r in rows]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(signed)], "doc_id long, fp long, fp2 long")
+    near = lambda a, b: (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= simhash.FAR
+    want = corpus.components([(i, j) for i, a in enumerate(rows) for j in range(i + 1, len(rows)) if near(a, rows[j])], range(len(rows)))
+    got = {(r["fp"], r["fp2"]): r["component_id"] for r in simhash.classes(df, simhash.segments(n, simhash.FAR), simhash.FAR).collect()}
+    assert got == {r: want[i] for i, r in enumerate(signed)} and len(set(want.values())) > 8
 
 
 @pytest.mark.parametrize("n", [60_000, 10**6, 10**9])
@@ -57,7 +80,7 @@ def test_stage_keeps_one_of_each_group(spark, odd):
         data = [*data, data[0], (None, data[1][1], "en", "s", 1), (None, "lonely words that nobody else has in this corpus at all", "en", "s", 2), (None, "lonely words that nobody else has in this corpus at all", "en", "s", 2)]
     docs = corpus.frame(spark, data).selectExpr("*", "7 AS fp", "8 AS kept_id")
     kept = simhash.simhash_stage(spark, docs, "").collect()
-    comp = corpus.components([(a, b) for a, x in enumerate(data) for b in range(a + 1, len(data)) if (FP(x) ^ FP(data[b])).bit_count() <= 4], range(len(data)))
+    comp = corpus.components(corpus.far_links([r[1] for r in data]), range(len(data)))
     groups = {}
     for i, r in enumerate(data):
         groups.setdefault(comp[i], []).append(r[0])
@@ -81,10 +104,6 @@ def test_stage_orders_rows_with_maps(spark):
     assert sorted(r["text"] for r in simhash.simhash_stage(spark, docs, "").collect()) == ["other words entirely, and more of them", "the same words in both rows"]
 
 
-def FP(row, memo={}):  # noqa: B006, N802
-    return memo.setdefault(row[1], corpus.simhash(row[1]))
-
-
 def test_empty(spark):
     assert simhash.near_duplicates(corpus.frame(spark, [])).count() == 0
     assert simhash.simhash_stage(spark, corpus.frame(spark, []), "").count() == 0
