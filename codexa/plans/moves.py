@@ -128,7 +128,12 @@ def numbered_segments(spark, d):
     return planning.segments(p, "p_brand", "label", X.normalize_title)
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT c_custkey // 40 AS book, c_custkey AS ord, 'CD' || (c_custkey % 9) AS folder, c_mktsegment AS stem, row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) AS i FROM customer),
+o AS (SELECT book, ord, i, list_concat([stem || '.nfo', folder || ' - ' || stem || '.nfo'], list_transform(range(2, 100), lambda k: stem || ' (' || k || ').nfo')) AS ways FROM c),
+r AS (SELECT book, ord, i, ways[1] AS new_name, [lower(ways[1])] AS taken FROM o WHERE i = 1
+  UNION ALL SELECT o.book, o.ord, o.i, list_filter(o.ways, lambda x: NOT list_contains(r.taken, lower(x)))[1], list_append(r.taken, lower(list_filter(o.ways, lambda x: NOT list_contains(r.taken, lower(x)))[1])) FROM r JOIN o ON o.book = r.book AND o.i = r.i + 1)
+SELECT book, ord, new_name FROM r""")
 def companion_names(spark, d):
     """W6, UD7, T6: a book's companions keep their names, the first of each; later ones get others."""
     c = table(spark, d, "customer")

@@ -243,12 +243,16 @@ def cue_times(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.frames((F.length("text") % 5000).cast("long") * 1000).alias("cue"))
 
 
-@query()
+@query("""
+WITH RECURSIVE m AS (SELECT user_id, ((epoch_ms(ts) / 1000.0 - 1704067200.0) + (epoch_ms(ts) / 1000.0 - 1704067200.0 + value)) / 2 AS mid FROM events WHERE (epoch_ms(ts) / 1000.0 - 1704067200.0 + value) - (epoch_ms(ts) / 1000.0 - 1704067200.0) >= 3.0),
+r AS (SELECT DISTINCT user_id, 0.0::DOUBLE AS last, 0::BIGINT AS n FROM events
+  UNION ALL SELECT r.user_id, min(m.mid), any_value(r.n) + 1 FROM r JOIN m ON m.user_id = r.user_id AND m.mid - r.last >= 3600 GROUP BY r.user_id)
+SELECT user_id, max(n) AS n_cuts, floor(CASE WHEN max(n) > 0 THEN max(last) END) AS last_cut FROM r GROUP BY user_id""")
 def silence_breaks(spark, d):
     """Breaks that keep their distance from the last accepted one."""
     e = table(spark, d, "events").select("user_id", (F.unix_millis("ts") / 1000.0 - 1704067200.0).alias("s"), "value")
     cuts = tracks.silence_breaks(e.withColumn("e", F.col("s") + F.col("value")), "user_id", "s", "e", gap=3600.0)
-    return cuts.select("user_id", F.size("cuts").cast("long").alias("n_cuts"), F.round(F.element_at("cuts", -1), 3).alias("last_cut"))
+    return cuts.select("user_id", F.size("cuts").cast("long").alias("n_cuts"), F.floor(F.element_at("cuts", -1)).cast("double").alias("last_cut"))
 
 
 # -- plans and files ---------------------------------------------------------
