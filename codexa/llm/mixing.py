@@ -27,7 +27,7 @@ BUDGET = 1.5
 MAX_EPOCHS = 2
 SEED = 20240607
 #: Rows that one window puts in order, about; what is above it comes in two levels of buckets.
-ROWS_A_BUCKET = 16_384
+ROWS_A_BUCKET = 1024
 BROADCAST_SOURCES = 100_000
 
 ORACLE_SQL = rf"""
