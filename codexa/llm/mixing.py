@@ -67,7 +67,7 @@ def targets(sizes: DataFrame, budget: float, cap: float, weights=WEIGHTS) -> Dat
     t = (
         t.withColumn("budget", F.sum("source_size").over(every) * F.lit(float(budget)))
         .withColumn("left_words", F.col("budget") - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("left_w", F.sum("w").over(by_room.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("left_w", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
         .withColumn("level", F.col("left_words") / F.col("left_w"))
         .withColumn("clamped", F.col("w") * F.col("level") >= F.col("most"))
         # Levels fall along the unclamped ones, as each leaves out the caps before it: the first has the caps of the clamped alone.
