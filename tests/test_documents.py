@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 def test_provider_payloads(spark):
     docs = {
-        "search_document": '{"title": "Dune", "author_name": ["F. H."], "isbn": ["0441172717", "9780441172719", "978-0-441-01359-3"], "first_publish_year": 1965, "language": ["eng"]}',
+        "search_document": '{"key": "/works/OL1W", "title": "Dune", "author_name": ["F. H."], "isbn": ["0441172717", "9780441172719", "978-0-441-01359-3"], "first_publish_year": 1965, "language": ["eng"]}',
         "book_by_code": '{"title": "Dune", "authors": [{"name": "F. H."}], "narrators": [{"name": "N"}, {"name": "M"}], "seriesPrimary": [{"name": "Dune", "position": "1"}], "releaseDate": "2007-05-01", "runtimeLengthMin": 1262}',
         "volume": '{"volumeInfo": {"title": "Dune", "authors": ["F. H."], "publishedDate": "1990-09", "industryIdentifiers": [{"type": "ISBN_13", "identifier": "9780441172719"}], "categories": ["Fiction", "Dune series"]}}',
         "public_recording": '{"title": "Dune", "authors": [{"first_name": "F.", "last_name": "H."}], "copyright_year": "1965", "totaltimesecs": 3660, "sections": [{"readers": [{"display_name": "A"}]}, {"readers": [{"display_name": "A"}, {"display_name": "B"}]}]}',
