@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, ensure_shared  # noqa: F401
 
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
