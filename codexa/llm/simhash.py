@@ -15,8 +15,8 @@ reaches further, as near copies with 0.8 similar shingles mostly differ in 5 to
 same shingles' hashes, scrambled, and have segments of their own.
 
 A dense group of near copies would meet in all pairs.  First every
-fingerprint is tied to the least one of its segment values, where they are
-close; components of those ties then stand for their members, and the tables
+fingerprint is tied to the least one of its segment values (in the stage, of
+each list that it asks), where they are close; components of those ties then stand for their members, and the tables
 return links between different components only.  No link that could join two
 components is lost.
 
@@ -143,11 +143,15 @@ def _close(a: str, b: str, reach: int):
 
 def links(prints: DataFrame, parts, reach: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """Of a cut table of distinct (node, fp, fp2): (node, root) of the ties, and links (a, b) between roots."""
-    exact = F.posexplode(F.array(*[_segment(p) for p in parts])).alias("k", "value")
-    index = prints.select("node", "fp", "fp2", exact)
-    least = index.groupBy("k", "value").agg(F.min(F.struct("node", "fp", "fp2")).alias("low"), F.count("*").alias("n")).filter("n > 1")
+    values = F.transform(F.array(*[_segment(p) for p in parts]), lambda v, k: F.struct(k.alias("k"), v.alias("value")))
+    # Far links are many in a dense group: there the tables tie to the least that each list holds, one row a look-up.
+    ask, listed = (_around(parts, 3), _around(parts, 4)) if reach == FAR else (values, values)
+    index = prints.select("node", "fp", "fp2", F.explode(listed).alias("q")).select("*", "q.*").drop("q")
+    least = index.groupBy("k", "value").agg(F.min(F.struct("node", "fp", "fp2")).alias("low"), F.count("*").alias("n"))
+    least = least.filter(F.lit(reach == FAR) | (F.col("n") > 1))
     least = least.select("k", "value", F.col("low.node").alias("low"), F.col("low.fp").alias("low_fp"), F.col("low.fp2").alias("low_fp2"))
-    met = index.join(least, ["k", "value"]).filter((F.col("node") != F.col("low")) & _close("", "low_", reach))
+    looks = prints.select("node", "fp", "fp2", F.explode(ask).alias("q")).select("*", "q.*").drop("q")
+    met = looks.join(least, ["k", "value"]).filter((F.col("node") != F.col("low")) & _close("", "low_", reach))
     ties = cut(met.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
     tied = components(ties)
     node = prints.join(tied.withColumnRenamed("node", "tied"), F.col("node") == F.col("tied"), "left").select("node", "fp", "fp2", F.coalesce("root", "node").alias("class"))
