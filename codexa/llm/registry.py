@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, quality, recompression, secrets, sharding, simhash, suffixes, toxicity
+from . import centroids, decontam, langid, mixing, quality, recompression, secrets, sharding, simhash, suffixes, toxicity, turns
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,9 @@ QUERIES = {
         sharding.op8_shard,
         suffixes.op9_suffix_array,
         quality.op10_quality,
+        centroids.op12_centroids,
+        turns.op13_repair_turns,
     )
 }
 
-ORACLE_SQL = {"op1_recompression": recompression.ORACLE_SQL, "op4_decontaminate": decontam.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op8_shard": sharding.ORACLE_SQL}
+ORACLE_SQL = {"op1_recompression": recompression.ORACLE_SQL, "op4_decontaminate": decontam.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op8_shard": sharding.ORACLE_SQL, "op12_centroids": centroids.ORACLE_SQL, "op13_repair_turns": turns.ORACLE_SQL}
