@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, decontam, langid, mixing, quality, recompression, secrets, sharding, simhash, suffixes, toxicity, turns
+from . import centroids, decontam, langid, maintext, mixing, quality, recompression, secrets, sharding, simhash, suffixes, toxicity, turns
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         sharding.op8_shard,
         suffixes.op9_suffix_array,
         quality.op10_quality,
+        maintext.op11_main_text,
         centroids.op12_centroids,
         turns.op13_repair_turns,
     )

@@ -57,7 +57,7 @@ def test_large_components(spark):
     rows = [(i, v, 0) for i, v in enumerate(vectors(4, 40, 1e6))]
     assert result(spark, rows) == expected(rows)
     # Beyond what a long holds, sums of distances are null.
-    huge = [*rows, (77, [1e30] * 64, 0), (78, [-1e30] * 64, 0)]
+    huge = [*rows, (77, [float(np.float32(1e30))] * 64, 0), (78, [-float(np.float32(1e30))] * 64, 0)]
     assert result(spark, huge) == sorted(((i, n, *[x if x < 1 << 63 else None for x in (d, own, every)], sha) for i, n, d, own, every, sha in expected(huge)), key=repr)
 
 
