@@ -6,13 +6,15 @@ with a capital counts as a name, wherever it stands, so that names that begin a
 sentence are slots as well.  Beside it stands a second template in which names
 are lower-cased words, for copies in another case.  Windows of five template
 words are hash-joined with those of the benchmark items, either template's.
-Where a document holds four fifths of the windows of one of an item's
-templates, the item's slots are aligned with the document's along every
+A window without a single literal word is no
+evidence of a question: it matches only with the item's own values.  Where a
+document holds four fifths of the windows of one of an item's templates, the item's slots are aligned with the document's along every
 diagonal on which windows match.  One is consistent if each value of the item
 stands for one value throughout, be it the item's own (verbatim) or another
-(re-parameterised).  The document is contaminated if a diagonal with most
-windows is consistent, or if the consistent ones together hold four fifths of
-the windows; slots are told of the consistent diagonal with most windows, the
+(re-parameterised), and no two for the same.  The document is contaminated if a
+diagonal with most windows is consistent, or if the consistent ones together hold
+four fifths of the windows; with other values than the item's, the matched windows
+must also hold five literal words of the item; slots are told of the consistent diagonal with most windows, the
 first of equals, and of the template with more windows, then more slots, then
 fewer changes.
 
@@ -48,24 +50,25 @@ c AS (SELECT side, id, text, list_filter(string_split_regex(regexp_replace(t, '(
 f AS (SELECT side, id, text, words, list_transform(words, lambda x: CASE WHEN x[1] = chr(3) THEN x[2:] ELSE x END) AS plain FROM c WHERE len(words) > 0),
 e AS (SELECT *, list_transform(words, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS q, list_transform(plain, lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END) AS r FROM f),
 g AS (SELECT side, id, text, words, plain,
-    CASE WHEN len(q) < 5 THEN ['few ' || array_to_string(q, ' ')] ELSE list_transform(range(1, len(q) - 3), lambda i: array_to_string(q[i:i + 4], ' ')) END AS wins,
-    CASE WHEN len(r) < 5 THEN ['few ' || array_to_string(r, ' ')] ELSE list_transform(range(1, len(r) - 3), lambda i: array_to_string(r[i:i + 4], ' ')) END AS plain_wins FROM e),
+    list_transform(range(1, greatest(len(q) - 3, 2)), lambda i: CASE WHEN len(q) < 5 THEN 'few ' ELSE '' END || array_to_string(CASE WHEN list_max(words[i:i + 4]) < chr(4) THEN words[i:i + 4] ELSE q[i:i + 4] END, ' ')) AS wins,
+    list_transform(range(1, greatest(len(r) - 3, 2)), lambda i: CASE WHEN len(r) < 5 THEN 'few ' ELSE '' END || array_to_string(CASE WHEN list_max(plain[i:i + 4]) < chr(4) THEN plain[i:i + 4] ELSE r[i:i + 4] END, ' ')) AS plain_wins FROM e),
 items AS (SELECT words, any_value(wins) AS wins, min(id) AS item_id FROM (SELECT words, wins, id FROM g WHERE side = 'i' UNION ALL SELECT plain, plain_wins, id FROM g WHERE side = 'i') GROUP BY words),
 iw AS (SELECT words AS item, unnest(wins) AS win, unnest(range(len(wins))) AS item_at FROM items),
 docs AS (SELECT DISTINCT id, text, words, wins, plain_wins FROM g WHERE side = 'd'),
 dw AS (SELECT id, text, unnest(wins) AS win, unnest(range(len(wins))) AS doc_at FROM docs
   UNION SELECT id, text, unnest(plain_wins), unnest(range(len(plain_wins))) FROM docs),
 m AS (SELECT id, text, item, item_at, doc_at - item_at AS shift FROM dw JOIN iw ON dw.win = iw.win),
-hit AS (SELECT m.id, m.text, m.item, i.item_id, len(i.wins) AS n_windows, count(DISTINCT item_at) AS n_matched FROM m JOIN items i ON i.words = m.item GROUP BY ALL HAVING n_matched >= {SHARE} * n_windows),
+full_hit AS (SELECT m.id, m.text, m.item, i.item_id, len(i.wins) AS n_windows, count(DISTINCT item_at) AS n_matched, list(DISTINCT item_at) AS held FROM m JOIN items i ON i.words = m.item GROUP BY ALL HAVING n_matched >= {SHARE} * n_windows),
+hit AS (SELECT *, len(list_filter(range(len(item)), lambda k: item[k + 1] >= chr(4) AND len(list_filter(held, lambda a: a <= k AND k < a + 5)) > 0)) AS n_literal FROM full_hit),
 lines AS (SELECT m.id, m.text, m.item, shift, count(DISTINCT item_at) AS n, list(DISTINCT item_at) AS spots FROM m JOIN hit h ON h.id = m.id AND h.text = m.text AND h.item = m.item GROUP BY ALL),
 al AS (SELECT l.id, l.text, l.item, shift, n, spots, max(n) OVER (PARTITION BY l.id, l.text, l.item) AS most,
     list_distinct(list_filter(list_transform(range(len(l.item)), lambda k: CASE WHEN k + shift >= 0 THEN [l.item[k + 1], d.words[CAST(k + shift + 1 AS BIGINT)]] END),
         lambda x: x IS NOT NULL AND x[1] < chr(4) AND x[2] IS NOT NULL AND x[1][1] = x[2][1])) AS slots
   FROM lines l JOIN docs d ON d.id = l.id AND d.text = l.text),
 ok AS (SELECT id, text, item, any_value(most) AS most, max(n) AS n, len(list_distinct(flatten(list(spots)))) AS together, arg_max(slots, [n, -shift]) AS slots FROM al
-  WHERE len(list_distinct(list_transform(slots, lambda x: x[1]))) = len(slots) GROUP BY id, text, item),
+  WHERE len(list_distinct(list_transform(slots, lambda x: x[1]))) = len(slots) AND len(list_distinct(list_transform(slots, lambda x: x[2]))) = len(slots) GROUP BY id, text, item),
 r AS (SELECT h.id AS doc_id, h.text, h.item_id, h.n_matched, h.n_windows, len(slots) AS n_slots, len(list_filter(slots, lambda x: x[1] <> x[2])) AS n_changed
-  FROM ok JOIN hit h ON h.id = ok.id AND h.text = ok.text AND h.item = ok.item WHERE n = most OR together >= {SHARE} * n_windows)
+  FROM ok JOIN hit h ON h.id = ok.id AND h.text = ok.text AND h.item = ok.item WHERE (n = most OR together >= {SHARE} * n_windows) AND (n_literal >= 5 OR len(list_filter(slots, lambda x: x[1] <> x[2])) = 0))
 SELECT doc_id, item_id, n_matched, n_windows, n_slots, n_changed FROM r
 QUALIFY row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY n_matched DESC, n_slots DESC, n_changed) = 1
 """
@@ -84,21 +87,24 @@ def plain(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.startswith(NAME), F.substring(w, 2, 1 << 30)).otherwise(w))
 
 
-def _joined(h: Column, other: Column, by: int, n: Column) -> Column:
-    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(other, F.lit(1 + by), n), lambda a, b: F.xxhash64(a, b))
+def _rolled(cells: Column, size: Column, both) -> Column:
+    """Of each WIDTH cells in a row, what ``both`` makes of them by halves."""
+    pair = lambda a, b, by, less: F.zip_with(F.slice(a, F.lit(1), F.greatest(size - less, F.lit(0))), F.slice(b, F.lit(1 + by), F.greatest(size - less, F.lit(0))), both)
+    two = pair(cells, cells, 1, 1)
+    return pair(pair(two, two, 2, 3), cells, WIDTH - 1, WIDTH - 1)
 
 
 def with_windows(df: DataFrame, words: str = "words", hashes: str = "hashes") -> DataFrame:
-    """Adds hashes: of each window, built from halves, or one of all words if they are few."""
-    size = F.size(words)
-    df = df.withColumn("h1", F.transform(words, lambda w: F.xxhash64(F.when(w < F.lit("\x04"), F.substring(w, 1, 1)).otherwise(w))))
-    n = F.greatest(size - (WIDTH - 1), F.lit(0))
-    n2 = F.greatest(size - 1, F.lit(0))
-    n4 = F.greatest(size - 3, F.lit(0))
-    df = df.withColumn("h2", _joined(F.col("h1"), F.col("h1"), 1, n2))
-    df = df.withColumn("h4", _joined(F.col("h2"), F.col("h2"), 2, n4))
-    few = F.array(F.xxhash64(F.lit("few"), F.concat_ws(" ", F.transform("h1", lambda x: x.cast("string")))))
-    return df.withColumn(hashes, F.when(size >= WIDTH, _joined(F.col("h4"), F.col("h1"), WIDTH - 1, n)).when(size > 0, few).otherwise(F.array().cast("array<bigint>"))).drop("h1", "h2", "h4")
+    """Adds hashes: of each window, or one of all words if they are few; a slot counts by its type, but by its value in a window of slots alone."""
+    size, slot = F.size(words), F.transform(words, lambda w: w < F.lit("\x04"))
+    typed = F.transform(words, lambda w: F.xxhash64(F.when(w < F.lit("\x04"), F.substring(w, 1, 1)).otherwise(w)))
+    valued = F.transform(words, lambda w: F.xxhash64(w))
+    df = df.withColumn("w0", _rolled(typed, size, lambda a, b: F.xxhash64(a, b))).withColumn("w1", _rolled(slot, size, lambda a, b: a & b))
+    bare = F.zip_with(F.zip_with("w1", _rolled(valued, size, lambda a, b: F.xxhash64(a, b)), lambda s, v: F.when(s, v)), "w0", lambda v, t: F.coalesce(v, t))
+    whole = lambda cells: F.array(F.xxhash64(F.lit("few"), F.concat_ws(" ", F.transform(cells, lambda x: x.cast("string")))))
+    few = F.when(F.forall(slot, lambda x: x), whole(valued)).otherwise(whole(typed))
+    out = F.when(size >= WIDTH, F.when(F.exists("w1", lambda x: x), bare).otherwise(F.col("w0"))).when(size > 0, few).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(hashes, out).drop("w0", "w1")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -136,11 +142,16 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
         return F.struct(line["n"].alias("n"), (-line["shift"]).alias("back"), line["at"].alias("at"), F.array_distinct(held).alias("slots"))
 
     both = both.withColumn("most", F.array_max(F.transform("lines", lambda x: x["n"]))).withColumn("lines", F.transform("lines", slots))
-    both = both.withColumn("lines", F.filter("lines", lambda x: F.size(x["slots"]) == F.size(F.array_distinct(F.transform(x["slots"], lambda s: s["was"])))))
+    # The item's literal words that any matched window holds.
+    held_at = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["at"]))), lambda a: F.sequence(a, F.least(a + (WIDTH - 1), F.size("asked") - 1)))))
+    both = both.withColumn("n_literal", F.size(F.filter(held_at, lambda k: F.get("asked", k) >= F.lit("\x04"))))
+    alone = lambda slots, side: F.size(F.array_distinct(F.transform(slots, lambda s: s[side])))
+    both = both.withColumn("lines", F.filter("lines", lambda x: (F.size(x["slots"]) == alone(x["slots"], "was")) & (F.size(x["slots"]) == alone(x["slots"], "is"))))
     whole = F.size(F.array_distinct(F.flatten(F.transform("lines", lambda x: x["at"])))) >= share * F.col("n_windows")
     both = both.withColumn("best", F.array_max(F.transform("lines", lambda x: F.struct(x["n"].alias("n"), x["back"].alias("back"), x["slots"].alias("slots")))))
     both = both.filter((F.col("best.n") == F.col("most")) | whole).withColumn("slots", F.col("best.slots"))
     both = both.withColumn("n_changed", F.size(F.filter("slots", lambda s: s["was"] != s["is"])))
+    both = both.filter((F.col("n_changed") == 0) | (F.col("n_literal") >= WIDTH))
     # Of an item's two templates, that which tells more.
     told = F.struct("n_matched", F.size("slots").alias("n_slots"), (-F.col("n_changed")).alias("kept"), "n_windows")
     both = both.groupBy("id_key", "text_key", "item_id").agg(F.max_by(F.struct("doc_id", "n_changed", F.size("slots").alias("n_slots"), "n_matched", "n_windows"), told).alias("b"))

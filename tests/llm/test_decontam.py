@@ -1,4 +1,5 @@
 import re
+import time
 
 import corpus
 import duckdb
@@ -59,6 +60,36 @@ def test_names_that_begin_sentences_and_other_case(spark):
     assert all(got[k][0] == got[k][1] for k in got) and got[2, 1][2] == got[3, 1][2] == got[5, 2][2] == 0 and got[1, 1][2] == got[7, 1][2] == 4
 
 
+def test_clean_headings_tables_and_nouns(spark):
+    """Runs of names and numbers are no leak, whatever their types; the same values are."""
+    items = [
+        (1, "The Great Gatsby Was Written By Francis Scott Fitzgerald"), (2, "3 7 11 15 19 23 27 31"), (3, "Alice Smith and Bob Jones"),
+        (4, "Welche Stadt liegt am Ufer des Flusses und hat die meisten Einwohner im Norden des Landes?"), (5, "add 3 and 4 and then 5 to get 12 in all"),
+    ]
+    clean = [
+        "Minutes of the United Nations Security Council Emergency Committee Meeting In Geneva were filed.", "Results: 1 2 3 4 5 6 7 8 9 10 11 12", "Mary Brown and Peter Miller met Carl White and Paul Black",
+        "Der Mann im Haus am See hat die Frau aus der Stadt und das Kind im Wald", "add 7 and 7 and then 7 to get 7 in all", "Table 1 2 3 4 5 and 6 7 8 9", "1 " * 5000, "A Title Case Heading Of Many Words " * 40,
+    ]
+    held = [items[0][1] + " it says", "so the great gatsby was written by francis scott fitzgerald.", "list: " + items[1][1] + " 35", items[2][1] + ".", items[3][1], "add 1 and 2 and then 6 to get 9 in all"]
+    docs = [(i, t) for i, t in enumerate(clean)] + [(100 + i, t) for i, t in enumerate(held)]
+    found = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).drop("id_key", "text_key")
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(100, 1), (101, 1), (102, 2), (103, 3), (104, 4), (105, 5)}
+    con = duckdb.connect()
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    assert harness.differences(found, con, decontam.ORACLE_SQL) == ""
+
+
+def test_number_tables_meet_no_hot_key(spark):
+    """4 documents of 4000 numbers and 20 items of 40."""
+    docs = [(i, " ".join(str((i * 7919 + k * 104729) % 9973) for k in range(4000))) for i in range(4)]
+    items = [(i, " ".join(str((i * 31 + k * 17) % 101) for k in range(40))) for i in range(20)]
+    began = time.perf_counter()
+    assert decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert time.perf_counter() - began < 20
+
+
 def test_recall_of_items_with_other_values(spark):
     """Items of the given table with other numbers and other names, each within another text."""
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
