@@ -38,10 +38,12 @@ PATTERNS = {
     "access": rb"AKIA[A-Z0-9]+",
     "github": rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])",
     "npm": rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])",
-    "jwt": rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+    "jwt": rb"eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+",
     "pem": rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----",
     "slack": rb"xox[abprs]-[0-9]{10,13}-[A-Za-z0-9-]{10,}",
 }
+#: A token's parts are runs of these; what a run doesn't hold, no try within it finds.
+JWT_RUN = rb"[A-Za-z0-9_-]*+"
 HEX_RUN = rb"[0-9a-f]{24,}"
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -60,12 +62,26 @@ def crc_holds(token: bytes) -> bool:
     return base62(zlib.crc32(body[:-6]), 6).encode() == body[-6:]
 
 
-def jwt_holds(token: bytes) -> bool:
-    head = token.split(b".", 1)[0]
-    try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except (ValueError, binascii.Error, TypeError, RecursionError):
-        return False
+def jwt_holds(raw: bytes, start: int, end: int) -> bool:
+    """The token's head is base64 of a JSON object that names an algorithm.
+
+    It is read in growing pieces, and given up where a piece can't begin an object, so
+    that tries at many places of one long run don't each read all of it.
+    """
+    size = 64
+    while True:
+        stop = min(end, start + size)
+        try:
+            piece = base64.urlsafe_b64decode(raw[start:stop] + b"=" * (-(stop - start) % 4))
+            if stop == end:
+                return "alg" in json.loads(piece)
+            json.loads(piece.decode("latin-1"))
+        except json.JSONDecodeError as e:
+            if stop == end or e.msg == "Extra data" or e.msg != "Unterminated string starting at" and e.pos < len(piece) - 16:
+                return False
+        except (ValueError, binascii.Error, TypeError, RecursionError):
+            return False
+        size *= 4
 
 
 def pem_holds(block: bytes) -> bool:
@@ -77,7 +93,7 @@ def pem_holds(block: bytes) -> bool:
         return False
 
 
-CHECKS = {"github": crc_holds, "npm": crc_holds, "jwt": jwt_holds, "pem": pem_holds}
+CHECKS = {"github": crc_holds, "npm": crc_holds, "pem": pem_holds}
 
 
 def make_scanner():
@@ -89,15 +105,31 @@ def make_scanner():
         auto.add_word(word, (kind, len(word)))
     auto.make_automaton()
     match = {k: re.compile(p).match for k, p in PATTERNS.items()}
-    hexes = re.compile(HEX_RUN)
+    hexes, run = re.compile(HEX_RUN), re.compile(JWT_RUN).match
 
     def scan(raw: bytes) -> dict[str, list[tuple[int, int]]]:
         found: dict[str, list[tuple[int, int]]] = {}
         past: dict[str, int] = {}
+        head_end = token_end = 0
         # Latin-1 gives one character for each byte, and bytes.lower() changes A-Z alone.
         for last, (kind, n) in auto.iter(raw.lower().decode("latin-1")):
             at = last + 1 - n
-            if at < past.get(kind, 0) or not (m := match[kind](raw, at)):
+            if at < past.get(kind, 0):
+                continue
+            if kind == "jwt":
+                if raw[at : at + 3] != b"eyJ":
+                    continue
+                if at >= head_end:
+                    head_end = run(raw, at).end()
+                    token_end = m.end() if (m := match[kind](raw, at)) else 0
+                # All tries in one run of a head share what follows it.
+                if not token_end:
+                    past[kind] = head_end
+                elif at + 3 < head_end and jwt_holds(raw, at, head_end):
+                    past[kind] = token_end
+                    found.setdefault(kind, []).append((at, token_end))
+                continue
+            if not (m := match[kind](raw, at)):
                 continue
             past[kind] = m.end()
             if kind == "assign" and len(m[1]) < 6 or kind == "access" and m.end() - at < 20:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 2_000_000
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -90,8 +91,17 @@ class Prefix:
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
 
+#: Longest word that is hashed as a polynomial of its bytes; longer ones could be built to collide.
+POLYNOMIAL = 32
+
+
 def word_hashes(buf, ws, we):
-    return Prefix(table(1)[buf]).of(ws, we)
+    h = Prefix(table(1)[buf]).of(ws, we)
+    long = np.flatnonzero(we - ws > POLYNOMIAL)
+    if len(long):
+        raw = memoryview(buf)
+        h[long] = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], 1) for a, b in zip(ws[long].tolist(), we[long].tolist(), strict=True)), np.uint64, len(long))
+    return h
 
 
 def covered(n, starts, length):

@@ -199,6 +199,17 @@ def test_counts(spark):
     assert got == {d: brute_counts(t) for d, t, *_ in data}
 
 
+def test_words_built_to_collide_are_no_repeats(spark):
+    """Two windows of eight words that differ in one word of 1024 letters."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    side = [f"w{i}" for i in range(7)]
+    text = " ".join([*side, one, *side, one.translate(str.maketrans("ab", "ba"))])
+    rows = quality.statistics(corpus.frame(spark, [(1, text, None, None, 0)])).collect()
+    assert rows[0]["n_repeat_words"] == 0
+
+
 def test_quality(spark):
     rows = quality.op10_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     for r in rows:

@@ -135,3 +135,20 @@ def test_anchor_is_in_reach():
     p = np.arange(len(buf) - bytewise.WIDTH + 1)
     a = bytewise.anchors(buf, p)
     assert ((a >= p) & (a + bytewise.GRAM <= p + bytewise.REACH)).all()
+
+
+def thue_morse(n):
+    """A word and its complement, whose sums of powers agree modulo 2**64 for any odd base."""
+    one = "a"
+    while len(one) < n:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [32, 64, 512, 1024, 4096])
+def test_words_built_to_collide(spark, n):
+    """Two documents that differ in one word, so that they share no window."""
+    side = [f"w{i}" for i in range(60)]
+    data = [(i, " ".join([*side[:30], w, *side[30:]]), "en", "s", 0) for i, w in enumerate(thue_morse(n))]
+    got = result(repeats.remove_repeats(corpus.frame(spark, data), recompression.KIND))
+    assert got == brute_words(data) and got[1][1] == 0

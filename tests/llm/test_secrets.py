@@ -1,5 +1,8 @@
+import base64
 import hashlib
+import json
 import re
+import time
 import zlib
 
 import corpus
@@ -48,3 +51,39 @@ def test_redact_and_empty(spark):
     data = [(1, f"É {GOOD} end token=abcdefg", None, None, 0), (2, None, None, None, 0)]
     assert dict(secrets.redact(corpus.frame(spark, data)).collect()) == {1: "É <github> end <assign>", 2: None}
     assert secrets.find_secrets(corpus.frame(spark, [])).count() == 0
+
+
+def jwts(raw):
+    """Every try by the whole pattern, one after the other."""
+    out, at = [], 0
+    while m := re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+").search(raw, at):
+        head = m[0].split(b".", 1)[0]
+        try:
+            good = "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
+        except (ValueError, TypeError):
+            good = False
+        out += [m.span()] * good
+        at = m.end() if good else m.start() + 1
+    return out
+
+
+def coded(**fields):
+    return base64.urlsafe_b64encode(json.dumps(fields, separators=(",", ":")).encode()).rstrip(b"=").decode()
+
+
+def test_tokens_within_runs():
+    head, body = coded(alg="x", typ="JWT"), coded(sub=1)
+    wide = coded(kid="k" * 4000, alg="x")
+    texts = [f"{head}.{body}.s", f"eyJ{head}.{body}.s", f"EYJx{head}.{body}.s", f"eyJeyJ{head}.{body}.s {wide}.{body}.s", f"{coded(typ='no')}.{head}.{body}.s", f"eyJ.{body}.s", f"{head}.{body}", f"{head}.{body}.", f"eyJabcd{wide}.{body}.s", f"{coded(a={'b': {'c': 1}})}.{head}.{body}.sig.{head}.{body}.s"]
+    scan = secrets.make_scanner()
+    for t in texts:
+        assert scan(t.encode()).get("jwt", []) == jwts(t.encode()), t
+
+
+def test_long_runs_of_one_keyword():
+    scan, n = secrets.make_scanner(), 1_000_000
+    for piece, tail in (("eyJ", ""), ("eyJ", ".eyJa.b"), ("eyJh", ".eyJa.b"), ("eyJ.", ""), ("eyJa.eyJ", ""), ("token", ""), ("xox", ""), ("-----BEGIN ", ""), ("ghp_", ""), ("akia", ""), ("-----BEGIN PRIVATE KEY-----", "")):
+        text = (piece * (n // len(piece)) + tail).encode()
+        began = time.perf_counter()
+        scan(text)
+        assert time.perf_counter() - began < 15, piece
