@@ -27,6 +27,9 @@ are no results; extra columns don't matter.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,24 +90,43 @@ def plain(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.startswith(NAME), F.substring(w, 2, 1 << 30)).otherwise(w))
 
 
-def _rolled(cells: Column, size: Column, both) -> Column:
-    """Of each WIDTH cells in a row, what ``both`` makes of them by halves."""
-    pair = lambda a, b, by, less: F.zip_with(F.slice(a, F.lit(1), F.greatest(size - less, F.lit(0))), F.slice(b, F.lit(1 + by), F.greatest(size - less, F.lit(0))), both)
-    two = pair(cells, cells, 1, 1)
-    return pair(pair(two, two, 2, 3), cells, WIDTH - 1, WIDTH - 1)
+def with_cells(df: DataFrame) -> DataFrame:
+    """Adds to words: ``cells``, a number for each, a slot's type from 1 to 3 or a hash, and ``named``, which has hashes for names as well."""
+    df = df.withColumn("cells", F.transform("words", lambda w: F.when(w < F.lit("\x04"), F.ascii(w).cast("long")).otherwise(F.xxhash64(w))))
+    return df.withColumn("named", F.zip_with("cells", "words", lambda c, w: F.when(c == 3, F.xxhash64(F.substring(w, 2, 1 << 30))).otherwise(c)))
+
+
+def _slots(cells: list[Column]) -> Column:
+    return reduce(and_, [c.between(1, 3) for c in cells])
+
+
+def _all(array: str) -> Column:
+    return F.array_join(F.transform(array, lambda x: x.cast("string")), " ")
+
+
+def _five(array: str, i: Column) -> list[Column]:
+    return [F.get(array, i + k) for k in range(WIDTH)]
+
+
+def window_hashes() -> Column:
+    """Of words and cells: a hash of each window, or of all words if they are few; slots count by type, but by value in a window of slots alone."""
+    n = F.size("cells")
+    each = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.when(_slots(_five("cells", i)), F.xxhash64(*_five("words", i))).otherwise(F.xxhash64(*_five("cells", i))))
+    few = F.when(F.forall("cells", lambda c: c.between(1, 3)), F.xxhash64(F.lit("few"), F.concat_ws(" ", "words"))).otherwise(F.xxhash64(F.lit("few"), _all("cells")))
+    return F.when(n >= WIDTH, each).when(n > 0, F.array(few)).otherwise(F.array().cast("array<bigint>"))
+
+
+def both_hashes() -> Column:
+    """Of words, cells and named: each window's hash, and beside it that with names as words if it holds any."""
+    n = F.size("cells")
 
+    def each(i):
+        cells = _five("cells", i)
+        own = F.when(_slots(cells), F.xxhash64(*_five("words", i))).otherwise(F.xxhash64(*cells))
+        return F.when(reduce(or_, [c == 3 for c in cells]), F.array(own, F.xxhash64(*_five("named", i)))).otherwise(F.array(own))
 
-def with_windows(df: DataFrame, words: str = "words", hashes: str = "hashes") -> DataFrame:
-    """Adds hashes: of each window, or one of all words if they are few; a slot counts by its type, but by its value in a window of slots alone."""
-    size, slot = F.size(words), F.transform(words, lambda w: w < F.lit("\x04"))
-    typed = F.transform(words, lambda w: F.xxhash64(F.when(w < F.lit("\x04"), F.substring(w, 1, 1)).otherwise(w)))
-    valued = F.transform(words, lambda w: F.xxhash64(w))
-    df = df.withColumn("w0", _rolled(typed, size, lambda a, b: F.xxhash64(a, b))).withColumn("w1", _rolled(slot, size, lambda a, b: a & b))
-    bare = F.zip_with(F.zip_with("w1", _rolled(valued, size, lambda a, b: F.xxhash64(a, b)), lambda s, v: F.when(s, v)), "w0", lambda v, t: F.coalesce(v, t))
-    whole = lambda cells: F.array(F.xxhash64(F.lit("few"), F.concat_ws(" ", F.transform(cells, lambda x: x.cast("string")))))
-    few = F.when(F.forall(slot, lambda x: x), whole(valued)).otherwise(whole(typed))
-    out = F.when(size >= WIDTH, F.when(F.exists("w1", lambda x: x), bare).otherwise(F.col("w0"))).when(size > 0, few).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(hashes, out).drop("w0", "w1")
+    few = F.when(F.exists("cells", lambda c: c == 3), F.array(window_hashes()[0], F.xxhash64(F.lit("few"), _all("named")))).otherwise(window_hashes())
+    return F.when(n >= WIDTH, F.transform(F.sequence(F.lit(0), n - WIDTH), each)).when(n > 0, F.array(few)).otherwise(F.array().cast("array<array<bigint>>"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -114,16 +136,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """Contaminated (document, item) pairs with how they match."""
     known = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), marked(F.col("text")).alias("words"))
-    bench = with_windows(known.select("item_id", F.explode(F.array("words", plain(F.col("words")))).alias("words")))
+    bench = with_cells(known.select("item_id", F.explode(F.array("words", plain(F.col("words")))).alias("words"))).withColumn("hashes", window_hashes())
     bench = bench.filter(F.size("words") > 0).groupBy("words", "hashes").agg(F.min("item_id").alias("item_id"))
     bench = cut(bench.withColumn("item", F.xxhash64("words")).withColumn("n_windows", F.size("hashes")))
     grams = bench.select("item", F.posexplode("hashes").alias("item_at", "hash"))
     grams, _ = small(grams, BROADCAST_WINDOWS)
-    own = _keyed(docs).withColumn("words", marked(F.col("text"))).select("id_key", "text_key", "words").withColumn("plain", plain(F.col("words")))
-    own = with_windows(with_windows(own), "plain", "other").drop("words", "plain")
-    # Where a window holds no name, both templates have it, and it is looked up once.
-    found = F.zip_with("hashes", "other", lambda a, b: F.when(a == b, F.array(a)).otherwise(F.array(a, b)))
-    rows = own.select("id_key", "text_key", F.posexplode(found).alias("doc_at", "either"))
+    own = with_cells(_keyed(docs).select("id_key", "text_key", marked(F.col("text")).alias("words")))
+    rows = own.select("id_key", "text_key", F.posexplode(both_hashes()).alias("doc_at", "either"))
     rows = rows.select("id_key", "text_key", "doc_at", F.explode("either").alias("hash")).join(grams, "hash")
     by_line = rows.groupBy("id_key", "text_key", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("at"))
     pairs = by_line.groupBy("id_key", "text_key", "item").agg(
