@@ -7,9 +7,13 @@ told otherwise.  Blank strings count as missing throughout.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Articles and honorifics that don't tell names apart.
 ARTICLES = ("the", "a", "an", "el", "la", "le", "der", "die")
@@ -37,6 +41,11 @@ AUTHOR_SPLIT = r"\s*(?:,|/|&|and)\s*"
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """What f makes of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -45,64 +54,37 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-def _decomposed() -> dict[str, str]:
-    """What compatibility decomposition leaves of a character in ASCII, where it leaves any."""
-    found = {}
-    for n in range(0x80, 0x10000):
-        if plain := unicodedata.normalize("NFKD", chr(n)).encode("ascii", "ignore").decode() if not 0xD800 <= n < 0xE000 else "":
-            found[chr(n)] = plain
-    return found
+@F.arrow_udf(T.StringType())
+def _folded(c: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(pc.utf8_normalize(c, "NFKD"), r"[^\x00-\x7F]", "")
 
 
-_PLAIN = _decomposed()
-_SINGLE = [c for c, p in _PLAIN.items() if len(p) == 1]
-_SEVERAL = {c: p for c, p in _PLAIN.items() if len(p) > 1}
-_PARTED = "".join(f"\x01{c}\x02{p}" for c, p in _SEVERAL.items())
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _folded_all(c: pa.Array) -> pa.Array:
+    flat = pc.replace_substring_regex(pc.utf8_normalize(c.values, "NFKD"), r"[^\x00-\x7F]", "")
+    return pa.ListArray.from_arrays(c.offsets, flat, mask=c.is_null())
 
 
-def fold(c: Column) -> Column:
-    """Compatibility decomposition, then ASCII alone: letters lose their marks, ligatures part."""
+@F.arrow_udf(T.StringType())
+def _composed(c: pa.Array) -> pa.Array:
+    return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFC", x) for x in c.to_pylist()], pa.string())
 
-    def part(x):
-        at = F.instr(F.lit(_PARTED), F.concat(F.lit("\x01"), x, F.lit("\x02")))
-        return F.when(at > 0, F.split_part(F.substr(F.lit(_PARTED), at + 3), F.lit("\x01"), F.lit(1))).otherwise(x)
 
-    parted = F.array_join(F.transform(F.split(c, ""), part), "")
-    has = c.rlike("[" + "".join(f"\\x{{{ord(x):x}}}" for x in _SEVERAL) + "]")
-    plain = F.translate(F.when(has, parted).otherwise(c), "".join(_SINGLE), "".join(_PLAIN[x] for x in _SINGLE))
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.regexp_replace(plain, r"[^\x00-\x7F]", ""))
+def fold(c: Column) -> Column:
+    """Compatibility decomposition, then ASCII alone: letters lose their marks, ligatures part.
+
+    Normal forms go by tables over all characters, which no built-in has: Arrow's kernels see a batch at a time.
+    """
+    return _folded(c)
 
 
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
 
 
-def _composed() -> dict[str, str]:
-    """Pairs of a letter and a mark, and the one character that composition makes of them."""
-    pairs = {}
-    for n in [*range(0xC0, 0x3100), *range(0xF900, 0x10000)]:
-        parts = unicodedata.normalize("NFD", chr(n))
-        if len(parts) > 1 and unicodedata.normalize("NFC", chr(n)) == chr(n):
-            pairs[unicodedata.normalize("NFC", parts[:-1]) + parts[-1]] = chr(n)
-    return pairs
-
-
-#: Each as a separator, the pair and the character.
-_PAIRS = "".join(f"\x01{pair}{whole}" for pair, whole in _composed().items())
-
-
 def composed(c: Column) -> Column:
-    """Letters and the marks behind them as one character where there is one.
-
-    Marks of several classes in another order than the canonical one aren't sorted first.
-    """
-
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        at = F.instr(F.lit(_PAIRS), F.concat(F.lit("\x01"), last, x))
-        return F.when(x.rlike(r"\p{M}") & (at > 0), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.substr(F.lit(_PAIRS), at + 3, F.lit(1))))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.when(c.rlike(r"\p{M}"), F.array_join(F.aggregate(F.split(c, ""), F.array(F.lit("")), add), "")).otherwise(c)
+    """Letters and the marks behind them as one character where there is one, marks in canonical order first."""
+    return _composed(c)
 
 
 def normalize_title(c: Column) -> Column:
@@ -111,12 +93,24 @@ def normalize_title(c: Column) -> Column:
     return fold(squeeze(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}_{SPACE[1:-1]}-]", "")))
 
 
-def normalize_author(c: Column) -> Column:
+def _plain_author(c: Column) -> Column:
     t = strip(F.lower(c))
     for s in SUFFIXES:
         t = strip(F.regexp_replace(t, s.replace(".", r"\.") + "$", ""))
-    t = fold(t)
-    return F.when(t.contains(","), F.concat_ws(" ", F.trim(F.regexp_extract(t, r"^[^,]*,(.*)$", 1)), F.trim(F.regexp_extract(t, r"^([^,]*),", 1)))).otherwise(t)
+    return t
+
+
+def _first_name_first(c: Column) -> Column:
+    return let(c, lambda t: F.when(t.contains(","), F.concat_ws(" ", F.trim(F.regexp_extract(t, r"^[^,]*,(.*)$", 1)), F.trim(F.regexp_extract(t, r"^([^,]*),", 1)))).otherwise(t))
+
+
+def normalize_author(c: Column) -> Column:
+    return _first_name_first(fold(_plain_author(c)))
+
+
+def normalize_authors(names: Column) -> Column:
+    """Of an array of names: each one's key."""
+    return F.transform(_folded_all(F.transform(names, _plain_author)), _first_name_first)
 
 
 def series_of(c: Column) -> Column:
@@ -168,23 +162,23 @@ def title_case(c: Column) -> Column:
 
 
 def zero_pad(c: Column, width: Column) -> Column:
-    s = c.cast("string")
-    return F.when(F.length(s) < width, F.lpad(s, width, F.lit("0"))).otherwise(s)
+    return let(c.cast("string"), lambda s: F.when(F.length(s) < width, F.lpad(s, width, F.lit("0"))).otherwise(s))
 
 
 def file_name(c: Column, most: int = 255) -> Column:
     """Composed, without forbidden characters, of bounded length; a long name keeps its suffix."""
-    t = F.regexp_replace(composed(c), FORBIDDEN, "_")
-    suffix = F.regexp_extract(t, r"[^.](\.[^.]+)$", 1)
-    stem = F.left(t, F.length(t) - F.length(suffix))
-    room = F.lit(most) - F.length(suffix)
-    return strip(F.when(F.length(t) > most, F.concat(truncate(stem, room), suffix)).otherwise(t))
+
+    def bounded(t):
+        suffix = F.regexp_extract(t, r"[^.](\.[^.]+)$", 1)
+        return F.when(F.length(t) > most, F.concat(truncate(F.left(t, F.length(t) - F.length(suffix)), F.lit(most) - F.length(suffix)), suffix)).otherwise(t)
+
+    return strip(let(F.regexp_replace(composed(c), FORBIDDEN, "_"), bounded))
 
 
 def shorten(c: Column, most: int = 30) -> Column:
     """Whole words up to ``most`` characters; a first word that is longer is cut, a short text stays as it is."""
-    head = F.left(squeeze(c), F.lit(most + 1))
-    return F.when(F.length(c) <= most, c).otherwise(F.coalesce(F.nullif(F.when(F.length(head) <= most, head).otherwise(F.regexp_extract(head, "^(.*) ", 1)), F.lit("")), F.left(c, F.lit(most))))
+    whole = lambda head: F.when(F.length(head) <= most, head).otherwise(F.regexp_extract(head, "^(.*) ", 1))
+    return let(c, lambda t: F.when(F.length(t) <= most, t).otherwise(F.coalesce(F.nullif(let(F.left(squeeze(t), F.lit(most + 1)), whole), F.lit("")), F.left(t, F.lit(most)))))
 
 
 def implausible_person(c: Column) -> Column:
@@ -248,11 +242,16 @@ def track_title(stem: Column) -> Column:
 def truncate(c: Column, most: int | Column) -> Column:
     """Whole words and an ellipsis, or a cut word and one, where a text is too long."""
     most = F.lit(most) if isinstance(most, int) else most
-    words = F.split(strip(c), SPACE + "+")
-    joined = lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
-    fitting = F.size(F.filter(F.sequence(F.lit(1), F.size(words)), lambda n: F.length(joined(n)) + (n == 1).cast("int") <= most - 3))
-    short = F.when(c.contains(" ") & (fitting > 0), F.concat(joined(fitting), F.lit("..."))).otherwise(F.concat(F.left(c, most - 3), F.lit("...")))
-    return F.when(F.length(c) <= most, c).otherwise(short)
+
+    def short(t):
+        def fitting(words):
+            joined = lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+            n = F.size(F.filter(F.sequence(F.lit(1), F.size(words)), lambda n: F.length(joined(n)) + (n == 1).cast("int") <= most - 3))
+            return F.when(n > 0, F.concat(joined(n), F.lit("...")))
+
+        return F.coalesce(F.when(t.contains(" "), let(F.split(strip(t), SPACE + "+"), fitting)), F.concat(F.left(t, most - 3), F.lit("...")))
+
+    return let(c, lambda t: F.when(F.length(t) <= most, t).otherwise(short(t)))
 
 
 def safe_path(c: Column, part: int = 100, most: int = 255) -> Column:

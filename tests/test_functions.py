@@ -1,5 +1,6 @@
 """Pinned values of the name, number and similarity functions."""
 
+import random
 import unicodedata
 
 import pytest
@@ -94,3 +95,29 @@ def test_tags(spark):
     assert fields({"CDEK": "see B099999999, ok"}) == {"asin": "B099999999"} and fields({"WXXX:a": "https://x/pd/b0aaaaaaaa?q"}) == {"asin": "B0AAAAAAAA"}
     assert fields({"TRCK": "none", "TRACKNUMBER": "03/12", "disk": "2", "TPE2": " A ", "TCOM": "R", "ISBN": "978-3-16-148410-0", "TXXX:ISBN": "12"}) == {"track": "03", "disc": "2", "albumartist": "A", "narrator": "R", "isbn": "9783161484100"}
     assert fields({"disc": "9", "track": "3", "isbn": "9783161484100"}) == {}
+
+
+def test_normal_forms_of_every_character(spark):
+    """Composition and folding equal the standard's, alone and behind a base, for all characters that this Python knows."""
+    known = [chr(n) for n in range(1, 0x110000) if not 0xD800 <= n < 0xE000 and unicodedata.category(chr(n)) != "Cn"]
+    rows = ["".join(known[i : i + 64]) for i in range(0, len(known), 64)] + ["".join("e" + c for c in known[i : i + 64]) for i in range(0, len(known), 64)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", X.composed(F.col("t")), X.fold(F.col("t"))).collect()
+    for i, nfc, folded in got:
+        assert nfc == unicodedata.normalize("NFC", rows[i])
+        assert folded == unicodedata.normalize("NFKD", rows[i]).encode("ascii", "ignore").decode()
+
+
+def test_normal_forms_of_marks_in_any_order(spark):
+    rng = random.Random(4)
+    marks = [chr(n) for n in range(0x300, 0x370)] + ["\u1161", "\u11a8", "\u3099", "\u0f71"]
+    bases = ["a", "e", "o", "\u1100", "\uac00", "\u304b", "\u00ea", "x"]
+    texts = ["".join(rng.choice(bases) + "".join(rng.sample(marks, rng.randint(0, 4))) for _ in range(3)) for _ in range(2000)]
+    assert values(spark, X.composed, *texts) == [unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_arrays_of_authors(spark):
+    rows = [(1, ["Müller, Ann Jr.", None, "", "Žižek"]), (2, []), (3, None), (4, ["x"])]
+    df = spark.createDataFrame(rows, "i int, t array<string>").repartition(1)
+    want = {i: None if t is None else [None if n is None else values(spark, X.normalize_author, n)[0] for n in t] for i, t in rows}
+    assert {r["i"]: r["v"] for r in df.select("i", X.normalize_authors(F.col("t")).alias("v")).collect()} == want
+    assert {r["i"]: r["v"] for r in df.filter("i > 1").select("i", X.normalize_authors(F.col("t")).alias("v")).collect()} == {k: v for k, v in want.items() if k > 1}
