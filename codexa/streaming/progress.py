@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
 def latest(events: DataFrame, key: str, at: str, order: str, values: list[str]) -> DataFrame:
@@ -40,7 +42,12 @@ def _versions(spark, place: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
 
-def merge_stream(events: DataFrame, key: str, at: str, order: str, values: list[str], place: str) -> DataFrame:
+def to_end(writer: DataStreamWriter) -> None:
+    """Runs a stream over what its source has now."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def merge_stream(events: DataFrame, key: str, at: str, order: str, values: list[str], place: str, run: Callable[[DataStreamWriter], None] = to_end) -> DataFrame:
     """Runs a stream to its end; its table of each key's newest row.
 
     Every micro-batch writes a version under its number, from the whole version
@@ -55,7 +62,7 @@ def merge_stream(events: DataFrame, key: str, at: str, order: str, values: list[
             rows = merge(spark.read.parquet(f"{place}/version={older[-1]}"), rows, key, at, values).drop("pulled")
         rows.write.mode("overwrite").parquet(f"{place}/version={number}")
 
-    events.writeStream.foreachBatch(step).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    run(events.writeStream.foreachBatch(step).option("checkpointLocation", f"{place}/checkpoint"))
     if not (whole := _versions(spark, place)):
         return latest(spark.createDataFrame([], events.schema), key, at, order, values)
     return spark.read.parquet(f"{place}/version={whole[-1]}")
