@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, let
 
 # The keys under which an object holds what it stands for, first ones first.
 NAMING = ("name", "title", "value", "series")
@@ -48,10 +48,14 @@ def _plain(v: Column) -> Column:
 
 def scalar(v: Column) -> Column:
     """The first text or number that a value holds; null for true, false, null and what holds none."""
-    found = F.array(v)
-    for _ in range(LEVELS):
-        found = _deeper(found)
-    return F.try_element_at(F.filter(F.transform(found, _plain), lambda x: x.isNotNull()), F.lit(1))
+
+    def held(v):
+        found = F.array(v)
+        for _ in range(LEVELS):
+            found = _deeper(found)
+        return F.try_element_at(F.filter(F.transform(found, _plain), lambda x: x.isNotNull()), F.lit(1))
+
+    return let(v, lambda x: F.when(_is(x, "OBJECT") | _is(x, "ARRAY"), held(x)).otherwise(_plain(x)))
 
 
 def strings(v: Column) -> Column:
@@ -67,16 +71,18 @@ def whole(v: Column) -> Column:
 
 def identity(json: Column) -> Column:
     """struct(title, authors, series, series_index, year, language, narrator, publisher, isbn_10, isbn_13, asin, description, cover_urls); null without a title or an object."""
-    v = F.try_parse_json(json)
-    at = lambda key: F.try_variant_get(v, f"$.{FIELDS[key]}", "variant")
-    code = F.regexp_replace(F.upper(scalar(at("isbn"))), "[^0-9X]", "")
-    cover = scalar(at("cover_url"))
-    of_length = lambda n: F.when(F.length(code) == n, code)
-    return F.when(_is(v, "OBJECT") & scalar(at("title")).isNotNull(), F.struct(
-        scalar(at("title")).alias("title"), strings(at("authors")).alias("authors"), *[scalar(at(n)).alias(n) for n in ("series", "series_index")], whole(at("year")).alias("year"),
-        *[scalar(at(n)).alias(n) for n in ("language", "narrator", "publisher")], of_length(10).alias("isbn_10"), of_length(13).alias("isbn_13"),
-        *[scalar(at(n)).alias(n) for n in ("asin", "description")], F.when(cover.isNotNull(), F.array(cover)).otherwise(F.array().cast("array<string>")).alias("cover_urls"),
-    ))
+
+    def made(v):
+        at = lambda key: F.try_variant_get(v, f"$.{FIELDS[key]}", "variant")
+        code = F.regexp_replace(F.upper(scalar(at("isbn"))), "[^0-9X]", "")
+        of_length = lambda n: let(code, lambda c: F.when(F.length(c) == n, c))
+        return F.when(_is(v, "OBJECT"), F.struct(
+            scalar(at("title")).alias("title"), strings(at("authors")).alias("authors"), *[scalar(at(n)).alias(n) for n in ("series", "series_index")], whole(at("year")).alias("year"),
+            *[scalar(at(n)).alias(n) for n in ("language", "narrator", "publisher")], of_length(10).alias("isbn_10"), of_length(13).alias("isbn_13"),
+            *[scalar(at(n)).alias(n) for n in ("asin", "description")], F.array_compact(F.array(scalar(at("cover_url")))).alias("cover_urls"),
+        ))
+
+    return let(let(F.try_parse_json(json), made), lambda i: F.when(i["title"].isNotNull(), i))
 
 
 def document(i: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import YEAR, strip
+from ..functions.text import YEAR, let, strip
 
 # Namespaces, calibre's names, and the schemes that mean a code.
 DC, OPF = "http://purl.org/dc/elements/1.1/", "http://www.idpf.org/2007/opf"
@@ -40,7 +40,13 @@ def identity(xml: Column) -> Column:
     """
     x = F.from_xml(_renamed(_renamed(xml, DC, "dc"), OPF, "opf"), SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
     plain_names = ~F.coalesce(xml.rlike(rf"""xmlns\s*=\s*["']{OPF.replace(".", "[.]")}["']"""), F.lit(False))
-    m = F.coalesce(x["opf:metadata"], x["metadata"])
+    # Read once, and its elements told apart once.
+    usable = let(x, lambda x: F.when(x["__bad"].isNull(), F.coalesce(x["opf:metadata"], x["metadata"])))
+    return let(F.struct(usable.alias("m"), plain_names.alias("bare")), lambda r: F.when(r["m"].isNotNull(), _of_elements(r["m"], r["bare"])))
+
+
+def _of_elements(m: Column, plain_names: Column) -> Column:
+    """The identity of a metadata element; ``plain_names``: its elements without a prefix have no namespace."""
     elements = lambda n: F.coalesce(m[f"dc:{n}"], F.array().cast(_ELEMENT))
     bare = lambda n: F.coalesce(F.when(plain_names, m[n]), F.array().cast(_ELEMENT))
     full = lambda found: F.filter(found, lambda e: F.coalesce(e["_VALUE"] != "", F.lit(False)))
@@ -58,4 +64,4 @@ def identity(xml: Column) -> Column:
         F.regexp_extract(text["date"], YEAR, 1).try_cast("int").alias("year"), text["language"].alias("language"), said("narrator").alias("narrator"), text["publisher"].alias("publisher"), isbn(10).alias("isbn_10"), isbn(13).alias("isbn_13"),
         F.try_element_at(F.transform(F.filter(codes, lambda c: c["scheme"] == ASIN_SCHEME), lambda c: c["code"]), F.lit(-1)).alias("asin"), text["description"].alias("description"),
     )
-    return F.when(x["__bad"].isNull() & F.coalesce(text["title"] != "", F.lit(False)), made)
+    return F.when(F.coalesce(text["title"] != "", F.lit(False)), made)
