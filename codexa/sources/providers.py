@@ -125,12 +125,13 @@ def completeness(isbn_13: Column, date: Column, *others: Column) -> Column:
 
 
 def product_page(df: DataFrame, json: str, asked: Column) -> DataFrame:
-    """A record asked for by code: the code asked is the one it has."""
+    """A record asked for by code: the code asked is the one it has; its covers from large to small, and its address."""
     v = F.try_parse_json(json)
     codes = F.array(asked)
     title = text(v, "$.title")
     return _shape(
         df, title=title, authors=names(v, "$.authors", "name"), year=F.regexp_extract(text(v, "$.publish_date"), YEAR, 1).try_cast("int"),
+        external_id=text(v, "$.url"), cover_urls=F.array_compact(F.array(*[text(v, f"$.cover.{size}") for size in ("large", "medium", "small")])),
         publisher=F.try_element_at(names(v, "$.publishers", "name"), F.lit(1)), isbn_10=F.when(title.isNotNull(), isbn(codes, 10)), isbn_13=F.when(title.isNotNull(), isbn(codes, 13)),
     )
 
