@@ -20,12 +20,19 @@ def _moves(spark, d):
     return o.select(F.col("o_custkey").alias("plan"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("/lib/"), "o_orderpriority", F.lit("/"), s).alias("old_path"), new.alias("new_path"), F.concat(F.lit("loses to "), "o_orderpriority").alias("reason"))
 
 
-@query("""
-SELECT page_id, page_id % 3 = 1 AS escapes FROM pages""")
+#: Parts of the paths that are followed.
+_PARTS = ("a", "..", ".", "", "x..y", "..", "lib", "...")
+
+
+@query(f"""
+WITH p AS (SELECT page_id, list_concat(['lib'], list_transform(range(5), lambda i: {list(_PARTS)}[CAST(page_id // CAST(pow({len(_PARTS)}, i) AS BIGINT) % {len(_PARTS)} + 1 AS INTEGER)])) AS parts FROM pages),
+r AS (SELECT page_id, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(parts, lambda x: [x])), lambda acc, x: CASE WHEN x[1] IN ('', '.') THEN acc WHEN x[1] = '..' THEN acc[1:len(acc) - 1] ELSE list_concat(acc, x) END) AS way FROM p)
+SELECT page_id, coalesce(way[1], '') <> 'lib' AS escapes FROM r""")
 def path_escape(spark, d):
-    """paths that lead out of the root once followed."""
-    k = F.col("page_id") % 3
-    path = F.when(k == 0, "/lib/a/../b/./c").when(k == 1, "/lib/a/../../etc/c").otherwise("/lib/x..y/c")
+    """paths that lead out of the root once followed, of five parts in all orders."""
+    base = len(_PARTS)
+    part = lambda i: F.get(F.array(*[F.lit(x) for x in _PARTS]), F.floor(F.col("page_id") / base**i).cast("int") % base)
+    path = F.concat_ws("/", F.lit("/lib"), *[part(i) for i in range(5)])
     return table(spark, d, "pages").select("page_id", planning.escapes(path, "/lib").alias("escapes"))
 
 

@@ -7,6 +7,7 @@ sets, documents are files, pages have paths, events are progress and history.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -681,20 +682,49 @@ def runtime_parse(spark, d):
     return table(spark, d, "part").select("p_partkey", X.runtime_minutes(text).alias("minutes"))
 
 
-@query("""SELECT p_partkey, p_size AS track_no, p_partkey % 9 + 1 AS disc_no, p_brand AS author, p_name AS title FROM part""")
+def _sql_int(c, *patterns):
+    return "coalesce(" + ", ".join(f"TRY_CAST(nullif(regexp_extract({c}, '{p}', 1), '') AS INTEGER)" for p in patterns) + ")"
+
+
+#: Names in all the ways that a track, a disc and a folder are called; {n} is a number, {b} and {t} are names.
+_STEMS = ("{n} - Chapter", "Track {n}", "chapter{n} of 9", "Part {n}", "x {n}. y", "no number", "1234", "")
+_DISCS = ("Disc {n}", "cd{n}", "BOOK {n}", "vol. {n}", "Disc {n} b", "Disc-{n}", "disc", "volume {n}")
+_NAMES = ("{b} - {t} (Unabridged) [64k]", "[x] {b} – {t}", "{t}", "{b}-{t} - more", " - {t}", "{b} — ", "({b}) {t} - [y]{b}", "")
+
+
+def _sql_shape(shapes, shift):
+    one = lambda s: " || ".join(["''", *[{"n": "p_size", "b": "p_brand", "t": "p_name"}.get(x, "'" + x + "'") for x in re.split(r"[{}]", s) if x]])
+    return f"CASE (p_partkey + {shift}) % {len(shapes)} " + " ".join(f"WHEN {i} THEN {one(s)}" for i, s in enumerate(shapes)) + " END"
+
+
+def _shape(shapes, shift):
+    cols = {"n": F.col("p_size").cast("string"), "b": F.col("p_brand"), "t": F.col("p_name")}
+    found = F.lit(None).cast("string")
+    for i, s in enumerate(shapes):
+        text = F.concat(F.lit(""), *[cols.get(x, F.lit(x)) for x in re.split(r"[{}]", s) if x])
+        found = F.when((F.col("p_partkey") + shift) % len(shapes) == i, text).otherwise(found)
+    return found
+
+
+@query(rf"""
+WITH s AS (SELECT p_partkey, {_sql_shape(_STEMS, 0)} AS stem, {_sql_shape(_DISCS, 3)} AS folder, trim(regexp_replace(regexp_replace({_sql_shape(_NAMES, 5)}, '\s*\[.*?\]\s*', '', 'g'), '\s*\(.*?\)\s*', '', 'g')) AS name FROM part)
+SELECT p_partkey, {_sql_int("stem", *X.TRACK_PATTERNS)} AS track_no, CAST({_sql_int("folder", X.DISC_PATTERN)} AS BIGINT) AS disc_no,
+  nullif(trim(regexp_extract(name, '^(.+?)\s*[-–—]\s*(.+)$', 1)), '') AS author, nullif(trim(regexp_extract(name, '^(.+?)\s*[-–—]\s*(.+)$', 2)), '') AS title FROM s""")
 def name_guess(spark, d):
-    """P-S7, P-S8, P-S11, P-S12, P-S14: numbers and names in file names."""
-    p = table(spark, d, "part")
-    stem = F.concat(F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit(" - Chapter"))
-    folder = F.concat(F.lit("Disc "), (F.col("p_partkey") % 9 + 1).cast("string"))
-    name = X.clean_noise(F.concat("p_brand", F.lit(" - "), "p_name", F.lit(" (Unabridged) [64k]")))
-    return p.select("p_partkey", X.first_int(stem, *X.TRACK_PATTERNS).alias("track_no"), X.first_int(folder, X.DISC_PATTERN).cast("long").alias("disc_no"), X.split_dash(name, 1).alias("author"), X.split_dash(name, 2).alias("title"))
+    """P-S7, P-S8, P-S11, P-S12, P-S14: numbers and names in file and folder names of many shapes."""
+    name = X.clean_noise(_shape(_NAMES, 5))
+    return table(spark, d, "part").select("p_partkey", X.first_int(_shape(_STEMS, 0), *X.TRACK_PATTERNS).alias("track_no"), X.first_int(_shape(_DISCS, 3), X.DISC_PATTERN).cast("long").alias("disc_no"), X.split_dash(name, 1).alias("author"), X.split_dash(name, 2).alias("title"))
+
+
+_PEOPLE = ("{b}", "AB {n}", "{n}", "{n} 4 b", "Bo", "Ann Lee {n}", "", "Q", "ABCDE 1", "x{n}{n}{n}", "  Jo ", "Ann-Marie")
 
 
-@query("""SELECT DISTINCT p_brand, length(regexp_replace(p_brand, '[^0-9]', '', 'g')) * 2 > length(p_brand) OR (NOT contains(p_brand, ' ') AND length(p_brand) <= 3) AS implausible FROM part""")
+@query(rf"""
+WITH n AS (SELECT p_partkey, trim({_sql_shape(_PEOPLE, 0)}) AS t FROM part)
+SELECT p_partkey, t <> '' AND (regexp_matches(t, '{X.CODE_NAME}') OR length(regexp_replace(t, '[^0-9]', '', 'g')) * 2 > length(regexp_replace(t, '\s', '', 'g')) OR (NOT regexp_matches(t, '\s') AND length(t) <= 3)) AS implausible FROM n""")
 def implausible_authors(spark, d):
-    """What can't be a person's name."""
-    return table(spark, d, "part").select("p_brand").distinct().select("p_brand", X.implausible_person(F.col("p_brand")).alias("implausible"))
+    """What can't be a person's name: codes, mostly digits, short single words."""
+    return table(spark, d, "part").select("p_partkey", X.implausible_person(_shape(_PEOPLE, 0)).alias("implausible"))
 
 
 @query("""
@@ -713,12 +743,28 @@ def json_coerce(spark, d):
     return e.select("event_id", sidecars.loose_text(F.col("props"), "$.k").alias("k"), sidecars.loose_text(F.col("props"), "$.missing").alias("missing"))
 
 
-@query("""SELECT o_orderkey, o_orderstatus AS title, o_orderpriority AS asin FROM orders""")
+_NFO = (
+    "Title: draft\nASIN=@p\nno pair here\ntitle : @s", "TITLE = x : @s\r\nAsin:@p\r\n", "  title :\nasin= @p = y", "1title: no\nTitle:@s\n\nreal asin: @p", "no pairs\n= nothing\n: none", "title=@s\ntitle:\nasin :@p\nASIN:  ", "",
+)
+
+
+def _sql_lines(s):
+    return "'" + s.replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '").replace("@p", "' || o_orderpriority || '").replace("@s", "' || o_orderstatus || '") + "'"
+
+
+@query(rf"""
+WITH t AS (SELECT o_orderkey, CASE o_orderkey % {len(_NFO)} {' '.join(f"WHEN {i} THEN {_sql_lines(s)}" for i, s in enumerate(_NFO))} END AS t FROM orders),
+l AS (SELECT o_orderkey, list_filter(string_split_regex(t, '\r?\n'), lambda x: regexp_matches(x, '^\s*[A-Za-z][\w ]*\s*[:=]')) AS lines FROM t),
+p AS (SELECT o_orderkey, list_transform(lines, lambda x: lower(trim(regexp_extract(x, '^\s*([^:=]+)[:=]', 1)))) AS k, list_transform(lines, lambda x: trim(regexp_extract(x, '^[^:=]+[:=](.*)$', 1))) AS v FROM l)
+SELECT o_orderkey, v[list_max(list_filter(range(1, len(k) + 1), lambda i: k[i] = 'title'))] AS title, v[list_max(list_filter(range(1, len(k) + 1), lambda i: k[i] = 'asin'))] AS asin FROM p""")
 def nfo_fields(spark, d):
-    """Key and value lines, the last of a key wins."""
-    text = F.concat(F.lit("Title: draft\nASIN="), "o_orderpriority", F.lit("\nno pair here\ntitle : "), "o_orderstatus")
-    m = sidecars.key_values(text)
-    return table(spark, d, "orders").select("o_orderkey", F.try_element_at(m, F.lit("title")).alias("title"), F.try_element_at(m, F.lit("asin")).alias("asin"))
+    """Key and value lines of several shapes, the last of a key wins."""
+    text = F.lit(None).cast("string")
+    for i, s in enumerate(_NFO):
+        parts = [{"p": F.col("o_orderpriority"), "s": F.col("o_orderstatus")}.get(x[1:]) if x in ("@p", "@s") else F.lit(x) for x in re.split("(@[ps])", s) if x]
+        text = F.when(F.col("o_orderkey") % len(_NFO) == i, F.concat(F.lit(""), *parts)).otherwise(text)
+    m = sidecars.key_values(F.col("t"))
+    return table(spark, d, "orders").select("o_orderkey", text.alias("t")).select("o_orderkey", F.try_element_at(m, F.lit("title")).alias("title"), F.try_element_at(m, F.lit("asin")).alias("asin"))
 
 
 @query("""SELECT p_partkey, '{"title":"' || p_name || '"' || CASE WHEN p_size > 25 THEN ',"series":"' || p_brand || '"' ELSE '' END || '}' AS doc FROM part""")

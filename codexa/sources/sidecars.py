@@ -19,7 +19,7 @@ def key_values(text: Column) -> Column:
 def cue_tracks(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, ord, title, start_ms) of each INDEX 01 of a cue sheet."""
     tracks = F.split(F.col(text), r"(?m)^\s*TRACK\s+")
-    parts = df.select(key, F.posexplode(F.slice(tracks, 2, 100000)).alias("ord", "body"))
+    parts = df.select(key, F.posexplode(F.filter(tracks, lambda _, i: i > 0)).alias("ord", "body"))
     at = r"INDEX\s+01\s+(\d+):(\d+):(\d+)"
     n = [F.regexp_extract("body", at, i).try_cast("long") for i in (1, 2, 3)]
     start = n[0] * 60000 + n[1] * 1000 + F.floor(n[2] * 1000 / 75)
