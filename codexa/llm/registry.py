@@ -15,6 +15,7 @@ QUERIES = {
         langid.op6_langid,
         secrets.op7_secrets,
         sharding.op8_shard,
+        sharding.small_shards,
         suffixes.op9_suffix_array,
         quality.op10_quality,
         maintext.op11_main_text,
@@ -23,4 +24,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_recompression": recompression.ORACLE_SQL, "op4_decontaminate": decontam.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op8_shard": sharding.ORACLE_SQL, "op12_centroids": centroids.ORACLE_SQL, "op13_repair_turns": turns.ORACLE_SQL}
+ORACLE_SQL = {"op1_recompression": recompression.ORACLE_SQL, "op4_decontaminate": decontam.ORACLE_SQL, "op5_mix_sources": mixing.ORACLE_SQL, "op8_shard": sharding.ORACLE_SQL, "small_shards": sharding.SMALL_SQL, "op12_centroids": centroids.ORACLE_SQL, "op13_repair_turns": turns.ORACLE_SQL}

@@ -36,7 +36,12 @@ MAX_BITS = 256
 BROADCAST_BUCKETS = 200_000
 ADDED = ("shard", "shard_bytes", "oversized")
 
-ORACLE_SQL = f"""
+#: A limit that the smallest tables exceed many times over.
+SMALL_BYTES = 64 * 1024
+
+
+def _sql(limit: int) -> str:
+    return f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS UBIGINT) AS h
@@ -45,14 +50,17 @@ p AS (SELECT doc_id, bytes, l.n AS len, h >> (32 - l.n) AS v FROM d, (SELECT unn
 s AS (SELECT len, v, sum(bytes) AS shard_bytes, count(*) AS n FROM p GROUP BY len, v),
 f AS (SELECT p.doc_id, p.bytes, p.len, p.v, s.shard_bytes,
              row_number() OVER (PARTITION BY p.doc_id ORDER BY p.len) AS k
-      FROM p JOIN s USING (len, v) WHERE s.shard_bytes <= {LIMIT_BYTES} OR s.n = 1)
+      FROM p JOIN s USING (len, v) WHERE s.shard_bytes <= {limit} OR s.n = 1)
 SELECT doc_id, CAST(bytes AS BIGINT) AS bytes,
        's' || CASE WHEN len = 0 THEN '' ELSE lpad(bin(v), CAST(len AS INTEGER), '0') END AS shard,
-       CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_bytes > {LIMIT_BYTES} AS oversized
+       CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_bytes > {limit} AS oversized
 FROM f WHERE k = 1
 """
 
 
+ORACLE_SQL, SMALL_SQL = _sql(LIMIT_BYTES), _sql(SMALL_BYTES)
+
+
 def _hex(doc_id: Column, text: Column) -> Column:
     return F.concat(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
@@ -146,6 +154,12 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(docs.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).drop("text")
 
 
+def small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with a limit that makes it split often."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return shard(docs.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), SMALL_BYTES).drop("text")
+
+
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard(docs)
 
