@@ -159,14 +159,19 @@ def tag_fields(tags: Column) -> dict[str, Column]:
     return found | {"asin": F.coalesce(found["asin"], F.try_element_at(codes, F.lit(1)))}
 
 
+#: Columns of a listing that tell of a file's sound, beside its duration.
+PROPERTIES = ("bitrate", "channels", "sample_rate")
+
+
 def track_rows(files: DataFrame) -> DataFrame:
-    """Tracks from (path, tags, duration); a file without a usable listing is an ERROR row of index 999."""
+    """Tracks from (path, tags, duration) and what else is known of the sound; a file without a usable listing is an ERROR row of index 999."""
     t = F.col("tags")
     df = files.withColumns(tag_fields(t))
     bad = t.isNull() | F.col("duration").isNull() | (F.col("duration") < 0)
     index = F.when(bad, 999).otherwise(track_number(F.col("path"), F.col("track")))
     disc = F.when(bad, 1).otherwise(disc_number(F.col("path"), F.col("disc"), F.col("album")))
-    return df.withColumns({"track_index": index, "disc_index": disc, "status": F.when(bad, "error").otherwise("valid")})
+    sound = {c: F.when(~bad & (F.col(c) > 0), F.col(c)).cast("int") for c in PROPERTIES if c in files.columns}
+    return df.withColumns({"track_index": index, "disc_index": disc, "status": F.when(bad, "error").otherwise("valid"), **sound})
 
 
 def guesses(root: Column, collapsed: Column, n_tracks: Column, album: Column, artist: Column, stem: Column) -> Column:

@@ -15,6 +15,25 @@ def order_issues(df: DataFrame, key: str, index: str) -> DataFrame:
     return g.select(key, F.col("n").cast("long").alias("n"), (F.col("distinct_n") < F.col("n")).alias("has_duplicates"), F.concat_ws(",", F.transform("missing", lambda x: x.cast("string"))).alias("missing"))
 
 
+# What is said of a disc's numbering.
+GAPS, TWICE = "Disc {} has gaps in track numbering: {}", "Disc {} has duplicate track numbers: {}"
+
+
+def numbering_warnings(df: DataFrame, key: str, disc: str, index: str) -> DataFrame:
+    """(key, warnings): of each disc in order, numbers that aren't 1 to n, and all that stand more than once; sets without any have none.
+
+    A disc's numbers are gathered, some hundreds at most.
+    """
+    g = df.groupBy(key, F.col(disc).alias("disc")).agg(F.array_sort(F.collect_list(index)).alias("have"))
+    n = F.size("have")
+    shown = lambda xs: F.concat(F.lit("["), F.array_join(F.transform(xs, lambda x: x.cast("string")), ", "), F.lit("]"))
+    said = lambda form, xs: F.concat(F.lit(form.split("{}")[0]), F.col("disc").cast("string"), F.lit(form.split("{}")[1]), shown(xs))
+    twice = F.filter("have", lambda x: F.size(F.filter("have", lambda y: y == x)) > 1)
+    gaps = F.when((n > 1) & (F.col("have") != F.transform(F.sequence(F.lit(1), n), lambda i: i.cast(dict(df.dtypes)[index]))), said(GAPS, F.col("have")))
+    g = g.select(key, "disc", F.array_compact(F.array(gaps, F.when(F.size(twice) > 0, said(TWICE, twice)))).alias("said"))
+    return g.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("disc", "said"))), lambda x: x["said"])).alias("warnings"))
+
+
 def totals(df: DataFrame, key: str, duration: str, disc: str) -> DataFrame:
     """Tracks, discs (one at least) and duration (null if none) of each set."""
     return df.groupBy(key).agg(F.count("*").alias("n_tracks"), F.greatest(F.count_distinct(disc), F.lit(1)).alias("n_discs"), F.nullif(F.sum(duration), F.lit(0)).alias("duration"))

@@ -137,3 +137,29 @@ def name_parts(spark, d):
         X.asin_in(F.concat(F.lit("see b0"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit(" there"))).alias("asin"), a["stem"].alias("album_stem"), a["disc"].alias("album_disc"),
         X.truncate(long, 30).alias("cut"), (X.safe_path(F.concat(F.lit(" a?b /"), "p_brand")) == F.concat(F.lit("a_b/"), "p_brand")).alias("ok"),
     )
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, l_suppkey % 2 + 1 AS disc, l_linenumber - CASE WHEN l_orderkey % 3 = 0 AND l_linenumber > 2 THEN 1 ELSE 0 END AS n FROM lineitem),
+d AS (SELECT l_orderkey, disc, list_sort(list(n)) AS have, len(list(n)) AS k FROM t GROUP BY ALL), w AS (SELECT *, list_filter(have, lambda x: len(list_filter(have, lambda y: y = x)) > 1) AS twice FROM d),
+s AS (SELECT l_orderkey, disc, list_filter([CASE WHEN k > 1 AND have <> range(1, k + 1) THEN 'Disc ' || disc || ' has gaps in track numbering: [' || array_to_string(have, ', ') || ']' END,
+  CASE WHEN len(twice) > 0 THEN 'Disc ' || disc || ' has duplicate track numbers: [' || array_to_string(twice, ', ') || ']' END], lambda x: x IS NOT NULL) AS said FROM w)
+SELECT l_orderkey, array_to_string(flatten(list(said ORDER BY disc)), '; ') AS warnings FROM s GROUP BY l_orderkey""")
+def set_warnings(spark, d):
+    """What a set's discs say of their numbering."""
+    from ..operators import tracks
+
+    n = F.col("l_linenumber") - F.when((F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") > 2), 1).otherwise(0)
+    t = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 2 + 1).alias("disc"), n.alias("n"))
+    return tracks.numbering_warnings(t, "l_orderkey", "disc", "n").select("l_orderkey", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN ok AND p_size % 5 > 0 THEN CAST(p_size * 1000 AS INTEGER) END AS bitrate, CASE WHEN ok AND p_size % 3 > 0 THEN CAST(p_size % 3 AS INTEGER) END AS channels, CASE WHEN ok THEN 44100 END AS sample_rate, CASE WHEN ok THEN 'valid' ELSE 'error' END AS status
+FROM (SELECT *, p_partkey % 11 > 0 AND p_partkey % 7 > 0 AS ok FROM part)""")
+def track_properties(spark, d):
+    """Bitrate, channels and sampling rate of a listing; unknown and error rows have none."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    tags = F.when(k % 7 > 0, F.create_map(F.lit("TIT2"), F.col("p_name")))
+    f = p.select("p_partkey", F.lit("Lib/x.mp3").alias("path"), tags.alias("tags"), F.when(k % 11 > 0, 60.0).alias("duration"), (F.col("p_size") * F.when(F.col("p_size") % 5 > 0, 1000).otherwise(0)).alias("bitrate"), (F.col("p_size") % 3).alias("channels"), F.lit(44100).alias("sample_rate"))
+    return scanning.track_rows(f).select("p_partkey", "bitrate", "channels", "sample_rate", "status")
