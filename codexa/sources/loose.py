@@ -15,6 +15,8 @@ from ..functions.text import blank_to_null, let
 
 # The keys under which an object holds what it stands for, first ones first.
 NAMING = ("name", "title", "value", "series")
+#: The first whole number of a text.
+WHOLE = r"-?\d+"
 #: Levels of objects and lists that a value may lie under.
 LEVELS = 6
 #: Fields of an identity by the key of a sidecar, and how each is read.
@@ -64,25 +66,28 @@ def strings(v: Column) -> Column:
     return F.filter(F.transform(each, scalar), lambda x: x.isNotNull())
 
 
-def whole(v: Column) -> Column:
-    """The first whole number in a value."""
-    return F.nullif(F.regexp_extract(scalar(v), r"-?\d+", 0), F.lit("")).try_cast("long")
-
-
 def identity(json: Column) -> Column:
     """struct(title, authors, series, series_index, year, language, narrator, publisher, isbn_10, isbn_13, asin, description, cover_urls); null without a title or an object."""
 
-    def made(v):
+    keys = [k for k in FIELDS if k != "authors"]
+    none = F.array().cast("array<string>")
+
+    def read(v):
+        """Each field's value, all by one expression, and the list of authors."""
         at = lambda key: F.try_variant_get(v, f"$.{FIELDS[key]}", "variant")
-        code = F.regexp_replace(F.upper(scalar(at("isbn"))), "[^0-9X]", "")
-        of_length = lambda n: let(code, lambda c: F.when(F.length(c) == n, c))
-        return F.when(_is(v, "OBJECT"), F.struct(
-            scalar(at("title")).alias("title"), strings(at("authors")).alias("authors"), *[scalar(at(n)).alias(n) for n in ("series", "series_index")], whole(at("year")).alias("year"),
-            *[scalar(at(n)).alias(n) for n in ("language", "narrator", "publisher")], of_length(10).alias("isbn_10"), of_length(13).alias("isbn_13"),
-            *[scalar(at(n)).alias(n) for n in ("asin", "description")], F.array_compact(F.array(scalar(at("cover_url")))).alias("cover_urls"),
-        ))
-
-    return let(let(F.try_parse_json(json), made), lambda i: F.when(i["title"].isNotNull(), i))
+        return F.struct(F.transform(F.array(*[at(k) for k in keys]), scalar).alias("one"), strings(at("authors")).alias("authors"))
+
+    def made(found):
+        get = lambda key: found["one"][keys.index(key)]
+        code = F.regexp_replace(F.upper(get("isbn")), "[^0-9X]", "")
+        year = F.nullif(F.regexp_extract(get("year"), WHOLE, 0), F.lit("")).try_cast("long")
+        return F.struct(
+            get("title").alias("title"), found["authors"].alias("authors"), *[get(n).alias(n) for n in ("series", "series_index")], year.alias("year"), *[get(n).alias(n) for n in ("language", "narrator", "publisher")],
+            *[F.when(F.length(code) == n, code).alias(f"isbn_{n}") for n in (10, 13)], *[get(n).alias(n) for n in ("asin", "description")], F.coalesce(F.array_compact(F.array(get("cover_url"))), none).alias("cover_urls"),
+        )
+
+    known = let(F.try_parse_json(json), lambda v: F.when(_is(v, "OBJECT"), read(v)))
+    return let(known, lambda found: F.when(found["one"][0].isNotNull(), made(found)))
 
 
 def document(i: Column) -> Column:
