@@ -34,7 +34,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,8 @@ FAR = 17
 #: Radii of the segments that 64 bits may be divided into; the sum of (r + 1) is RADIUS + 1, or for either half of 128 (FAR + 1) / 2.
 LAYOUTS = {RADIUS: ((0, 0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0), (2, 1)), FAR: ((1, 1, 1, 1, 0), (2, 1, 1, 1), (2, 2, 2), (4, 3))}
 NO_ID = (1 << 63) - 1
+#: Fingerprints with one segment value that are compared with each other without looking at their other bits.
+HOT_LIST = 4096
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -156,12 +158,48 @@ def links(prints: DataFrame, parts, reach: int = RADIUS) -> tuple[DataFrame, Dat
     tied = components(ties)
     node = prints.join(tied.withColumnRenamed("node", "tied"), F.col("node") == F.col("tied"), "left").select("node", "fp", "fp2", F.coalesce("root", "node").alias("class"))
     node = cut(node)
-    side = lambda n, which: node.select(*[F.col(c).alias(f"{n}_{c}") for c in node.columns], F.explode(_around(parts, which)).alias("q")).select("*", "q.*").drop("q")
-    asked, table = side("a", 3), side("b", 4)
-    # Each asks and is listed, so of a pair either finds the other.
-    near = (F.col("a_class") != F.col("b_class")) & _close("a_", "b_", reach)
-    found = asked.join(table, (asked["k"] == table["k"]) & (asked["value"] == table["value"]) & near)
-    return tied, cut(found.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct())
+    return tied, cut(_met(node, parts, reach, hot_lists(index) if reach == RADIUS else None))
+
+
+def hot_lists(index: DataFrame) -> DataFrame | None:
+    """(k, value) of the segment values that more than HOT_LIST fingerprints have; None without any."""
+    hot = cut(index.groupBy("k", "value").count().filter(F.col("count") > HOT_LIST).select("k", "value"))
+    return None if hot.isEmpty() else hot
+
+
+def _pieces(parts) -> Column:
+    """Of a row with k: RADIUS + 1 pieces of the bits outside that segment, each with its number; two that are linked share one."""
+
+    def of(part):
+        half, at, width, *_ = part
+        rest = F.shiftleft(F.shiftrightunsigned(half, at + width), at) if at + width < 64 else F.lit(0).cast("long")
+        rest = rest.bitwiseOR(F.col(half).bitwiseAND(F.lit((1 << at) - 1)))
+        edges = [(64 - width) * i // (RADIUS + 1) for i in range(RADIUS + 2)]
+        return F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned(rest, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for j, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+
+    return F.get(F.array(*[of(p) for p in parts]), F.col("k"))
+
+
+def _met(node: DataFrame, parts, reach: int, hot: DataFrame | None) -> DataFrame:
+    """Links (a, b) between classes of a (node, fp, fp2, class) table.
+
+    In lists that many share, only those are compared that share a piece of their other
+    bits too, as a pair within RADIUS must.
+    """
+    rows = lambda which: node.select("*", F.explode(_around(parts, which)).alias("q")).select("*", "q.*").drop("q")
+
+    def joined(asked, table, keys):
+        a, b = (df.toDF(*[c if c in keys else f"{n}_{c}" for c in df.columns]) for n, df in (("a", asked), ("b", table)))
+        # Each asks and is listed, so of a pair either finds the other.
+        near = (F.col("a_class") != F.col("b_class")) & _close("a_", "b_", reach)
+        return a.join(b, keys).filter(near).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
+
+    asked, table = rows(3), rows(4)
+    if hot is None:
+        return joined(asked, table, ["k", "value"]).distinct()
+    cold = [df.join(hot, ["k", "value"], "left_anti") for df in (asked, table)]
+    fine = [df.join(hot, ["k", "value"], "left_semi").select("*", F.explode(_pieces(parts)).alias("p")).select("*", "p.*").drop("p") for df in (asked, table)]
+    return joined(*cold, ["k", "value"]).unionByName(joined(*fine, ["k", "value", "j", "bits"])).distinct()
 
 
 def classes(prints: DataFrame, parts=None, reach: int = RADIUS) -> DataFrame:

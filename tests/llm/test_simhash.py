@@ -66,6 +66,27 @@ def test_segments_meet_every_close_pair(spark, n):
     assert got == {signed[i]: want[i] for i in ids}
 
 
+def test_one_segment_value_of_very_many(spark, monkeypatch):
+    """All fingerprints share a segment's bits: finer keys find the same links, in far fewer comparisons."""
+    import random
+
+    monkeypatch.setattr(simhash, "HOT_LIST", 50)
+    rng = random.Random(11)
+    for shared in (0, 16, 48):
+        mask = ((1 << 16) - 1) << shared
+        fps = {rng.getrandbits(64) & ~mask | 0xBEEF << shared for _ in range(300)}
+        for f in rng.sample(sorted(fps), 120):
+            fps.add(f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))))
+        signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+        df = spark.createDataFrame([(i, f) for i, f in enumerate(signed)], "doc_id long, fp long")
+        ids = range(len(signed))
+        links = [(i, j) for i in ids for j in range(i + 1, len(signed)) if ((signed[i] ^ signed[j]) & (1 << 64) - 1).bit_count() <= 4]
+        want = corpus.components(links, ids)
+        for n in (60_000, 10**9):
+            got = {r["fp"]: r["component_id"] for r in simhash.classes(df, simhash.segments(n)).collect()}
+            assert got == {signed[i]: want[i] for i in ids}
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = dict(components(links).collect())
