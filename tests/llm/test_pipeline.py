@@ -5,7 +5,7 @@ import re
 import corpus
 import corpus_pipeline
 import numpy as np
-from codexa.llm import decontam, mixing, toxicity
+from codexa.llm import decontam, mixing, sharding, toxicity
 from test_learned import naive_features
 from test_mixing import brute_targets
 from test_sharding import brute
@@ -43,30 +43,40 @@ def naive_words(text):
 
 
 def naive_leak(text, item):
-    """Whether a text holds an item: both templates, every diagonal."""
-    doc, slot = naive_words(text), lambda w: w[0] if w < "\x04" else w
+    """Whether a text holds an item: both templates, every diagonal, words as evidence, values one to one."""
+    doc, is_slot = naive_words(text), lambda w: w < "\x04"
     bare = [w.removeprefix("\x03") for w in doc]
+
+    def wins(ws):
+        told = lambda part: tuple(part) if all(map(is_slot, part)) else tuple(w[0] if is_slot(w) else w for w in part)
+        return [told(ws[i : i + 5]) for i in range(len(ws) - 4)] if len(ws) >= 5 else [("few", *told(ws))] if ws else []
+
     for asked in (naive_words(item), [w.removeprefix("\x03") for w in naive_words(item)]):
-        wins = lambda ws: [tuple(map(slot, ws[i : i + 5])) for i in range(len(ws) - 4)] if len(ws) >= 5 else [("few", *map(slot, ws))] if ws else []
         own, other, lines = wins(doc), wins(bare), {}
         for i, w in enumerate(wins(asked)):
             for k, pair in enumerate(zip(own, other, strict=True)):
                 if w in pair:
                     lines.setdefault(k - i, set()).add(i)
         n = len(wins(asked))
-        if not lines or len(set.union(*lines.values())) < 0.8 * n:
+        matched = set().union(*lines.values())
+        if not lines or len(matched) < 0.8 * n:
             continue
+        literal = sum(not is_slot(w) and any(a <= k < a + 5 for a in matched) for k, w in enumerate(asked))
         fits = {}
         for shift, at in lines.items():
-            pairs = {(a, doc[k + shift]) for k, a in enumerate(asked) if a < "\x04" and 0 <= k + shift < len(doc) and doc[k + shift][0] == a[0]}
-            if len({a for a, _ in pairs}) == len(pairs):
-                fits[shift] = at
-        if fits and (max(map(len, fits.values())) == max(map(len, lines.values())) or len(set.union(*fits.values())) >= 0.8 * n):
+            pairs = {(a, doc[k + shift]) for k, a in enumerate(asked) if is_slot(a) and 0 <= k + shift < len(doc) and doc[k + shift][0] == a[0]}
+            if len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs}):
+                fits[shift] = (at, sum(a != b for a, b in pairs))
+        if not fits:
+            continue
+        best = min(fits, key=lambda x: (-len(fits[x][0]), x))
+        whole = len(fits[best][0]) == max(map(len, lines.values())) or len(set().union(*(at for at, _ in fits.values()))) >= 0.8 * n
+        if whole and (not fits[best][1] or literal >= 5):
             return True
     return False
 
 
-def test_against_brute_force(spark, tmp_path):
+def test_against_brute_force(spark, tmp_path, monkeypatch):
     """Every stage's naive version on the rows that the one before it left; learned weights are taken over."""
     rng = random.Random(12)
     text = lambda n=40: " ".join(corpus.words(rng, n))
@@ -101,7 +111,9 @@ def test_against_brute_force(spark, tmp_path):
             due = 2 * min(size(r), max(0, left)) >= size(r) > 0
             left -= size(r)
             mixed += [r] * (whole + due if size(r) else max(1, whole))
-    # The limit is far above: all is one shard, as brute force has it too.
-    want = sorted((mixed[i][0], *v) for i, v in brute(mixed, 16 * 2**20).items())
+    # A limit that splits; the stage's own is far above so few texts.
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:-1], ("shard", lambda s, rest, path: sharding.shard(rest, 4000))])
+    want = sorted((mixed[i][0], *v) for i, v in brute(mixed, 4000).items())
+    assert len({w[1] for w in want}) > 5
     out = corpus_pipeline.run(spark, path)
     assert sorted((r["doc_id"], r["shard"], r["shard_bytes"], r["oversized"]) for r in out.collect()) == want
