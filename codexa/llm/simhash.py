@@ -29,6 +29,7 @@ don't matter.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -39,14 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .store import apart, cut, documents
+from .store import apart, cut, documents, shuffles_freed
 from .textcore import mix
 
 SHINGLE = 4
 RADIUS = 4
 FAR = 17
+#: For FAR none of more than three bits' radius is among them: (4, 3) takes 3240 rows a document, where (2, 2, 2) takes 268.
 #: Radii of the segments that 64 bits may be divided into; the sum of (r + 1) is RADIUS + 1, or for either half of 128 (FAR + 1) / 2.
-LAYOUTS = {RADIUS: ((0, 0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0), (2, 1)), FAR: ((1, 1, 1, 1, 0), (2, 1, 1, 1), (2, 2, 2), (4, 3))}
+LAYOUTS = {RADIUS: ((0, 0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 0), (2, 1)), FAR: ((1, 1, 1, 1, 0), (2, 1, 1, 1), (2, 2, 2))}
 NO_ID = (1 << 63) - 1
 #: Fingerprints with one segment value that are compared with each other without looking at their other bits.
 HOT_LIST = 4096
@@ -127,14 +129,14 @@ def _segment(part):
     return F.shiftrightunsigned(half, at).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _around(parts, which: int):
-    """All (k, value) within the asked (3) or listed (4) radius of a fingerprint's segments."""
+def _around(parts, which: int, own=None):
+    """All (k, value) within the asked (3) or listed (4) radius of a fingerprint's segments, or of those numbered ``own``."""
 
     def ball(k, part):
         masks = [sum(1 << b for b in bits) for r in range(part[which] + 1) for bits in combinations(range(part[2]), r)]
         return F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.struct(F.lit(k).alias("k"), _segment(part).bitwiseXOR(m).alias("value")))
 
-    return F.concat(*[ball(k, p) for k, p in enumerate(parts)])
+    return F.concat(*[ball(k, p) for k, p in enumerate(parts) if own is None or k in own])
 
 
 def _close(a: str, b: str, reach: int):
@@ -144,21 +146,38 @@ def _close(a: str, b: str, reach: int):
 
 
 def links(prints: DataFrame, parts, reach: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """Of a cut table of distinct (node, fp, fp2): (node, root) of the ties, and links (a, b) between roots."""
-    values = F.transform(F.array(*[_segment(p) for p in parts]), lambda v, k: F.struct(k.alias("k"), v.alias("value")))
+    """Of a cut table of distinct (node, fp, fp2): (node, root) of the ties, and links (a, b) between roots.
+
+    Tables of the far reach are read one after the other, and each one's shuffled rows go when
+    its links are written, so the disk holds one table at a time.
+    """
+    own = [[k] for k in range(len(parts))] if reach == FAR else [list(range(len(parts)))]
+    with shuffles_freed(prints.sparkSession):
+        tied = components(reduce(DataFrame.unionByName, [cut(_ties(prints, parts, reach, ks)) for ks in own]))
+        node = prints.join(tied.withColumnRenamed("node", "tied"), F.col("node") == F.col("tied"), "left").select("node", "fp", "fp2", F.coalesce("root", "node").alias("class"))
+        node = cut(node)
+        hot = hot_lists(_rows(prints, _values(parts))) if reach == RADIUS else None
+        return tied, reduce(DataFrame.unionByName, [cut(_met(node, parts, reach, hot, ks)) for ks in own])
+
+
+def _values(parts) -> Column:
+    """(k, value) of a fingerprint's own segments."""
+    return F.transform(F.array(*[_segment(p) for p in parts]), lambda v, k: F.struct(k.alias("k"), v.alias("value")))
+
+
+def _rows(prints: DataFrame, values: Column) -> DataFrame:
+    return prints.select("*", F.explode(values).alias("q")).select("*", "q.*").drop("q")
+
+
+def _ties(prints: DataFrame, parts, reach: int, own) -> DataFrame:
+    """Links (a, b) of each fingerprint to the least of the segment values that it asks, where they are close."""
     # Far links are many in a dense group: there the tables tie to the least that each list holds, one row a look-up.
-    ask, listed = (_around(parts, 3), _around(parts, 4)) if reach == FAR else (values, values)
-    index = prints.select("node", "fp", "fp2", F.explode(listed).alias("q")).select("*", "q.*").drop("q")
-    least = index.groupBy("k", "value").agg(F.min(F.struct("node", "fp", "fp2")).alias("low"), F.count("*").alias("n"))
+    ask, listed = (_around(parts, 3, own), _around(parts, 4, own)) if reach == FAR else (_values(parts), _values(parts))
+    least = _rows(prints, listed).groupBy("k", "value").agg(F.min(F.struct("node", "fp", "fp2")).alias("low"), F.count("*").alias("n"))
     least = least.filter(F.lit(reach == FAR) | (F.col("n") > 1))
     least = least.select("k", "value", F.col("low.node").alias("low"), F.col("low.fp").alias("low_fp"), F.col("low.fp2").alias("low_fp2"))
-    looks = prints.select("node", "fp", "fp2", F.explode(ask).alias("q")).select("*", "q.*").drop("q")
-    met = looks.join(least, ["k", "value"]).filter((F.col("node") != F.col("low")) & _close("", "low_", reach))
-    ties = cut(met.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
-    tied = components(ties)
-    node = prints.join(tied.withColumnRenamed("node", "tied"), F.col("node") == F.col("tied"), "left").select("node", "fp", "fp2", F.coalesce("root", "node").alias("class"))
-    node = cut(node)
-    return tied, cut(_met(node, parts, reach, hot_lists(index) if reach == RADIUS else None))
+    met = _rows(prints, ask).join(least, ["k", "value"]).filter((F.col("node") != F.col("low")) & _close("", "low_", reach))
+    return met.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def hot_lists(index: DataFrame) -> DataFrame | None:
@@ -180,13 +199,12 @@ def _pieces(parts) -> Column:
     return F.get(F.array(*[of(p) for p in parts]), F.col("k"))
 
 
-def _met(node: DataFrame, parts, reach: int, hot: DataFrame | None) -> DataFrame:
-    """Links (a, b) between classes of a (node, fp, fp2, class) table.
+def _met(node: DataFrame, parts, reach: int, hot: DataFrame | None, own=None) -> DataFrame:
+    """Links (a, b) between classes of a (node, fp, fp2, class) table, by the tables numbered ``own``, or all.
 
     In lists that many share, only those are compared that share a piece of their other
     bits too, as a pair within RADIUS must.
     """
-    rows = lambda which: node.select("*", F.explode(_around(parts, which)).alias("q")).select("*", "q.*").drop("q")
 
     def joined(asked, table, keys):
         a, b = (df.toDF(*[c if c in keys else f"{n}_{c}" for c in df.columns]) for n, df in (("a", asked), ("b", table)))
@@ -194,7 +212,7 @@ def _met(node: DataFrame, parts, reach: int, hot: DataFrame | None) -> DataFrame
         near = (F.col("a_class") != F.col("b_class")) & _close("a_", "b_", reach)
         return a.join(b, keys).filter(near).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
 
-    asked, table = rows(3), rows(4)
+    asked, table = (_rows(node, _around(parts, which, own)) for which in (3, 4))
     if hot is None:
         return joined(asked, table, ["k", "value"]).distinct()
     cold = [df.join(hot, ["k", "value"], "left_anti") for df in (asked, table)]

@@ -27,6 +27,19 @@ def test_layouts(reach):
     assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[-1]
 
 
+def test_far_rows_stay_in_proportion_on_disk(spark, monkeypatch):
+    """No number of documents makes the stage's tables wider, and each table's look-ups are a job of their own, whose shuffle goes before the next."""
+    width = lambda n: sum(simhash.math.comb(w, i) for _, _, w, q, r in simhash.segments(n, simhash.FAR) for x in (q, r) for i in range(x + 1))
+    assert max(width(n) for n in (10**5, 10**6, 10**7, 10**8)) == width(10**5) < 300
+    cuts, real = [], simhash.cut
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr(simhash, "cut", lambda df: cuts.append((df.columns, spark.conf.get(name, "false"))) or real(df))
+    df = spark.createDataFrame([(i, i * 977, i * 31) for i in range(40)], "node long, fp long, fp2 long")
+    parts = simhash.segments(10**6, simhash.FAR)
+    simhash.links(df, parts, simhash.FAR)
+    assert cuts.count((["a", "b"], "true")) == 2 * len(parts)
+
+
 @pytest.mark.parametrize("n", [1, 10**5, 10**10])
 def test_far_layouts_meet_every_close_pair(spark, n):
     """Pairs of 128 bits at all distances around a few centres."""
