@@ -76,17 +76,15 @@ def chapter_ends(df: DataFrame, key: str, start: str, tie: str) -> DataFrame:
 def silence_breaks(df: DataFrame, key: str, start: str, end: str, least: float = 3.0, gap: float = 60.0) -> DataFrame:
     """Midpoints of silences, each at least ``gap`` after the last accepted one.
 
-    The choice depends on the one before, so it is a fold over each key's
-    ordered silences, not a window frame.
+    The choice depends on the one before, so it is a fold over each key's midpoints
+    in order, not a window frame.  Silences may overlap, so one that starts later
+    may have the earlier midpoint.
     """
-    silences = F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"))))
+    silences = df.select(key, F.when(F.col(end) - F.col(start) >= least, (F.col(start) + F.col(end)) / 2).alias("mid"))
     fold = F.aggregate(
-        "silences",
+        "mids",
         F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("cuts")),
-        lambda acc, x: F.when(
-            (x["e"] - x["s"] >= least) & ((x["s"] + x["e"]) / 2 - acc["last"] >= gap),
-            F.struct(((x["s"] + x["e"]) / 2).alias("last"), F.concat(acc["cuts"], F.array((x["s"] + x["e"]) / 2)).alias("cuts")),
-        ).otherwise(acc),
+        lambda acc, x: F.when(x - acc["last"] >= gap, F.struct(x.alias("last"), F.concat(acc["cuts"], F.array(x)).alias("cuts"))).otherwise(acc),
         lambda acc: acc["cuts"],
     )
-    return df.groupBy(key).agg(silences.alias("silences")).select(key, fold.alias("cuts"))
+    return silences.groupBy(key).agg(F.array_sort(F.collect_list("mid")).alias("mids")).select(key, fold.alias("cuts"))

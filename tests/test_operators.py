@@ -124,6 +124,9 @@ def test_tracks(spark):
     assert tracks.outliers(rates, "k", "b").count() == 3
     quiet = spark.createDataFrame([(1, 10.0, 14.0), (1, 20.0, 25.0), (1, 100.0, 101.0), (1, 120.0, 130.0)], "k int, s double, e double")
     assert tracks.silence_breaks(quiet, "k", "s", "e", gap=10.0).first()["cuts"] == [12.0, 22.5, 125.0]
+    # One that starts first and ends last has the later midpoint: the other comes first.
+    nested = spark.createDataFrame([("a", 10.0, 60.0), ("a", 12.0, 18.0), ("a", 26.0, 29.0), ("a", None, 3.0)], "k string, s double, e double")
+    assert tracks.silence_breaks(nested, "k", "s", "e", gap=10.0).first()["cuts"] == [15.0, 27.5]
 
 
 def test_files(spark, tmp_path):
