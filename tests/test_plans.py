@@ -31,3 +31,10 @@ def test_scans_read_what_they_need(spark):
 def test_no_query_is_a_cross_join_of_tables(spark):
     for name in ("listing_changes", "move_order", "search_pages", "year_proximity"):
         assert "Cartesian" not in plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_year_proximity_has_every_pair(spark):
+    """All pairs of a brand and type, not the nearest few."""
+    n = spark.read.parquet(f"{SF}/part.parquet").groupBy("p_brand", "p_type").count().selectExpr("sum(count * (count - 1) div 2)").first()[0]
+    got = plans.QUERIES["year_proximity"](spark, SF)
+    assert got.count() == got.distinct().count() == n
