@@ -12,6 +12,9 @@ from ..sources.tables import table
 from ..streaming import progress, watch
 from .queries import query
 
+#: Pages that a batch may take if as many were read before: a merge sorts what doesn't fit in memory, but a key's rows of a batch meet in one state.
+CATCH_UP, KEPT_UP = 100_000, 512
+
 
 def _folder(spark: SparkSession) -> str:
     """A new folder where all executors can write."""
@@ -49,7 +52,7 @@ def watched_progress(spark, d):
     place = _folder(spark)
     rows = table(spark, d, "events").select("user_id", F.unix_micros("ts").alias("stamp"), "event_id", "value")
     watch.write_pages(rows, f"{place}/server", ["stamp", "event_id"], 2000)
-    stream = watch.watch(spark, f"{place}/server", rows.schema, "stamp")
+    stream = watch.watch(spark, f"{place}/server", rows.schema, "stamp", catch_up=CATCH_UP)
     return progress.merge_stream(stream, "user_id", "stamp", "event_id", ["event_id", "value"], place, watch.drain).select("user_id", "stamp", "event_id", "value")
 
 
@@ -67,4 +70,4 @@ def expiring_answers(spark, d):
         F.try_element_at(ttl, kind).alias("ttl"), F.when(~asks, F.col("user_id").cast("string")).alias("response"),
     )
     watch.write_pages(rows, f"{place}/server", ["stamp", "ord"], 2000)
-    return watch.run_expiring(watch.watch(spark, f"{place}/server", rows.schema, "stamp"), place)
+    return watch.run_expiring(watch.watch(spark, f"{place}/server", rows.schema, "stamp", catch_up=KEPT_UP), place)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +28,19 @@ PAGES_PER_BATCH = 4
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _system(path: str):
+    """The file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    local = re.sub(r"^file:/+", "/", path)
+    return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+
+
 def _files(path: str):
     """The file system of a path, and its pages by number."""
     from pyarrow import fs
 
-    local = re.sub(r"^file:/+", "/", path)
-    system, root = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
+    system, root = _system(path)
     found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
     return system, {int(m[1]): f.path for f in found if (m := PAGE.search(f.path)) and f.is_file}
 
@@ -43,8 +51,8 @@ def _micros(column: pa.Array) -> pa.Array:
 
 
 class PagePart(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+    def __init__(self, number: int, file: str):
+        self.number, self.file = number, file
 
 
 class WatchReader(DataSourceStreamReader):
@@ -52,7 +60,7 @@ class WatchReader(DataSourceStreamReader):
 
     def __init__(self, schema: T.StructType, options: dict):
         self.fields, self.path, self.stamp = [f.name for f in schema.fields], options["path"], options.get("stamp", "ts")
-        self.most = int(options.get("pages_per_batch", PAGES_PER_BATCH))
+        self.most, self.catch_up = int(options.get("pages_per_batch", PAGES_PER_BATCH)), int(options.get("catch_up", 0))
         self.at: dict | None = None
 
     def initialOffset(self) -> dict:
@@ -62,9 +70,11 @@ class WatchReader(DataSourceStreamReader):
         start = self.at or self.initialOffset()
         system, pages = _files(self.path)
         number, newest = start["page"], start["updated"]
-        while number - start["page"] < self.most and number + 1 in pages:
+        most = max(self.most, min(start["page"], self.catch_up))
+        while number - start["page"] < most and number + 1 in pages:
             number += 1
-            newest = max(newest, self._newest(system, pages[number]))
+        with ThreadPoolExecutor(8) as pool:
+            newest = max([newest, *pool.map(lambda n: self._newest(system, pages[n]), range(start["page"] + 1, number + 1))])
         self.at = {"page": number, "updated": newest}
         return self.at
 
@@ -82,13 +92,13 @@ class WatchReader(DataSourceStreamReader):
         # After a new start, batches go on behind those that the checkpoint names.
         if self.at is None or self.at["page"] < end["page"]:
             self.at = dict(end)
-        return [PagePart(n) for n in range(start["page"] + 1, end["page"] + 1)]
+        pages = _files(self.path)[1]
+        return [PagePart(n, pages[n]) for n in range(start["page"] + 1, end["page"] + 1)]
 
     def read(self, partition: PagePart) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
-        system, pages = _files(self.path)
-        with system.open_input_file(pages[partition.number]) as f:
+        with _system(self.path)[0].open_input_file(partition.file) as f:
             for b in pq.ParquetFile(f).iter_batches(columns=self.fields):
                 yield pa.RecordBatch.from_arrays([_micros(b.column(n)) for n in self.fields], names=self.fields)
 
@@ -97,7 +107,7 @@ class WatchReader(DataSourceStreamReader):
 
 
 class WatchSource(DataSource):
-    """``spark.readStream.format("watch").schema(...).load(folder)``; options: path, stamp, pages_per_batch."""
+    """``spark.readStream.format("watch").schema(...).load(folder)``; options: path, stamp, pages_per_batch, catch_up."""
 
     @classmethod
     def name(cls) -> str:
@@ -110,9 +120,9 @@ class WatchSource(DataSource):
         return WatchReader(schema, self.options)
 
 
-def watch(spark: SparkSession, folder: str, schema: T.StructType, stamp: str, pages_per_batch: int = PAGES_PER_BATCH) -> DataFrame:
+def watch(spark: SparkSession, folder: str, schema: T.StructType, stamp: str, pages_per_batch: int = PAGES_PER_BATCH, catch_up: int = 0) -> DataFrame:
     spark.dataSource.register(WatchSource)
-    return spark.readStream.format("watch").schema(schema).option("stamp", stamp).option("pages_per_batch", pages_per_batch).load(folder)
+    return spark.readStream.format("watch").schema(schema).option("stamp", stamp).option("pages_per_batch", pages_per_batch).option("catch_up", catch_up).load(folder)
 
 
 def write_pages(rows: DataFrame, folder: str, order: list[str], per_page: int, first: int = 1) -> int:
@@ -152,19 +162,22 @@ class Expiring(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         # A micro-batch's rows of a key, by their own time; those of one time set before they ask.
+        # The state is read once and written once, however many rows there are.
+        before = held = tuple(self.entry.get()) if self.entry.exists() else None
         for r in sorted(rows, key=lambda r: (r["stamp"], r["asks"], r["ord"])):
-            held = self.entry.get() if self.entry.exists() else None
             if held is not None and held[1] is not None and r["stamp"] > held[1]:
-                self.entry.clear()
                 held = None
             if r["asks"]:
                 answered = held is not None and held[0] <= r["stamp"]
                 yield T.Row(key=key[0], ord=r["ord"], stamp=r["stamp"], hit=answered, response=held[2] if answered else None)
             elif held is None or r["stamp"] >= held[0]:
-                expires = None if r["ttl"] is None else r["stamp"] + r["ttl"]
-                self.entry.update((r["stamp"], expires, r["response"]))
-                if expires is not None:
-                    self.handle.registerTimer(-(-expires // 1000) + 1)
+                held = (r["stamp"], None if r["ttl"] is None else r["stamp"] + r["ttl"], r["response"])
+        if held is None and before is not None:
+            self.entry.clear()
+        elif held is not None and held != before:
+            self.entry.update(held)
+            if held[1] is not None:
+                self.handle.registerTimer(-(-held[1] // 1000) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         held = self.entry.get() if self.entry.exists() else None

@@ -143,3 +143,57 @@ def test_pages_hold_ordered_rows(spark, tmp_path):
     stamps = [pq.read_table(f"{folder}/page-{i:09d}.parquet").column("stamp").to_pylist() for i in range(1, n)]
     flat = [x for p in stamps for x in p]
     assert flat == sorted(flat) and len(flat) == 90
+
+
+def test_reader_far_behind_catches_up_in_few_batches(spark, tmp_path):
+    """Every page once, in order; batches double as far as they may, where each would take one page."""
+    folder, place = str(tmp_path / "server"), str(tmp_path / "at")
+    rows = events(330, 5)
+    n = pages(spark, folder, rows, 10) - 1
+    schema, seen = spark.createDataFrame([], EVENT).schema, []
+    run(watch.watch(spark, folder, schema, "stamp", 1, catch_up=8), lambda batch, number: seen.append([r["ord"] for r in batch.select("ord").collect()]), place)
+    ends = [json.loads(open(f"{place}/checkpoint/offsets/{i}").read().splitlines()[2])["page"] for i in range(len(seen))]
+    assert ends[:5] == [1, 2, 4, 8, 16] and ends[-1] == n and len(ends) <= 5 + -(-(n - 16) // 8)
+    assert sorted(x for own in seen for x in own) == list(range(330))
+
+
+def test_state_is_read_and_written_once_a_batch():
+    """A key's rows cost no trip to the state store each."""
+    calls = []
+
+    class Entry:
+        held = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None
+
+    class Handle:
+        def getValueState(self, *_):
+            return Entry()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    state = watch.Expiring()
+    state.init(Handle())
+    rows = [dict(zip(("key", "ord", "at", "stamp", "asks", "ttl", "response"), r)) for r in events(400, 6) if r[0] == "search|1"]
+    want = expected([tuple(r.values()) for r in rows])
+    got = []
+    for at in range(0, len(rows), 40):
+        calls.clear()
+        got += state.handleInputRows(("search|1",), iter(rows[at : at + 40]), None)
+        assert len(calls) <= 4
+    assert {r["ord"]: (r["hit"], r["response"]) for r in got} == want
