@@ -218,11 +218,16 @@ def run_expiring(rows: DataFrame, place: str) -> DataFrame:
 
     Every micro-batch writes its answers under its number, so one that runs again writes the same again.
     """
-    spark, name = rows.sparkSession, "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKS)
+    spark = rows.sparkSession
+    # A batch starts a worker and a store for each partition of the state: as many as there are cores, not as shuffles have.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, spark.sparkContext.defaultParallelism))
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(parts)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         drain(expiring(rows).writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/answers/batch={n}")).option("checkpointLocation", f"{place}/checkpoint"))
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(ANSWERS).parquet(f"{place}/answers/batch=*")

@@ -197,3 +197,17 @@ def test_state_is_read_and_written_once_a_batch():
         got += state.handleInputRows(("search|1",), iter(rows[at : at + 40]), None)
         assert len(calls) <= 4
     assert {r["ord"]: (r["hit"], r["response"]) for r in got} == want
+
+
+def test_state_has_no_more_partitions_than_cores(rocks, tmp_path, monkeypatch):
+    spark, name, seen = rocks, "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(watch, "drain", lambda writer: seen.append(int(spark.conf.get(name))))
+    spark.conf.set(name, "200")
+    try:
+        rows = watch.watch(spark, str(tmp_path), spark.createDataFrame([], EVENT).schema, "stamp")
+        (tmp_path / "answers" / "batch=0").mkdir(parents=True)
+        watch.run_expiring(rows, str(tmp_path))
+        assert seen == [spark.sparkContext.defaultParallelism] and spark.conf.get(name) == "200"
+    finally:
+        spark.conf.set(name, before)
