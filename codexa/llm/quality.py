@@ -7,8 +7,9 @@ threshold is calibrated on labelled rows: it is the one that best parts
 quality 0 from 1 among those that reject at most ``MAX_LOSS`` of the good ones.
 
 The forest is grown on a draw of about ``SAMPLE`` different rows of statistics
-with the number of documents that have them, by a seeded hash of the row; about
-``CALIBRATE`` labelled ones set the threshold.  However many documents share an
+with the number of documents that have them, by a seeded hash of the row: as many
+as the trees take, 256 each, which is the method.  Every labelled row counts for
+the rules' weights and for the threshold, whose scores are told apart to 1e-5.  However many documents share an
 id or a text, they are one such row with a number.  Every document is judged on
 its whole text.
 
@@ -30,7 +31,8 @@ from .textcore import Prefix, arrow_text, chunks, mix, word_hashes, word_spans
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 SAMPLE = 25_600
-CALIBRATE = 50_000
+#: Steps of the score that the threshold tells apart: as many rows of counts come to the driver at most.
+STEPS = 100_000
 TREES, LEAVES, SEED = 100, 256, 97
 MAX_LOSS = 0.002
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -116,15 +118,23 @@ def rule_values(c: dict) -> np.ndarray:
     ])
 
 
-def telling(x: np.ndarray, bad: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """How far a rule's values part the labelled rows; equal if they can't tell."""
-    if not bad.any() or bad.all():
-        return np.ones(x.shape[1])
-    mean = [np.average(x[k], axis=0, weights=times[k]) for k in (bad, ~bad)]
-    var = [np.average((x[k] - m) ** 2, axis=0, weights=times[k]) for k, m in zip((bad, ~bad), mean, strict=True)]
-    spread = np.sqrt((var[0] + var[1]) / 2) + 1e-9
-    far = np.abs(mean[0] - mean[1]) / spread
-    return 0.02 + np.minimum(far, 3.0) ** 2
+def telling(known: DataFrame) -> np.ndarray:
+    """How far a rule's values part the labelled rows, all of them; equal if they can't tell."""
+
+    def run(batches):
+        for b in batches:
+            frame = b.to_pandas()
+            x = rule_values(as_arrays(frame))
+            yield pa.RecordBatch.from_arrays([pa.array(frame["bad"].astype(bool)), *[pa.array(x[:, i]) for i in range(len(RULES))]], names=["bad", *RULES])
+
+    rates = known.mapInArrow(run, "bad boolean, " + ", ".join(f"{r} double" for r in RULES))
+    sums = {r["bad"]: r for r in rates.groupBy("bad").agg(*[F.avg(r).alias(f"m_{r}") for r in RULES], *[F.var_pop(r).alias(f"v_{r}") for r in RULES]).collect()}
+    if len(sums) < 2:
+        return np.ones(len(RULES))
+    mean, var = ([np.array([sums[k][f"{c}_{r}"] for r in RULES]) for k in (True, False)] for c in "mv")
+    far = np.abs(mean[0] - mean[1]) / (np.sqrt((var[0] + var[1]) / 2) + 1e-9)
+    # Sums come in any order: digits that depend on it must not reach the draws.
+    return np.round(0.02 + np.minimum(far, 3.0) ** 2, 6)
 
 
 def grow(x: np.ndarray, trees=TREES, leaves=LEAVES, seed=SEED, weights=None, times=None) -> list[tuple]:
@@ -218,15 +228,20 @@ def fit(stats: DataFrame, labels: DataFrame) -> dict:
     if rows["times"].sum() < 2:
         return {"forest": [], "threshold": 2.0, "leaves": LEAVES}
     leaves = int(min(LEAVES, rows["times"].sum()))
-    marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality"))
-    lot = F.pmod(F.xxhash64(F.lit(SEED).cast("long"), "label_id"), F.lit(1_000_000))
-    marked = F.broadcast(marked.filter(lot < min(1.0, CALIBRATE / max(1, marked.count())) * 1e6))  # about CALIBRATE rows of two numbers
-    known = cut(stats.join(marked, F.col("doc_id") == F.col("label_id")).drop("label_id"))
-    known = draw(known, CALIBRATE, known.count()).toPandas().sort_values(["doc_id", *order], kind="stable")
-    known = known[~base_failed(known["n_words"], known["n_repeat_words"])]
-    x, bad, times = rule_values(as_arrays(known)), (known["quality"] == 0).to_numpy(), known["times"].to_numpy()
-    forest = grow(rule_values(as_arrays(rows)), weights=telling(x, bad, times), times=rows["times"].to_numpy())
-    return {"forest": forest, "threshold": calibrate(anomaly(forest, x, leaves), bad, times=times), "leaves": leaves}
+    marked = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.min("quality") == 0).alias("bad"))
+    known = stats.join(marked, F.col("doc_id") == F.col("label_id")).filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    known = cut(known.select("bad", *order))
+    forest = grow(rule_values(as_arrays(rows)), weights=telling(known), times=rows["times"].to_numpy())
+
+    def scores(batches):
+        for b in batches:
+            frame = b.to_pandas()
+            steps = np.round(anomaly(forest, rule_values(as_arrays(frame)), leaves) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(frame["bad"].astype(bool)), pa.array(steps)], names=["bad", "step"])
+
+    found = known.mapInArrow(scores, "bad boolean, step long").groupBy("step", "bad").agg(F.count("*").alias("times")).toPandas().sort_values(["step", "bad"], kind="stable")
+    threshold = calibrate(found["step"].to_numpy() / STEPS, found["bad"].to_numpy(dtype=bool), times=found["times"].to_numpy())
+    return {"forest": forest, "threshold": threshold, "leaves": leaves}
 
 
 def base_failed(n_words, n_repeat_words):

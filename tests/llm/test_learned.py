@@ -266,3 +266,16 @@ def test_quality_odd_tables(spark, tmp_path):
     assert {r["doc_id"]: r["kept"] for r in quality.op10_quality(spark, path).collect()} == {None: False, 1: False, 2: False}
     path = corpus.write(spark, tmp_path / "empty", [], labels=([], "doc_id long, quality int, toxic int"))
     assert quality.op10_quality(spark, path).count() == 0
+
+
+def test_every_labelled_row_sets_the_threshold_of_quality(spark, monkeypatch):
+    """All labelled rows are counted, whatever the draw for the trees."""
+    from codexa.llm import quality
+
+    counted = []
+    real = quality.calibrate
+    monkeypatch.setattr(quality, "calibrate", lambda score, bad, *a, times=None: counted.append(int(times.sum())) or real(score, bad, *a, times=times))
+    names = [*quality.COUNTS, *quality.MORE]
+    stats = spark.range(60_000).selectExpr("id AS doc_id", *[f"CAST(30 + (id * {i + 3}) % 17 AS LONG) AS {c}" if c not in ("n_repeat_words", "n_dup_lines") else f"0L AS {c}" for i, c in enumerate(names)])
+    quality.fit(stats, spark.range(60_000).selectExpr("id AS doc_id", "CAST(id % 10 > 0 AS INT) AS quality"))
+    assert counted == [60_000]
