@@ -14,6 +14,17 @@ def _cat(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def _lines(spark, d):
+    """An order's lines as one row: what its page is built from, in order; the page itself is never shuffled."""
+    one = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    li = table(spark, d, "lineitem").select("l_orderkey", *one).repartition("l_orderkey")
+    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*one))).alias("lines"))
+
+
+def _page(lines, item, between):
+    return F.array_join(F.transform(lines, item), between).alias("page")
+
+
 @query("""
 WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs') AS h FROM pages),
 a AS (SELECT *, regexp_extract(h, '<article>(.*?)</article>', 1, 's') AS article, regexp_extract(h, '<nav>(.*?)</nav>', 1, 's') AS nav FROM p)
@@ -77,17 +88,18 @@ h AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY n)
 SELECT * FROM h""")
 def search_pages(spark, d):
     """A page of hits for each order; a hit has a code and a heading, its link or its text as title."""
-    li, m = table(spark, d, "lineitem"), F.col("l_linenumber") % 5
-    code = F.lpad((F.col("l_suppkey") * 100 + F.col("l_linenumber")).cast("string"), 10, "0")
     head = lambda inner: _cat("<h3 class=\"bc-heading x\">", inner, "</h3>")
-    part = _cat("Part ", F.col("l_partkey"))
-    one = _cat(head(_cat("<a href='/pd/", F.col("l_partkey"), "?a=1&amp;b=2'>", part, "</a>")), "<ul><li class='authorLabel'>By: <a>A", F.col("l_suppkey"), "</a><a>", F.col("l_returnflag"), "</a></li></ul><img src=\"//i.example/", F.col("l_partkey"), ".jpg\"><img src=x>")
-    two = _cat(head(part), "<ul><li class=authorLabel>By: ", F.trim("l_linestatus"), "</li></ul><img src='http://i.example/a.png'>")
-    far = head(_cat("<a href=\"https://far.example/", F.col("l_partkey"), "\"> ", part, "</a>"))
-    body = F.when(m == 0, one).when(m == 1, two).when(m == 2, _cat("<h3>", part, "</h3>")).when(m == 3, head("<a> </a>")).otherwise(far)
-    item = _cat("<div data-asin='", code, "'>", body, "</div>")
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", item.alias("item"))
-    page = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["item"]), "\n").alias("page"))
+
+    def item(x):
+        m, part = x["l_linenumber"] % 5, _cat("Part ", x["l_partkey"])
+        code = F.lpad((x["l_suppkey"] * 100 + x["l_linenumber"]).cast("string"), 10, "0")
+        one = _cat(head(_cat("<a href='/pd/", x["l_partkey"], "?a=1&amp;b=2'>", part, "</a>")), "<ul><li class='authorLabel'>By: <a>A", x["l_suppkey"], "</a><a>", x["l_returnflag"], "</a></li></ul><img src=\"//i.example/", x["l_partkey"], ".jpg\"><img src=x>")
+        two = _cat(head(part), "<ul><li class=authorLabel>By: ", F.trim(x["l_linestatus"]), "</li></ul><img src='http://i.example/a.png'>")
+        far = head(_cat("<a href=\"https://far.example/", x["l_partkey"], "\"> ", part, "</a>"))
+        body = F.when(m == 0, one).when(m == 1, two).when(m == 2, _cat("<h3>", part, "</h3>")).when(m == 3, head("<a> </a>")).otherwise(far)
+        return _cat("<div data-asin='", code, "'>", body, "</div>")
+
+    page = _lines(spark, d).select("l_orderkey", _page("lines", item, "\n"))
     found = pages.search_hits(page, "l_orderkey", "page", "shop.example").withColumn("place", F.col("place").cast("long"))
     return found.withColumn("authors", F.array_join("authors", "|")).withColumn("covers", F.array_join("cover_urls", "|")).drop("cover_urls")
 
@@ -98,10 +110,10 @@ s AS (SELECT l_orderkey, asin, 'Part ' || l_partkey AS title, CASE WHEN l_linenu
 SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) - 1 AS place, asin, title, author FROM s""")
 def account_pages(spark, d):
     """An account's titles with their codes, each where it is seen first; foreign links and codes of another length don't count."""
-    li = table(spark, d, "lineitem")
-    code = F.when(F.col("l_quantity") > 45, "B00").otherwise(F.lpad((F.col("l_quantity").cast("long") % 4).cast("string"), 10, "B"))
-    author = F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(_cat("<a href='/author/x/1'> ", F.trim("l_linestatus"), " </a>"))
-    item = _cat("<div><div class=row><a href='/other/B111111111'>f</a><span class='bc-text bc-size-headline3'> Part ", F.col("l_partkey"), "\n</span><a href='https://x.example/pd/Name-Audiobook/", code, "?ref=1'>go</a>", author, "</div></div>")
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", item.alias("item"))
-    page = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["item"]), "").alias("page"))
+    def item(x):
+        code = F.when(x["l_quantity"] > 45, "B00").otherwise(F.lpad((x["l_quantity"].cast("long") % 4).cast("string"), 10, "B"))
+        author = F.when(x["l_linenumber"] % 3 == 0, "").otherwise(_cat("<a href='/author/x/1'> ", F.trim(x["l_linestatus"]), " </a>"))
+        return _cat("<div><div class=row><a href='/other/B111111111'>f</a><span class='bc-text bc-size-headline3'> Part ", x["l_partkey"], "\n</span><a href='https://x.example/pd/Name-Audiobook/", code, "?ref=1'>go</a>", author, "</div></div>")
+
+    page = _lines(spark, d).select("l_orderkey", _page("lines", item, ""))
     return pages.account_titles(page, "l_orderkey", "page").withColumn("place", F.col("place").cast("long"))

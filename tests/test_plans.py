@@ -45,3 +45,10 @@ def test_whole_pages_are_not_broadcast(spark):
     plan = plans.QUERIES["product_pages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     nodes = [line for line in plan.splitlines() if "Join" in line]
     assert nodes and "SortMergeJoin" in nodes[0] and "BroadcastHashJoin" not in nodes[0]
+
+
+@pytest.mark.parametrize("name", ["account_pages"])
+def test_tags_stay_in_their_pages_row(spark, name):
+    """Lines are shuffled once, and neither pages nor tags are."""
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
