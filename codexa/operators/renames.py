@@ -12,23 +12,40 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 
 
-def _doubled(links: DataFrame, rounds: int) -> DataFrame:
-    """(plan, old, next, steps, least, last) after so many doublings of (plan, old, next): the place reached, null past the end, and what lies between."""
-    state = links.select("plan", "old", "next", F.when(F.col("next").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("old").alias("least"), F.col("old").alias("last"))
-    state = cut(state)
+_STATE = ("next", "steps", "least", "away", "last", "stays")
+
+
+def _doubled(links: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of chains and rows of cycles, after so many doublings of (plan, old, new, next, stays).
+
+    A chain's rows have the ``steps`` to its ``last`` row, and whether that one ``stays``
+    put; a cycle's rows have its ``least`` source and how far ``away`` that is.
+    """
+    zero = F.lit(0).cast("long")
+    state = cut(links.select("plan", "old", "new", "next", F.when(F.col("next").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("old").alias("least"), zero.alias("away"), F.col("old").alias("last"), "stays"))
+    ended, going = state.filter("next IS NULL"), state.filter("next IS NOT NULL")
+    open_ = True
     for _ in range(rounds):
-        if state.filter("next IS NOT NULL").isEmpty():
+        if going.isEmpty():
             break
-        ahead = state.select("plan", F.col("old").alias("next"), F.col("next").alias("n_next"), F.col("steps").alias("n_steps"), F.col("least").alias("n_least"), F.col("last").alias("n_last"))
-        both = state.join(ahead, ["plan", "next"], "left")
-        state = cut(both.select("plan", "old", F.col("n_next").alias("next"), (F.col("steps") + F.coalesce("n_steps", F.lit(0))).alias("steps"), F.least("least", F.coalesce("n_least", "least")).alias("least"), F.coalesce("n_last", "last").alias("last")))
-    return state
+        # As long as a chain is not at its end, each round brings some row of it there; then what goes on is on cycles, and asks for such rows alone.
+        ahead = (ended.unionByName(going) if open_ else going).select("plan", F.col("old").alias("next"), *[F.col(c).alias(f"n_{c}") for c in _STATE])
+        nearer = F.col("n_least") < F.col("least")
+        state = cut(going.join(ahead, ["plan", "next"]).select(
+            "plan", "old", "new", F.col("n_next").alias("next"), (F.col("steps") + F.col("n_steps")).alias("steps"), F.least("least", "n_least").alias("least"),
+            F.when(nearer, F.col("steps") + F.col("n_away")).otherwise(F.col("away")).alias("away"), F.col("n_last").alias("last"), F.col("n_stays").alias("stays"),
+        ))
+        arrived, going = state.filter("next IS NULL"), state.filter("next IS NOT NULL")
+        if open_:
+            open_ = not arrived.isEmpty()
+            ended = ended.unionByName(arrived)
+    return ended, going
 
 
 def ordered(moves: DataFrame, files: DataFrame, temporary: str = ".tmp_") -> DataFrame:
@@ -40,17 +57,15 @@ def ordered(moves: DataFrame, files: DataFrame, temporary: str = ".tmp_") -> Dat
     rows = cut(moves.filter("old <> new").select("plan", "old", "new"))
     longest = rows.groupBy("plan").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     rounds = math.ceil(math.log2(longest + 1)) + 1
-    onward = rows.select("plan", F.col("old").alias("new"), F.col("old").alias("next"))
-    linked = rows.join(onward, ["plan", "new"], "left").select("plan", "old", "new", "next")
-    reached = _doubled(linked, rounds)
-    # After so many doublings a chain has ended; what goes on goes round.
-    round_ = reached.filter("next IS NOT NULL").select("plan", "old", F.col("least").alias("chain"))
-    open_ = linked.join(round_, ["plan", "old"], "left").withColumn("next", F.when(F.col("next").eqNullSafe(F.col("chain")), None).otherwise(F.col("next")))
-    ends = _doubled(open_.select("plan", "old", "next"), rounds).select("plan", "old", "steps", "last")
-    stay = files.select("plan", F.col("path").alias("new")).distinct().join(rows.select("plan", F.col("old").alias("new")), ["plan", "new"], "left_anti").withColumn("stays", F.lit(True))
-    rows = open_.select("plan", "old", "new", "chain").join(ends, ["plan", "old"])
-    blocked = rows.join(stay, ["plan", "new"]).select("plan", F.col("old").alias("last"), "stays")
-    rows = rows.join(blocked, ["plan", "last"], "left").withColumn("blocked", F.coalesce("stays", F.lit(False)))
+    there = files.select("plan", F.col("path").alias("new"), F.lit(False).alias("moves")).unionByName(rows.select("plan", F.col("old").alias("new"), F.lit(True).alias("moves")))
+    there = there.groupBy("plan", "new").agg(F.max("moves").alias("moves"))
+    linked = rows.join(there, ["plan", "new"], "left").select("plan", "old", "new", F.when(F.col("moves"), F.col("new")).alias("next"), F.coalesce(~F.col("moves"), F.lit(False)).alias("stays"))
+    chains, cycles = _doubled(linked, rounds)
+    # The least row of a cycle comes last, and the one that is farthest from it follows it.
+    whole = F.max("away").over(Window.partitionBy("plan", "least"))
+    steps = F.when(F.col("away") == 0, whole).otherwise(F.col("away") - 1)
+    rows = chains.select("plan", "old", "new", F.lit(None).cast("string").alias("chain"), "last", "steps", F.col("stays").alias("blocked")).unionByName(
+        cycles.select("plan", "old", "new", F.col("least").alias("chain"), "last", steps.alias("steps"), F.lit(False).alias("blocked")))
     first = F.col("chain").isNotNull() & (F.col("old") == F.col("chain"))
     aside = F.concat("old", F.lit(temporary), F.left(F.sha2(F.concat_ws("\n", "plan", "old"), 256), F.lit(8)))
     one = F.struct(F.when(F.col("chain").isNull(), F.col("steps")).otherwise(F.col("steps") + 1).alias("step"), F.col("old").alias("source"), F.col("new").alias("target"), F.lit("move").alias("kind"))

@@ -57,6 +57,21 @@ def test_empty_plan(spark):
     assert renames.ordered(none, spark.createDataFrame([], "plan string, path string")).count() == 0
 
 
+def test_rows_that_have_arrived_are_not_doubled_again(spark, monkeypatch):
+    seen, real = [], renames.cut
+
+    def counted(df):
+        done = real(df)
+        seen.append(done.count())
+        return done
+
+    monkeypatch.setattr(renames, "cut", counted)
+    single, ring = [("a", f"/s/{i}", f"/t/{i}") for i in range(100)], [("b", f"/c/{i}", f"/c/{(i + 1) % 64}") for i in range(64)]
+    moves = spark.createDataFrame(single + ring, "plan string, old string, new string")
+    assert renames.ordered(moves, moves.selectExpr("plan", "old AS path")).count() == 165
+    assert sum(seen) <= 2 * 164 + 9 * 64
+
+
 def full_comparison(a, b):
     out, gone, come = {}, {}, {}
     for p in a.keys() | b.keys():
