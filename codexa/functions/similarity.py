@@ -8,9 +8,9 @@ operation a character.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,14 +61,24 @@ def partial_ratio(a: str, b: str) -> float:
     return max(best, max(ratio(long[max(0, i) : i + n], short) for i in range(1 - n, m))) if n == m else best
 
 
+def _each_once(f, a: pa.Array, b: pa.Array) -> np.ndarray:
+    """f of two columns without nulls; a pair that recurs in a batch is scored once."""
+    x, y = a.dictionary_encode(), b.dictionary_encode()
+    xs, ys = x.dictionary.to_pylist(), y.dictionary.to_pylist()
+    pairs, back = np.unique(np.asarray(x.indices).astype(np.int64) * max(len(ys), 1) + np.asarray(y.indices), return_inverse=True)
+    return np.array([f(xs[p // len(ys)], ys[p % len(ys)]) for p in pairs.tolist()], np.float64)[back]
+
+
 def _column(f):
-    """Of two string columns; a pair that recurs in a batch is scored once."""
+    """Of two string columns, null where one is."""
 
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        seen = lru_cache(maxsize=1 << 14)(f)
-        return pd.Series([None if x is None or y is None else seen(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        known = np.asarray(pc.and_(a.is_valid(), b.is_valid()))
+        out = np.zeros(len(a))
+        out[known] = _each_once(f, a.filter(pa.array(known)), b.filter(pa.array(known)))
+        return pa.array(out, mask=~known)
 
-    return F.pandas_udf(run, "double")
+    return F.arrow_udf(run, "double")
 
 
 def title_likeness(a: str, b: str) -> float:
@@ -91,12 +101,15 @@ def author_score(a: Column, b: Column) -> Column:
 def best_author_score(a: Column, many: Column) -> Column:
     """The best of an array of names; null without a name on either side."""
 
-    def run(a: pd.Series, many: pd.Series) -> pd.Series:
-        seen = lru_cache(maxsize=1 << 14)(author_likeness)
-        scores = [[seen(x, y) for y in ys if y is not None] if x is not None and ys is not None else [] for x, ys in zip(a, many, strict=True)]
-        return pd.Series([max(s, default=None) for s in scores], dtype="float64")
+    def run(a: pa.Array, many: pa.Array) -> pa.Array:
+        row, names = pc.list_parent_indices(many), many.flatten()
+        ours = a.take(row)
+        known = pc.and_(ours.is_valid(), names.is_valid())
+        best = np.full(len(a), -1.0)
+        np.maximum.at(best, np.asarray(row.filter(known)), _each_once(author_likeness, ours.filter(known), names.filter(known)))
+        return pa.array(best, mask=best < 0)
 
-    return F.pandas_udf(run, "double")(a, many)
+    return F.arrow_udf(run, "double")(a, many)
 
 
 def similarity(name: str, a: Column, b: Column) -> Column:
