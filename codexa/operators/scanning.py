@@ -22,7 +22,8 @@ def parts_of(path: Column) -> Column:
 
 
 def parent_of(path: Column) -> Column:
-    return F.regexp_replace(path, "/?[^/]*$", "")
+    # From the front in one go: a pattern that is tied to the end alone is tried at every place.
+    return F.regexp_extract(path, "(?s)^(.*)/", 1)
 
 
 def base_of(path: Column) -> Column:
@@ -45,13 +46,8 @@ def outside_quarantine(files: DataFrame, path: str, quarantine: str = ".quaranti
     return files.filter(~F.array_contains(parts_of(F.col(path)), quarantine))
 
 
-def disc_folders(folders: DataFrame, folder: str) -> DataFrame:
-    """(folder, disc) of the folders that are discs of their parent.
-
-    "CD1" is one as it stands.  "Title Disc 1" is one if its parent's name
-    holds the title, or a sibling has the same title and another number; the
-    siblings are compared by an aggregate over parent and title.
-    """
+def _numbered(folders: DataFrame, folder: str) -> DataFrame:
+    """(folder, disc) of all folders, each once; see ``disc_folders``."""
     f = folders.select(F.col(folder).alias("folder")).distinct()
     name = base_of(F.col("folder"))
     f = f.withColumns({
@@ -62,18 +58,30 @@ def disc_folders(folders: DataFrame, folder: str) -> DataFrame:
     f = f.join(rivals, ["up", "stem"], "left")
     inside = (F.col("stem") != "") & F.contains(F.lower(X.clean_noise(base_of(F.col("up")))), F.col("stem"))
     suffix = F.when(F.col("number").isNotNull() & (inside | F.coalesce("several", F.lit(False))), F.col("number"))
-    return f.select("folder", F.coalesce("exact", suffix).alias("disc")).filter("disc IS NOT NULL AND folder LIKE '%/%'")
+    return f.select("folder", F.when(F.col("folder").contains("/"), F.coalesce("exact", suffix)).alias("disc"))
+
+
+def disc_folders(folders: DataFrame, folder: str) -> DataFrame:
+    """(folder, disc) of the folders that are discs of their parent.
+
+    "CD1" is one as it stands.  "Title Disc 1" is one if its parent's name
+    holds the title, or a sibling has the same title and another number; the
+    siblings are compared by an aggregate over parent and title.
+    """
+    return _numbered(folders, folder).filter("disc IS NOT NULL")
 
 
 def grouped(files: DataFrame, folders: DataFrame) -> DataFrame:
-    """Adds root, label and n_labels: files with one root and label are a set.
+    """Adds root, label, and above as ``disc_above`` has it: files with one root and label are a set.
 
     Needs path, album and duration; ``folders`` has a ``folder`` column and may
     list folders without audio.  A root whose files come from its disc folders
     is one set whatever the albums say.
     """
-    discs = disc_folders(folders, "folder").drop("disc").withColumn("is_disc", F.lit(True))
-    f = files.withColumn("folder", parent_of(F.col("path"))).join(discs, "folder", "left")
+    # What a folder's name tells is found once a folder.
+    known = _numbered(folders, "folder").select("folder", F.col("disc").isNotNull().alias("is_disc"), disc_above(F.col("folder")).alias("told"), F.lit(True).alias("listed"))
+    f = files.withColumn("folder", parent_of(F.col("path"))).join(known, "folder", "left")
+    f = f.withColumn("above", F.when(F.col("listed"), F.col("told")).otherwise(disc_above(F.col("folder")))).drop("told", "listed")
     f = f.withColumn("root", F.when(F.col("is_disc"), parent_of(F.col("folder"))).otherwise(F.col("folder"))).drop("is_disc")
     f = f.withColumn("album_key", F.nullif(F.lower(F.trim(X.album_disc(F.col("album"))["stem"])), F.lit("")))
     about = f.groupBy("root").agg(F.max(F.col("folder") != F.col("root")).alias("collapsed"), F.min("album_key").alias("low"), F.max("album_key").alias("high"))
@@ -98,13 +106,18 @@ def sets(tracks: DataFrame) -> DataFrame:
     return g.withColumn("synthetic", F.when(F.col("n_sets") > 1, F.col("place"))).drop("place")
 
 
-def disc_number(path: Column, tag: Column, album: Column) -> Column:
-    """By tag, album, file name, then the three folders above; else 1."""
-    parts = parts_of(path)
-    stem = F.regexp_replace(base_of(path), r"\.[^.]+$", "")
-    above = F.reverse(F.slice(parts, F.greatest(F.size(parts) - 3, F.lit(1)), F.least(F.size(parts) - 1, F.lit(3))))
+def disc_above(folder: Column) -> Column:
+    """The number of the nearest of a folder and the two above it that has one."""
+    parts = parts_of(folder)
+    above = F.reverse(F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), F.lit(3)))
     of = lambda n: F.coalesce(F.regexp_extract(n, X.DISC_PATTERN, 1).try_cast("int"), F.regexp_extract(n, X.SUFFIX_DISC, 2).try_cast("int"))
-    found = F.try_element_at(F.filter(F.transform(above, of), lambda n: n.isNotNull()), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(above, of), lambda n: n.isNotNull()), F.lit(1))
+
+
+def disc_number(path: Column, tag: Column, album: Column, above: Column | None = None) -> Column:
+    """By tag, album, file name, then the three folders above, as ``disc_above`` has them; else 1."""
+    stem = F.regexp_replace(base_of(path), r"\.[^.]+$", "")
+    found = disc_above(parent_of(path)) if above is None else above
     return F.coalesce(F.regexp_extract(tag, r"(\d+)", 1).try_cast("int"), X.album_disc(album)["disc"], F.regexp_extract(stem, X.DISC_PATTERN, 1).try_cast("int"), found, F.lit(1))
 
 

@@ -96,3 +96,13 @@ def test_merge_stream_starts_again(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
         got = progress.merge_stream(read(), "u", "at", "id", ["v"], place)
     assert {(r["u"], r["v"]) for r in got.collect()} == {(1, "a"), (2, "b"), (3, "c")}
+
+
+def test_folders_tell_their_disc_once_a_folder(spark):
+    paths = ["A/Tale Disc 2/x/y/1.mp3", "A/CD3/1.mp3", "A/CD3/deep/er/est/1.mp3", "1.mp3", "A/b/1.mp3", "far/CD 7/1.mp3"]
+    files = spark.createDataFrame([(p, None, 1.0) for p in paths], "path string, album string, duration double")
+    listed = files.filter("path NOT LIKE 'far%'").select(scanning.parent_of(F.col("path")).alias("folder"))
+    none = F.lit(None).cast("string")
+    g = scanning.grouped(files, listed).withColumn("alone", scanning.disc_number(F.col("path"), none, none))
+    got = {r["path"]: (r["above"], r["alone"]) for r in g.collect()}
+    assert [got[p] for p in paths] == [(2, 2), (3, 3), (None, 1), (None, 1), (None, 1), (7, 7)]
