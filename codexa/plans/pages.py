@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..sources import pages
 from ..sources.tables import table
 from .queries import query
@@ -32,19 +33,25 @@ SELECT page_id, trim(regexp_replace(regexp_replace(replace(regexp_extract(articl
   len(regexp_extract_all(nav, '<a ')) AS n_links, regexp_extract(nav, '<a href="([^"]*)"', 1) AS first_link, trim(regexp_replace(regexp_replace(replace(regexp_extract(h, '<div class="ad">([^<]*)</div>', 1), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS advert FROM a""")
 def page_elements(spark, d):
     """P-H1: a page's parts by name, class and nesting; scripts and comments are no part of it."""
-    given = table(spark, d, "pages")
-    tree = pages.trees(given, "page_id", "html")
-    named = lambda *names: tree.filter(F.col("name").isin(*names)).select("page_id", "at", "end", "name", "attrs")
-    outer = named("article", "nav").select("page_id", "at", "end", F.col("name").alias("part"))
-    inner = pages.contained(named("h1", "p", "a"), outer, "page_id").unionByName(named("div").filter(pages.has_class("ad")).withColumn("part", F.lit("body")), allowMissingColumns=True)
-    shown = inner.filter("name IN ('h1', 'div')")
-    inner = inner.join(pages.texts(tree, shown, "page_id").withColumn("said", pages.cleaned(F.col("said"))), ["page_id", "at"], "left")
-    is_a = lambda part, name: (F.col("part") == part) & (F.col("name") == name)
-    parts = inner.withColumn("href", pages.attribute("href")).groupBy("page_id").agg(
-        pages.first("said", is_a("article", "h1")).alias("title"), F.count_if(is_a("article", "p")).alias("n_paragraphs"), F.count_if(is_a("nav", "a")).alias("n_links"),
-        pages.first("href", is_a("nav", "a")).alias("first_link"), pages.first("said", is_a("body", "div")).alias("advert"),
-    )
-    return given.select("page_id").join(parts, "page_id", "left").fillna("", ["title", "first_link", "advert"]).fillna(0, ["n_paragraphs", "n_links"])
+    tags = pages.tagged(table(spark, d, "pages"), "page_id", "html", "class", "href")
+    named = lambda name: lambda t: t["name"] == name
+
+    def parts(tags):
+        return F.struct(
+            *[pages.elements(tags, named(n)).alias(n) for n in ("article", "nav", "h1", "p")], pages.elements(tags, named("a"), href=lambda t: t["href"]).alias("a"),
+            pages.elements(tags, lambda t: (t["name"] == "div") & pages.has_class(t["class"], "ad")).alias("ads"),
+        )
+
+    def read(tags, p):
+        said = lambda e: F.coalesce(pages.cleaned(pages.told(tags, e)), F.lit(""))
+        n_in = lambda inner, outer: F.aggregate(outer, F.lit(0).cast("long"), lambda n, o: n + F.size(pages.within(inner, o)))
+        return F.struct(
+            said(pages.head(pages.held(p["h1"], p["article"]))).alias("title"), n_in(p["p"], p["article"]).alias("n_paragraphs"), n_in(p["a"], p["nav"]).alias("n_links"),
+            F.coalesce(pages.head(pages.held(p["a"], p["nav"]))["href"], F.lit("")).alias("first_link"), said(pages.head(p["ads"])).alias("advert"),
+        )
+
+    found = let(F.coalesce("tags", F.array()), lambda tags: let(parts(tags), lambda p: read(tags, p)))
+    return tags.select("page_id", F.inline(F.array(found)))
 
 
 @query("""

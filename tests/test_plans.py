@@ -54,6 +54,12 @@ def test_tags_stay_in_their_pages_row(spark, name):
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
 
 
+def test_elements_are_found_in_their_pages_row(spark):
+    """No tag is joined with a tag: a page's work stays with its row."""
+    plan = plans.QUERIES["page_elements"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Exchange", "Aggregate", "Window"))
+
+
 def test_names_are_made_comparable_before_they_meet(spark):
     """A part stands in many orders; above the joins nothing is normalised."""
     lines = optimized(spark, "calculate_match").splitlines()
