@@ -60,6 +60,12 @@ def test_elements_are_found_in_their_pages_row(spark):
     assert not any(x in plan for x in ("Join", "Exchange", "Aggregate", "Window"))
 
 
+def test_products_are_read_in_their_pages_row(spark):
+    """Columns are spread before pages are built; of a page only what is found in it is shuffled and meets the page."""
+    plan = plans.QUERIES["product_pages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("REPARTITION_BY_NUM") == 2 and plan.count("Exchange") == 3 and "Aggregate" not in plan
+
+
 def test_names_are_made_comparable_before_they_meet(spark):
     """A part stands in many orders; above the joins nothing is normalised."""
     lines = optimized(spark, "calculate_match").splitlines()
