@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..sources import pages
+from ..sources.shared import spread
 from ..sources.tables import table
 from .queries import query
 
@@ -65,7 +66,7 @@ def product_pages(spark, d):
     """S19, P8, P-S27: product pages by marks, else by labels; decoys in scripts and comments, elements that are never closed, attributes in other orders and quotes, references; without a title nothing."""
     # Pages are far larger than the columns that they are built from: these are spread and sorted first, by a number of parts that isn't lowered for their size.
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_brand", "p_type")
-    p = p.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "p_partkey").sortWithinPartitions("p_partkey")
+    p = p.repartition(spread(spark), "p_partkey").sortWithinPartitions("p_partkey")
     m, key, name, size, brand, kind = F.col("p_partkey") % 6, F.col("p_partkey"), F.col("p_name"), F.col("p_size"), F.col("p_brand"), F.col("p_type")
     decoy = "<script>var h = '<h1 class=\"bc-heading\">No</h1>';</script><!-- <li class=\"authorLabel\"><a>No</a></li> --><style>li a{}</style>"
     about = _cat("<div class='productPublisherSummary x bc-section'><p>About <b>", name, "</b>.</p>\n More.</div>")

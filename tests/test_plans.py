@@ -40,6 +40,17 @@ def test_year_proximity_has_every_pair(spark):
     assert got.count() == got.distinct().count() == n
 
 
+def test_year_pairs_meet_in_lots(spark):
+    """A brand and type of many lots: each pair once, as by a join; one of few parts has one lot."""
+    rows = [(i if i % 10 else 5, f"b{i % 3 and 1}", "t", i % 9) for i in range(90)] + [(7, None, "t", 1), (None, "b1", "t", 1), (400, "b1", "t", None)]
+    p = spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int")
+    got = sorted(tuple(r) for r in plans.year_pairs(p, 4).collect())
+    score = lambda x, y: 0.0 if None in (x, y) else next((s for d, s in ((0, 1.0), (2, 0.7), (5, 0.4)) if abs(x - y) <= d), 0.0)
+    kept = [r for r in rows if None not in r[:3]]
+    assert plans.year_pairs(p, 100)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    assert got == sorted((x[0], y[0], score(x[3], y[3])) for x in kept for y in kept if x[1:3] == y[1:3] and x[0] < y[0])
+
+
 def test_whole_pages_are_not_broadcast(spark):
     """A page is far longer than the planner takes a text for."""
     plan = plans.QUERIES["product_pages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
